@@ -2,11 +2,12 @@
 
 Both normalisation and splitting of the tokenizer stop at white space, so the ids of a
 text are those of its words put together. Each worker keeps the ids of words it has
-met, which spares most of the work; the special tokens hold no white space either.
+met, which spares most of the work.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,46 +19,80 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import text_or_empty
 
 END = 2
-#: Words whose ids a worker keeps, and bytes of the words that it encodes at once.
-CACHE_WORDS = 150_000
-AT_ONCE = 1 << 20
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Entries that a worker keeps of words and of words without the punctuation after them; words
+#: of one call; characters of texts taken at once. Worker processes live on over tasks.
+WORDS, STEMS, PER_CALL, AT_ONCE = 400_000, 500_000, 500, 1 << 20
+#: Any other character sends a text through the tokenizer as a whole.
+_ODD = re.compile("[^\t-\r\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+_PUNCTUATION = ".,!?;:#$%&*()|-+=/\"_[]{}@^~"
 
 
 class WordEncoder:
+    """Ids of texts. Of plain texts it looks up lower-cased words, and takes a word with
+    punctuation after it apart, as the tokenizer does; others it leaves to the tokenizer."""
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.stems, self.words = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint16)
-            at = np.searchsorted(starts, np.array([o[0] for o in got.offsets], np.int64), "right") if len(ids) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(at, np.arange(1, len(part) + 2))
-            raw = ids.tobytes()
-            for i, w in enumerate(part):
-                self.ids[w] = raw[2 * cuts[i] : 2 * cuts[i + 1]]
+        """Encode words of letters alone, many to a call: each ends with the only token that ends a word."""
+        for begin in range(0, len(new), PER_CALL):
+            part = new[begin : begin + PER_CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(part, (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), strict=True):
+                self.stems[w] = raw[at:stop]
+                at = stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, two bytes each, without the end id."""
-        lists = [_WORD.findall(t) for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids = {}
-        known = self.ids
-        new = {w for ws in lists for w in ws if w not in known}
-        if new:
-            self._learn(sorted(new))
-            known = self.ids
-        return [b"".join([known[w] for w in ws]) for ws in lists]
+        lists = [None if _ODD.search(t) or "<|" in t else t.lower().split() for t in texts]
+        if len(self.words) > WORDS:
+            self.words = {}
+        known = self.words
+        fresh = set().union(*filter(None, lists)).difference(known)
+        if len(self.stems) + len(fresh) > STEMS:
+            self.stems = {}
+        stems, apart, new = self.stems, [], set()
+        for w in fresh:
+            stem = w.rstrip(_PUNCTUATION)
+            rest = w[len(stem) :]
+            if stem.isalpha():
+                apart.append((w, stem, rest))
+                if stem not in stems:
+                    new.add(stem)
+                if rest and rest not in stems:
+                    stems[rest] = self.whole(rest)
+            else:
+                known[w] = self.whole(w)
+        self._learn(list(new))
+        for w, stem, rest in apart:
+            known[w] = stems[stem] + stems[rest] if rest else stems[stem]
+        get = known.__getitem__
+        return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, lists, strict=True)]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder, which keeps what it has learned over tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches with ``keep``, n_tokens and ids (two bytes each, the end id last)."""
-    coder, end = WordEncoder(path), np.uint16(END).tobytes()
+    """Batches with ``keep``, first (tokens before it in this task), n_tokens and ids (two bytes each, the end id last)."""
+    coder, end, first = encoder(path), np.uint16(END).tobytes(), 0
     for batch in batches:
         texts = batch.column("__q_text")
         begin = 0
@@ -67,18 +102,18 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
                 size += len(texts[stop].as_py() or "")
                 stop += 1
             ids = [x + end for x in coder.encode([t or "" for t in texts.slice(begin, stop - begin).to_pylist()])]
-            part = batch.slice(begin, stop - begin)
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(k) for k in keep], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"]
-            )
+            part, sizes = batch.slice(begin, stop - begin), np.array([len(x) // 2 for x in ids], np.int64)
+            firsts = first + np.cumsum(sizes) - sizes
+            first += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(firsts), pa.array(sizes), pa.array(ids, pa.binary())], names=[*keep, "first", "n_tokens", "ids"])
             begin = stop
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text_hash (tells rows with one doc_id apart), n_tokens, ids (little-endian 16-bit) of each row.
+    """doc_id, text_hash (tells rows with one doc_id apart), first (tokens before it in its partition), n_tokens, ids (little-endian 16-bit) of each row.
 
-    Null texts are empty; each document ends with the end id.
+    Null texts are empty; each document ends with the end id. Rows keep their order.
     """
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("__q_text"))
     keep = ["doc_id", "text_hash"]
-    return rows.mapInArrow(lambda it: encode_batches(it, path, keep), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, n_tokens long, ids binary")
+    return rows.mapInArrow(lambda it: encode_batches(it, path, keep), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, first long, n_tokens long, ids binary")
