@@ -18,6 +18,8 @@ from codequarry.llm.vptree import build, link_near, route
 SAMPLE = 65_536
 #: Fingerprints at home in a leaf, about; more once the sample can't give that many leaves.
 LEAF_ROWS = 1024
+#: Of the stage without a contract of its own.
+SHINGLE, BITS, RADIUS, SIZE_RATIO = 5, 256, 45, 0.8
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 19
 
@@ -26,7 +28,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """A further 64 bits of a hash; the first are the hash itself."""
     if k == 0:
         return h
-    x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -171,6 +173,20 @@ def _same_document(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(least, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each group: that with the least doc_id.
+
+    Shingles have five words. Two texts that share a part s of their shingles (0.8 or more)
+    differ in a share arccos(2s / (1 + s)) / pi of their bits, 0.15 at 0.8; 45 of 256 is two
+    standard deviations beyond, and unrelated texts differ in 128 bits, give or take 8. A
+    radius this large lets the tree prune little: bands of the number of words, which differ
+    by a fifth at most, do most of the pruning there.
+    """
+    found = near_components(docs, SHINGLE, BITS, RADIUS, SIZE_RATIO).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__q_id")).distinct()
+    return docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, "__q_id", "left_anti").drop("__q_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
