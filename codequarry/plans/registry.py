@@ -1,0 +1,4 @@
+"""All queries over the driver tables, by name, and SQL for each."""
+
+QUERIES: dict = {}
+SQL: dict = {}
