@@ -1,4 +1,291 @@
-"""All queries over the driver tables, by name, and SQL for each."""
+"""Queries over the driver tables that apply the library's operators, and SQL for each."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from codequarry.functions.paths import month_text
+from codequarry.operators.matching import exact_multiplicity, nearest_greedy
+from codequarry.operators.ordered import floor_quantile, forward_asof, overlaps, top_k
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def count_if(c, name: str):
+    return F.count_if(c).alias(name)
+
+
+@query("""SELECT o_orderpriority AS tool, count(DISTINCT o_orderkey) AS commits, count(*) AS issues,
+  count(*) FILTER (l_quantity > 40) AS high, count(*) FILTER (l_returnflag = 'R') AS security
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def q01_tool_summary(t):
+    # One row per commit first: the second aggregation then counts commits without a distinct.
+    per = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 40).alias("h"), F.count_if(F.col("l_returnflag") == "R").alias("s"))
+    joined = per.join(t("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("o_orderpriority").alias("tool")).agg(F.count("*").alias("commits"), F.sum("n").alias("issues"), F.sum("h").alias("high"), F.sum("s").alias("security"))
+
+
+@query("""SELECT l_partkey AS rule, count(*) AS total, count(*) FILTER (l_quantity > 40) AS high,
+  count(*) FILTER (l_quantity > 20 AND l_quantity <= 40) AS medium, count(*) FILTER (l_quantity <= 20) AS low
+  FROM lineitem GROUP BY 1 ORDER BY total DESC, rule LIMIT 25""")
+def q02_rule_severity_pivot(t):
+    q = F.col("l_quantity")
+    out = t("lineitem").groupBy(F.col("l_partkey").alias("rule")).agg(F.count("*").alias("total"), count_if(q > 40, "high"), count_if((q > 20) & (q <= 40), "medium"), count_if(q <= 20, "low"))
+    return out.orderBy(F.desc("total"), "rule").limit(25)
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+  SELECT o_custkey AS repo, count(*) AS commits, CAST(sum(n) AS BIGINT) AS issues, count(*) FILTER (n = 0) AS zero_commits,
+  count(*) FILTER (n = 0) * 1.0::DOUBLE / count(*) AS zero_share FROM c GROUP BY 1""")
+def q03_two_level_rollup(t):
+    per = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    rows = t("orders").select("o_orderkey", "o_custkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = rows.groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("commits"), F.sum("n").alias("issues"), count_if(F.col("n") == 0, "zero_commits"))
+    return out.withColumn("zero_share", F.col("zero_commits").cast("double") / F.col("commits"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS repo, o_orderpriority AS tool, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+  SELECT repo, tool, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, tool) AS r FROM c) WHERE r = 1""")
+def q04_dominant_tool(t):
+    rows = t("orders").join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    n = rows.groupBy(F.col("c_mktsegment").alias("repo"), F.col("o_orderpriority").alias("tool")).agg(F.count("*").alias("n"))
+    return top_k(n, ["repo"], [F.desc("n"), F.col("tool")], 1).drop("rank")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+  SELECT o_custkey AS repo, max(n) AS n, max(v) FILTER (i = n // 2) AS median, max(v) FILTER (i = n // 4) AS p25, max(v) FILTER (i = 3 * n // 4) AS p75 FROM r GROUP BY 1""")
+def q05_floor_quantiles(t):
+    v = F.col("o_totalprice")
+    return t("orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("n"), floor_quantile(v, 1, 2).alias("median"), floor_quantile(v, 1, 4).alias("p25"), floor_quantile(v, 3, 4).alias("p75"))
+
+
+@query("""WITH m AS (SELECT DISTINCT substr(CAST(l_shipdate AS VARCHAR), 1, 7) AS month FROM lineitem), f AS (SELECT unnest(['A', 'N', 'R']) AS family),
+  c AS (SELECT substr(CAST(l_shipdate AS VARCHAR), 1, 7) AS month, l_returnflag AS family, count(*) AS n FROM lineitem GROUP BY 1, 2)
+  SELECT month, family, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY family ORDER BY month) AS BIGINT) AS running
+  FROM m CROSS JOIN f LEFT JOIN c USING (month, family)""")
+def q06_cumulative_survival(t):
+    n = t("lineitem").groupBy(month_text(F.col("l_shipdate")).alias("month")).pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
+    rows = n.select("month", F.expr("stack(3, 'A', A, 'N', N, 'R', R) AS (family, n)"))
+    return rows.withColumn("running", F.sum("n").over(Window.partitionBy("family").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+_AGE = [(0, 1, "<1 month"), (1, 3, "1-3 months"), (3, 6, "3-6 months"), (6, 9, "6-9 months"), (9, 999, ">9 months")]
+
+
+@query(f"""WITH a AS (SELECT (SELECT max(year(o_orderdate) * 12 + month(o_orderdate)) FROM orders) - (year(o_orderdate) * 12 + month(o_orderdate)) AS age, o_orderstatus FROM orders)
+  SELECT CASE {' '.join(f"WHEN age >= {a} AND age < {b} THEN '{n}'" for a, b, n in _AGE)} END AS bucket, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS surviving FROM a GROUP BY 1""")
+def q07_age_cohort(t):
+    rows = t("orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m"), "o_orderstatus").groupBy("m").agg(F.count("*").alias("n"), count_if(F.col("o_orderstatus") == "O", "s"))
+    age = F.max("m").over(Window.partitionBy()) - F.col("m")  # a row for each month
+    bucket = F.coalesce(*[F.when((age >= a) & (age < b), n) for a, b, n in _AGE])
+    return rows.withColumn("bucket", bucket).groupBy("bucket").agg(F.sum("n").alias("total"), F.sum("s").alias("surviving"))
+
+
+@query("""SELECT CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 2000 THEN 1 WHEN c_acctbal < 4000 THEN 2 WHEN c_acctbal < 6000 THEN 3 WHEN c_acctbal < 8000 THEN 4 ELSE 5 END AS bucket,
+  count(*) AS repos, min(c_custkey) AS first_repo FROM customer GROUP BY 1""")
+def q08_star_buckets(t):
+    c = F.col("c_acctbal")
+    b = F.when(c < 0, 0).when(c < 2000, 1).when(c < 4000, 2).when(c < 6000, 3).when(c < 8000, 4).otherwise(5)
+    return t("customer").groupBy(b.alias("bucket")).agg(F.count("*").alias("repos"), F.min("c_custkey").alias("first_repo"))
+
+
+@query("""SELECT CASE WHEN n_nationkey < 12 THEN n_name ELSE 'Other' END AS language, count(*) AS repos FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 5""")
+def q09_language_other_min_support(t):
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy(F.when(F.col("n_nationkey") < 12, F.col("n_name")).otherwise("Other").alias("language")).agg(F.count("*").alias("repos")).where("repos >= 5")
+
+
+@query("""WITH c AS (SELECT p_brand AS family, l_partkey AS rule, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+  SELECT family, rule, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, rule) AS r FROM c) WHERE r <= 10""")
+def q10_topk_per_family(t):
+    n = t("lineitem").groupBy(F.col("l_partkey").alias("rule")).agg(F.count("*").alias("n"))  # before the join
+    rows = n.join(t("part").select(F.col("p_partkey").alias("rule"), F.col("p_brand").alias("family")), "rule")
+    return top_k(rows, ["family"], [F.desc("n"), F.col("rule")], 10)
+
+
+@query("""SELECT substr(CAST(o_orderdate AS VARCHAR), 1, 7) AS month, count(*) AS commits, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low,
+  count(*) FILTER (o_orderpriority = '1-URGENT') * 1.0::DOUBLE / count(*) AS urgent_share FROM orders GROUP BY 1""")
+def q11_monthly_by_tool_pivot(t):
+    p = F.col("o_orderpriority")
+    out = t("orders").groupBy(month_text(F.col("o_orderdate")).alias("month")).agg(F.count("*").alias("commits"), count_if(p == "1-URGENT", "urgent"), count_if(p == "5-LOW", "low"))
+    return out.withColumn("urgent_share", F.col("urgent").cast("double") / F.col("commits"))
+
+
+@query("""WITH f AS (SELECT o_custkey AS repo, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+  SELECT repo, s AS source FROM f WHERE r = 1 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def q12_first_wins_lookup(t):
+    first = t("orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.min_by("o_orderstatus", "o_orderkey").alias("source"))
+    rest = t("customer").select(F.col("c_custkey").alias("repo"), F.col("c_mktsegment").alias("source"))
+    return first.unionByName(rest.join(first, "repo", "left_anti"))
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber, coalesce(b.p, -1) AS hydrated FROM lineitem a LEFT JOIN
+  (SELECT l_orderkey, l_linenumber, l_suppkey, min(l_partkey) AS p FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3) b
+  ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_suppkey = b.l_suppkey""")
+def q13_hydrate_composite_key(t):
+    keys = ["l_orderkey", "l_linenumber", "l_suppkey"]
+    b = t("lineitem").where("l_returnflag <> 'N'").groupBy(*keys).agg(F.min("l_partkey").alias("p"))
+    return t("lineitem").select(*keys).join(b, keys, "left").select("l_orderkey", "l_linenumber", F.coalesce("p", F.lit(-1)).alias("hydrated"))
+
+
+@query("""SELECT l_returnflag AS family, count(*) AS actionable FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1""")
+def q14_actionable_filter(t):
+    blocked = t("part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
+    return t("lineitem").join(blocked, "l_partkey", "left_anti").groupBy(F.col("l_returnflag").alias("family")).agg(F.count("*").alias("actionable"))
+
+
+@query("""WITH c AS (SELECT CASE WHEN regexp_matches(url, '\\.(pdf|zip)') THEN 'file' WHEN regexp_matches(url, '[?]page=') THEN 'paged' WHEN regexp_matches(url, '/(fr|de|es|en)/') THEN 'localized' ELSE 'other' END AS pattern, count(*) AS n FROM pages GROUP BY 1)
+  SELECT pattern, n, n * 1.0::DOUBLE / (SELECT sum(n) FROM c) AS share FROM c""")
+def q15_fp_pattern_class(t):
+    u = F.col("url")
+    p = F.when(u.rlike(r"\.(pdf|zip)"), "file").when(u.rlike("[?]page="), "paged").when(u.rlike("/(fr|de|es|en)/"), "localized").otherwise("other")
+    return t("pages").groupBy(p.alias("pattern")).agg(F.count("*").alias("n")).withColumn("share", F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()))
+
+
+@query("""SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(split_part(url, '://', 2), '/', 2) AS folder, regexp_extract(url, '[?]page=([0-9]+)', 1) AS page FROM pages""")
+def q16_path_classify(t):
+    rest = F.split_part("url", F.lit("://"), F.lit(2))
+    return t("pages").select("page_id", F.split_part(rest, F.lit("/"), F.lit(1)).alias("host"), F.split_part(rest, F.lit("/"), F.lit(2)).alias("folder"), F.regexp_extract("url", "[?]page=([0-9]+)", 1).alias("page"))
+
+
+@query("""SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z]+')) AS words, coalesce(regexp_extract_all(text, '[A-Z][a-z]+')[1], '') AS first_name,
+  CASE WHEN text LIKE '%http%' THEN 'link' WHEN role = 'user' THEN 'user' ELSE 'other' END AS tool FROM conversations""")
+def q17_detect_message(t):
+    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))
+    tool = F.when(F.col("text").contains("http"), "link").when(F.col("role") == "user", "user").otherwise("other")
+    return t("conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).cast("long").alias("words"), F.coalesce(F.get(found, 0), F.lit("")).alias("first_name"), tool.alias("tool"))
+
+
+@query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2""")
+def q18_json_unnest(t):
+    return t("events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, count(DISTINCT event_type) AS kinds, CAST(min(event_id) AS BIGINT) AS first_id, max(event_id) AS last_id, array_to_string(list_sort(list_distinct(list(event_type)))[1:3], ',') AS sample
+  FROM (SELECT * FROM events WHERE value > 50 UNION ALL SELECT * FROM events WHERE event_type = 'error') GROUP BY 1""")
+def q19_union_distinct_agg(t):
+    e = t("events").select("user_id", "event_type", "event_id", "value")
+    both = e.where("value > 50").unionByName(e.where("event_type = 'error'"))
+    kinds = F.array_sort(F.collect_set("event_type"))
+    return both.groupBy("user_id").agg(F.size(kinds).cast("long").alias("kinds"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.array_join(F.slice(kinds, 1, 3), ",").alias("sample"))
+
+
+@query("""SELECT l.event_id, min_by(r.event_id, (r.ts, r.event_id)) AS next_rid FROM (SELECT * FROM events WHERE event_type = 'signup') l
+  LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND r.ts >= l.ts + INTERVAL 7 DAY GROUP BY 1""")
+def q20_asof_checkpoint(t):
+    e = t("events")
+    left = e.where("event_type = 'signup'").select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 7 DAY")).alias("due"))
+    right = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("rid"), "ts")
+    return forward_asof(left, right, ["user_id"], "due", "ts", "rid").select("event_id", "next_rid")
+
+
+def _ranges(t, kind: str, s: str, e: str, span: int):
+    return t("events").where(F.col("event_type") == kind).select("user_id", "event_id", F.floor("value").cast("long").alias(s), (F.floor("value").cast("long") + span).alias(e))
+
+
+@query("""WITH v AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS s FROM events WHERE event_type = 'view'), c AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS rs FROM events WHERE event_type = 'error')
+  SELECT user_id, event_id, s, s + 3 AS e FROM v WHERE EXISTS (SELECT 1 FROM c WHERE c.user_id = v.user_id AND v.s <= c.rs + 2 AND v.s + 3 >= c.rs)""")
+def q21_interval_overlap(t):
+    return overlaps(_ranges(t, "view", "s", "e", 3), _ranges(t, "error", "rs", "re", 2).drop("event_id"), ["user_id"])
+
+
+@query("""WITH v AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS s FROM events WHERE event_type = 'view')
+  SELECT user_id, event_id, s FROM v WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS rs FROM events WHERE event_type = 'click') c WHERE c.user_id = v.user_id AND v.s < c.rs AND c.rs + 2 < v.s + 9)""")
+def q22_containment_anti(t):
+    v, c = _ranges(t, "view", "s", "e", 9), _ranges(t, "click", "rs", "re", 2).drop("event_id")
+    return v.join(c, [v.user_id == c.user_id, F.col("s") < F.col("rs"), F.col("re") < F.col("e")], "left_anti").select("user_id", "event_id", "s")
+
+
+def _sides(t):
+    e = t("events").select("user_id", "event_type", F.col("event_id").alias("id"), F.floor("value").cast("long").alias("line"))
+    return e.where("id % 2 = 0"), e.where("id % 2 = 1")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS line, event_id AS id, event_id % 2 AS side, row_number() OVER (PARTITION BY event_id % 2, user_id, event_type, CAST(floor(value) AS BIGINT) ORDER BY event_id) AS nth FROM events)
+  SELECT coalesce(b.user_id, a.user_id) AS user_id, b.id AS before_id, a.id AS after_id FROM (SELECT * FROM e WHERE side = 0) b FULL OUTER JOIN (SELECT * FROM e WHERE side = 1) a
+  ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.line = b.line AND a.nth = b.nth""")
+def q23_exact_multiplicity_match(t):
+    return exact_multiplicity(*_sides(t), ["user_id", "event_type", "line"]).select("user_id", "before_id", "after_id")
+
+
+@query()
+def q24_nearest_greedy_match(t):
+    return nearest_greedy(*_sides(t), ["user_id", "event_type"])
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(TODO|todo|The )'))) AS todo, len(string_split(text, chr(10))) AS lines FROM documents""")
+def q26_todo_lines(t):
+    lines = F.split("text", "\n")
+    return t("documents").select("doc_id", F.size(F.filter(lines, lambda x: x.rlike("(TODO|todo|The )"))).cast("long").alias("todo"), F.size(lines).cast("long").alias("lines"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10))[1:6], lambda x: regexp_replace(trim(x), ' +', ' ', 'g')), chr(10))) AS fingerprint FROM documents""")
+def q27_fingerprint_md5(t):
+    near = F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.regexp_replace(F.trim(x), " +", " "))
+    return t("documents").select("doc_id", F.md5(F.array_join(near, "\n")).alias("fingerprint"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, CAST(sum(CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS net FROM events)
+  SELECT user_id, max(net) AS peak, max_by(net, event_id) AS final FROM (SELECT r.*, e.ts FROM r JOIN events e USING (event_id)) GROUP BY 1""")
+def q28_running_net_debt(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    net = F.sum(F.when(F.col("event_type").isin("error", "click"), 1).otherwise(-1)).over(w)
+    return t("events").withColumn("net", net).groupBy("user_id").agg(F.max("net").alias("peak"), F.max_by("net", "event_id").alias("final"))
+
+
+@query("""SELECT o_custkey AS file, CASE max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 2 ELSE 1 END) WHEN 3 THEN 'DELETED' WHEN 2 THEN 'MODIFIED' ELSE 'SURVIVED' END AS status FROM orders GROUP BY 1""")
+def q29_status_lattice_merge(t):
+    s = F.col("o_orderstatus")
+    worst = F.max(F.when(s == "F", 3).when(s == "P", 2).otherwise(1))
+    return t("orders").groupBy(F.col("o_custkey").alias("file")).agg(worst.alias("w")).select("file", F.when(F.col("w") == 3, "DELETED").when(F.col("w") == 2, "MODIFIED").otherwise("SURVIVED").alias("status"))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 100""")
+def q30_sort_page(t):
+    return t("customer").orderBy(F.desc("c_acctbal"), "c_custkey").offset(100).limit(50).select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT r_name AS region, n_name AS nation, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (1, 2)""")
+def q31_rollup_footer(t):
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t("orders").select("o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')""")
+def q32_semi_anti_resume(t):
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority")
+    return t("customer").select("c_custkey").join(o.where("o_orderstatus = 'P'"), "c_custkey", "left_semi").join(o.where("o_orderpriority = '5-LOW'"), "c_custkey", "left_anti")
+
+
+@query("""SELECT substr(CAST(ts AS VARCHAR), 1, 7) AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def q33_month_text_prefix(t):
+    return t("events").groupBy(month_text(F.col("ts")).alias("month"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, bool_or(regexp_matches(lower(text), '\\b(fix|the|la)\\b')) AS was_fixed, count(*) FILTER (regexp_matches(lower(text), '\\b(of|de)\\b')) AS refactors, max(turn) AS last_turn FROM conversations GROUP BY 1""")
+def q34_fix_refactor_flags(t):
+    x = F.lower("text")
+    return t("conversations").groupBy("conv_id").agg(F.bool_or(x.rlike(r"\b(fix|the|la)\b")).alias("was_fixed"), count_if(x.rlike(r"\b(of|de)\b"), "refactors"), F.max("turn").alias("last_turn"))
+
+
+@query("""SELECT l_suppkey AS file, count(*) AS lines, count(*) FILTER (l_linestatus = 'F') AS own, count(*) FILTER (l_linestatus = 'F') * 1.0::DOUBLE / count(*) AS ratio FROM lineitem GROUP BY 1""")
+def q35_blame_ratio(t):
+    out = t("lineitem").groupBy(F.col("l_suppkey").alias("file")).agg(F.count("*").alias("lines"), count_if(F.col("l_linestatus") == "F", "own"))
+    return out.withColumn("ratio", F.col("own").cast("double") / F.col("lines"))
