@@ -7,7 +7,7 @@ recur where its trigger's phrase recurs. A phrase (the anchor with the bytes aro
 that its windows reach) gets a 128-bit name; the dictionary is the set of names with their
 counts, the parse says where each stands. A name that occurs twice makes all its windows
 repeats. Where only a part of a phrase recurs, the places of its windows are
-bisected: windows at offsets a..b before the trigger have the bytes common to all of them as
+narrowed down: windows at offsets a..b before the trigger have the bytes common to all of them as
 their inner string and the bytes any of them reaches as their outer string. An inner string
 that is unique ends the search, an outer string that is not unique covers all.
 
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import save, table, text_or_empty
+from codequarry.llm.common import discard, save, table, text_or_empty
 from codequarry.llm.exact_dedup import NO_ID
 
 WINDOW = 200
-#: A power of two: offsets of windows before a trigger are bisected.
+#: Parts that a range of offsets is cut into.
+WAYS = 4
+#: A power of two: offsets of windows before a trigger are narrowed down.
 SPAN = 128
 ANCHOR = WINDOW - SPAN + 1
 _rng = np.random.default_rng(4)
@@ -123,7 +125,7 @@ def _all_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _emit(parts)
 
 
-def _open_ranges(width: int):
+def _open_ranges(width: int, ways: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
@@ -131,7 +133,7 @@ def _open_ranges(width: int):
                 for doc, h, text, asked in zip(*[c.to_pylist() for c in batch.slice(begin, 500).columns], strict=True):
                     hashes = Hashes(text)
                     p, a, still = (np.array([x[k] for x in asked]) for k in ("p", "a", "open"))
-                    p, a, still = np.concatenate([p, p]), np.concatenate([a, a + width]), np.concatenate([still, still])
+                    p, a, still = np.tile(p, ways), np.concatenate([a + k * width for k in range(ways)]), np.tile(still, ways)
                     ok = (p - a >= 0) & (p - a - width + 1 <= hashes.n - WINDOW)  # else no window of the text
                     p, a, still = p[ok], a[ok], still[ok]
                     zero = np.zeros(len(p), np.int64)
@@ -149,7 +151,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc, h, p, a, width: windows that start at p - a - width + 1 .. p - a are all repeats.
 
-    A table a round, 8 rounds for any input. Groups of equal names are counted, never gathered:
+    A table a round, 5 rounds for any input. Groups of equal names are counted, never gathered:
     of one, a row goes on as a witness for others that share but a part with it.
     """
     odd = lambda k: F.pmod(F.col(k), F.lit(7)).alias("odd")
@@ -172,8 +174,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         state = save(state, "open-ranges")
         if texts is None:
             texts = save(_rows(docs).join(state.select("doc", "h"), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]), "open-texts")
-        width //= 2
-        rows = save(texts.join(state, ["doc", "h"]).select("doc", "h", "bytes", "asked").mapInArrow(_open_ranges(width), _ROW), "phrases")
+        ways = min(WAYS, width)
+        width //= ways
+        old = (rows, names, state)
+        rows = save(texts.join(state, ["doc", "h"]).select("doc", "h", "bytes", "asked").mapInArrow(_open_ranges(width, ways), _ROW), "phrases")
+        for done in old:
+            discard(done)
 
 
 def cut(text: bytes, ranges: list) -> tuple[bytes, list[tuple[int, int]]]:
