@@ -52,7 +52,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.withColumn("__q_lines", F.split(text_or_empty(), "\n"))
     kept = F.filter("__q_lines", lambda x, i: ~F.array_contains("__q_dropped", i))
     rows = rows.withColumn("__q_kept", F.when(F.col("__q_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", text_or_empty(), F.lit("\n"), i)) + 1)
+    start = lambda i: F.aggregate(F.slice("__q_lines", F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
     spans = F.transform("__q_dropped", lambda i: F.struct(start(i).cast("int").alias("start"), F.length(F.get("__q_lines", i)).alias("length")))
     out = rows.select(
         *[F.col("__q_kept").alias("text") if c == "text" else F.length(F.coalesce("__q_kept", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns],
