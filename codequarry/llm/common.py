@@ -139,7 +139,10 @@ def count_up(df: DataFrame, count: str, out: str) -> DataFrame:
     mid = F.floor((F.least(rest, F.lit(level * level)) - 1) / level).cast("long")
     df = df.withColumn("__q_b", F.explode(F.sequence(F.lit(0).cast("long"), mid)))
     df = df.withColumn("__q_base", (F.col("__q_a") * level + F.col("__q_b")) * level).drop("__q_a", "__q_b")
-    df = df.repartition(*df.columns)
+    # A fixed number: by their size, Spark would put these few rows into one partition before they become many.
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    df = df.repartition(parts, *df.columns)
     last = F.least(F.col(count) - F.col("__q_base"), F.lit(level).cast("long")) - 1
     return df.withColumn("__q_c", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn(out, F.col("__q_base") + F.col("__q_c")).drop("__q_base", "__q_c")
 
