@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, count_up, count_words, root_buckets, running_start, table, text_or_empty, with_feistel
+from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, count_up, count_words, root_buckets, running_start, save, table, text_or_empty, with_feistel
 
 BLOCK_WORDS = 64
 SHARDS = 64
@@ -114,8 +114,8 @@ def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, ext
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select("doc_id", "source", count_words(text).alias("size"), F.xxhash64("text").alias("__q_h"))
+    """doc_id, source, size, __q_h of each row, saved, so that texts are read and counted once."""
+    return save(docs.select("doc_id", "source", count_words(text_or_empty()).alias("size"), F.xxhash64("text").alias("__q_h")), "sizes")
 
 
 def word_slice(text: Column, start: Column, n: Column) -> Column:
