@@ -104,7 +104,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: i
 def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     parts, slots = mix(docs, block, seed=seed, extra=extra)
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # The hint: Spark takes the slots for few, as it can't tell how many rows count_up() makes, and would broadcast them.
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     keys = ["source_no", "__q_bucket", "place"]
     got = parts.join(times, ["source_no", "block"], "left").groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")],
@@ -134,7 +135,8 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHA
     """
     rows = docs.withColumn("__q_h", F.xxhash64("text"))
     parts, slots = mix(sized(docs), block, shards, seed, ["__q_h"])
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # The hint: Spark takes the slots for few, as it can't tell how many rows count_up() makes, and would broadcast them.
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
     drawn = parts.select("source_no", "block", "doc_id", "__q_h", "__q_bucket", "place", "from_word", "n_words").join(times, ["source_no", "block"])
     runs = drawn.groupBy("source_no", "__q_bucket", "place").agg(
         F.first("doc_id").alias("__q_id"), F.first("__q_h").alias("__q_h2"), F.array_sort(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts")
