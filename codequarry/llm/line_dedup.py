@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, UPPER, ascii_lower, save, table, text_or_empty
 from codequarry.llm.exact_dedup import NO_ID
 
 #: Shorter units stay: by chance alone, they are often the same.
 MIN_WORDS = 8
+#: The columns that line_dedup() adds.
+OWN = ["n_units", "n_removed", "removed"]
+SPAN = StructType([StructField("start", IntegerType()), StructField("length", IntegerType())])
+REBUILT = [StructField("__q_kept", StringType()), StructField("n_units", IntegerType()), StructField("n_removed", IntegerType()), StructField("removed", ArrayType(SPAN))]
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -38,29 +46,51 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("__q_id", "__q_h").agg(F.array_sort(F.collect_set("unit")).alias("dropped"))  # of one text's own lines
 
 
+def _take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rebuild each text without its dropped lines, in one pass over its lines."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+    for b in batches:
+        kept, n_units, removed = [], [], []
+        for text, dropped in zip(b.column("__q_text").to_pylist(), b.column("__q_dropped").to_pylist(), strict=True):
+            if not dropped:
+                kept.append(text)
+                n_units.append((text or "").count("\n") + 1)
+                removed.append([])
+                continue
+            gone, at, stay, spans, lines = set(dropped), 0, [], [], text.split("\n")
+            for i, line in enumerate(lines):
+                if i in gone:
+                    spans.append({"start": at, "length": len(line)})
+                else:
+                    stay.append(line)
+                at += len(line) + 1
+            kept.append("\n".join(stay))
+            n_units.append(len(lines))
+            removed.append(spans)
+        n_removed = [len(r) for r in removed]
+        cols = [b.column("__q_row"), pa.array(kept, pa.string()), pa.array(n_units, pa.int32()), pa.array(n_removed, pa.int32()), pa.array(removed, span)]
+        yield pa.RecordBatch.from_arrays(cols, names=["__q_row", "__q_kept", *OWN])
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and n_units, n_removed, removed added.
 
     removed lists (start, length) of each line that went, in characters of the text before;
     with a line goes its line break. n_chars, if there is such a column, follows the text.
+    Extra columns pass through, but for those named like the three that are added, which
+    these replace. A null text stays null and counts as one unit; an empty table stays empty.
     """
     gone = save(repeated_units(docs, min_words), "repeated-lines")
     keys = [F.col("__q_id") == F.col("__q_g"), F.col("__q_h") == F.col("__q_gh")]
-    rows = docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__q_h", F.xxhash64(text_or_empty()))
-    rows = rows.join(gone.select(F.col("__q_id").alias("__q_g"), F.col("__q_h").alias("__q_gh"), F.col("dropped").alias("__q_dropped")), keys, "left")
-    # Lengths with their line break; the place of a line is the sum of those before it, needed for dropped lines alone.
-    rows = rows.withColumn("__q_lines", F.split(text_or_empty(), "\n"))
-    kept = F.filter("__q_lines", lambda x, i: ~F.array_contains("__q_dropped", i))
-    rows = rows.withColumn("__q_kept", F.when(F.col("__q_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    start = lambda i: F.aggregate(F.slice("__q_lines", F.lit(1), i), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
-    spans = F.transform("__q_dropped", lambda i: F.struct(start(i).cast("int").alias("start"), F.length(F.get("__q_lines", i)).alias("length")))
-    out = rows.select(
-        *[F.col("__q_kept").alias("text") if c == "text" else F.length(F.coalesce("__q_kept", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns],
-        F.size("__q_lines").alias("n_units"),
-        F.coalesce(F.size("__q_dropped"), F.lit(0)).alias("n_removed"),
-        F.coalesce(spans, F.array().cast("array<struct<start:int,length:int>>")).alias("removed"),
+    rest = [c for c in docs.columns if c != "text" and c not in OWN]
+    rows = docs.select(
+        F.struct(*rest).alias("__q_row"), F.col("text").alias("__q_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__q_id"), F.xxhash64(text_or_empty()).alias("__q_h")
     )
-    return out
+    rows = rows.join(gone.select(F.col("__q_id").alias("__q_g"), F.col("__q_h").alias("__q_gh"), F.col("dropped").alias("__q_dropped")), keys, "left").select("__q_row", "__q_text", "__q_dropped")
+    out = rows.mapInArrow(_take_out, StructType([rows.schema["__q_row"], *REBUILT]))
+    chars = F.length(F.coalesce("__q_kept", F.lit(""))).cast("long")
+    named = {"text": F.col("__q_kept"), "n_chars": chars}
+    return out.select(*[(named[c] if c in named else F.col("__q_row")[c]).alias(c) for c in docs.columns if c not in OWN], *OWN)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from compare import same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codequarry.llm import exact_dedup, line_dedup, mixing, packing, quality_model, quality_rules, sharding, simhash, suffix_dedup, token_files
@@ -62,8 +63,6 @@ def test_shards(docs, empty):
 
 
 def test_feistel_is_a_permutation(spark):
-    from pyspark.sql import functions as F
-
     from codequarry.llm.common import with_feistel
 
     for n in (1, 2, 3, 10, 577):
@@ -181,6 +180,9 @@ def test_line_dedup(docs, empty):
     assert out[None].text == ROWS[-1][1]  # a null doc_id ranks first
     assert (out[1].text, out[1].n_removed, out[1].removed[0].start) == ("The Cat sat", 1, 12)
     assert line_dedup.line_dedup(empty).count() == 0
+    clash = line_dedup.line_dedup(docs.withColumn("removed", F.lit("x")).withColumn("unit", F.lit(1)))
+    assert clash.columns == [*docs.columns, "unit", "n_units", "n_removed", "removed"]
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in clash.collect()) == sorted((str(r.doc_id), r.text, len(r.text or "")) for r in line_dedup.line_dedup(docs).collect())
 
 
 def test_quality_model_on_held_out_rows(spark):
