@@ -86,7 +86,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(
         F.struct(*rest).alias("__q_row"), F.col("text").alias("__q_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__q_id"), F.xxhash64(text_or_empty()).alias("__q_h")
     )
-    rows = rows.join(gone.select(F.col("__q_id").alias("__q_g"), F.col("__q_h").alias("__q_gh"), F.col("dropped").alias("__q_dropped")), keys, "left").select("__q_row", "__q_text", "__q_dropped")
+    # The hint: one way at every size, for the list of dropped lines grows with the corpus.
+    gone = gone.select(F.col("__q_id").alias("__q_g"), F.col("__q_h").alias("__q_gh"), F.col("dropped").alias("__q_dropped")).hint("merge")
+    rows = rows.join(gone, keys, "left").select("__q_row", "__q_text", "__q_dropped")
     out = rows.mapInArrow(_take_out, StructType([rows.schema["__q_row"], *REBUILT]))
     chars = F.length(F.coalesce("__q_kept", F.lit(""))).cast("long")
     named = {"text": F.col("__q_kept"), "n_chars": chars}
