@@ -155,9 +155,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     of one, a row goes on as a witness for others that share but a part with it.
     """
     odd = lambda k: F.pmod(F.col(k), F.lit(7)).alias("odd")
-    first = _rows(docs).mapInArrow(_all_triggers, _ROW)
+    first = save(_rows(docs).mapInArrow(_all_triggers, _ROW), "triggers")
     twice = first.groupBy("inner_key").agg(F.count("*").alias("k")).where("k > 1").select("inner_key", odd("inner_key"))
     rows = save(first.withColumn("odd", F.pmod("inner_key", F.lit(7))).join(twice, ["inner_key", "odd"], "left_semi").drop("odd"), "phrases")
+    discard(first)
     found, texts, width = None, None, SPAN
     while True:
         names = rows.groupBy("inner_key", "u1", "u2").agg(F.count("*").alias("k"), F.min(F.struct("doc", "h", "p", "a")).alias("rep"), F.max("open").alias("open"))
