@@ -161,7 +161,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     discard(first)
     found, texts, width = None, None, SPAN
     while True:
-        names = rows.groupBy("inner_key", "u1", "u2").agg(F.count("*").alias("k"), F.min(F.struct("doc", "h", "p", "a")).alias("rep"), F.max("open").alias("open"))
+        # Any row of equal names will do as their witness; first() of plain columns, unlike min() of a struct, needs no sort.
+        names = rows.groupBy("inner_key", "u1", "u2").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("doc", "h", "p", "a")], F.max("open").alias("open"))
         names = save(names, "phrase-names")
         again = names.where("k > 1").select("u1", "u2", "inner_key", odd("u2"))
         covered = rows.where("open").select("doc", "h", "p", "a", "u1", "u2", "inner_key", odd("u2")).join(again, ["u1", "u2", "inner_key", "odd"], "left_semi")
@@ -169,7 +170,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         found = covered if found is None else found.unionByName(covered)
         if width == 1:
             return found
-        entries = names.select("inner_key", "rep.*", (F.col("open") & (F.col("k") == 1)).alias("open"), odd("inner_key"))
+        entries = names.select("inner_key", "doc", "h", "p", "a", (F.col("open") & (F.col("k") == 1)).alias("open"), odd("inner_key"))
         live = entries.groupBy("inner_key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("inner_key", odd("inner_key"))
         state = entries.join(live, ["inner_key", "odd"], "left_semi").groupBy("doc", "h").agg(F.collect_list(F.struct("p", "a", "open")).alias("asked"))  # of one text
         state = save(state, "open-ranges")
