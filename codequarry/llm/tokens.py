@@ -22,7 +22,7 @@ from codequarry.llm.common import text_or_empty
 END = 2
 #: Entries that a worker keeps of words taken whole and of words of letters; words
 #: of one call; characters of texts taken at once. Worker processes live on over tasks.
-WORDS, STEMS, PER_CALL, AT_ONCE = 100_000, 800_000, 500, 1 << 22
+WORDS, STEMS, PER_CALL, AT_ONCE = 50_000, 250_000, 500, 1 << 21
 #: Any other character sends a text through the tokenizer as a whole.
 _ODD = re.compile("[^\t-\r\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 _PUNCTUATION = ".,!?;:#$%&*()|-+=/\"_[]{}@^~"
@@ -152,6 +152,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
             first += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(firsts), pa.array(sizes), pa.array(ids, pa.binary())], names=[*keep, "first", "n_tokens", "ids"])
             begin = stop
+    pa.default_memory_pool().release_unused()
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
