@@ -20,7 +20,7 @@ SAMPLE = 65_536
 #: Fingerprints at home in a leaf, about; more once the sample can't give that many leaves.
 LEAF_ROWS = 1024
 #: Of the stage without a contract of its own. Texts are alike that share 4 of 5 of their shingles or more.
-SHINGLE, BITS, RADIUS, ALIKE = 5, 256, 45, (4, 5)
+SHINGLE, BITS, RADIUS, ALIKE = 5, 256, 70, (4, 5)
 #: Distinct shingles that are compared in one task, about; two blocks of a larger group meet in a task.
 TOGETHER, BLOCK = 1 << 20, 1 << 22
 #: Shingles whose bits are counted at once.
@@ -253,8 +253,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     A text is the set of its shingles of five words. Texts of equal sets are one node. Two that
     share a part s of their shingles (0.8 or more) differ in a share arccos(2s / (1 + s)) / pi
-    of their bits, 0.15 at 0.8; 45 of 256 is one standard deviation beyond, and unrelated
-    texts differ in 128 bits, give or take 8. Fingerprints give the groups within which texts
+    of their bits, 0.15 at 0.8: 39 of 256, give or take 6, and at most 48, give or take 6, in
+    sets of four and five. 70 is over five standard deviations beyond, three and a half in
+    those; unrelated texts differ in 128 bits, give or take 8. Fingerprints give the groups within which texts
     are compared; what links them is their share of common shingles, counted exactly. A
     radius this large lets the tree prune little: bands of the number of shingles, which
     differ by a fifth at most, do most of the pruning there. Sets of fewer than four are

@@ -126,11 +126,8 @@ def link_near(rows: np.ndarray, home: np.ndarray, radius: int, labels: Labels |
         block = sorted_rows[begin : begin + step]
         rest = sorted_rows[begin:]
         near = np.bitwise_count(block[:, None, 0] ^ rest[None, :, 0]).astype(np.int16)
-        if rows.shape[1] > 1:  # the first word rules most pairs out
-            i, j = np.nonzero(near <= radius)
-            close = np.bitwise_count(block[i] ^ rest[j]).sum(1, dtype=np.int32) <= radius
-            near[:] = radius + 1
-            near[i[close], j[close]] = 0
+        for k in range(1, rows.shape[1]):  # a wide radius lets no single word rule a pair out
+            near += np.bitwise_count(block[:, None, k] ^ rest[None, :, k])
         near = near <= radius
         for i in np.flatnonzero(near.sum(1) > 1):
             labels.link(int(sorted_names[begin + i]), sorted_names[begin + np.flatnonzero(near[i])])

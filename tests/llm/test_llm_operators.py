@@ -229,6 +229,12 @@ def test_near_dedup_links_alike_texts_alone(spark):
     assert simhash.near_dedup(spark.createDataFrame(rows)).count() == 4
 
 
+def test_near_dedup_links_texts_just_above_the_share(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (3666, 9814)").select("doc_id", "text").collect()
+    assert set(near_sets({r.doc_id: r.text for r in rows})[1].values()) == {3666}
+    assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows)).collect()] == [3666]
+
+
 def test_near_dedup_in_blocks_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base, texts = [f"w{i}" for i in range(120)], {}
