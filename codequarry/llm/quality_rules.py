@@ -17,8 +17,6 @@ from codequarry.llm.common import SPACE_CHARS, table, text_or_empty, words
 
 #: Hash buckets of n-grams: what is gathered of the corpus, at most 2 counts each.
 BUCKETS = 1 << 16
-#: At most so many trusted documents (those with the least hashes of doc_id) make up the target.
-TRUSTED = 20_000
 #: Weight of the corpus in the target's smoothing, in n-grams.
 PRIOR = 1 << 14
 THRESHOLD = -0.5
@@ -77,11 +75,14 @@ def base_measures(hashed: DataFrame) -> DataFrame:
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed n-grams in all of ``docs``, and in those whose doc_id is in ``trusted``."""
-    few = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__q_t")).distinct().orderBy(F.xxhash64("__q_t"), "__q_t").limit(TRUSTED)
-    rows = _hashes(docs.select("doc_id", "text")).join(F.broadcast(few), F.col("doc_id") == F.col("__q_t"), "left")
-    grams = rows.select(F.col("__q_t").isNotNull().alias("t"), F.explode(F.concat("__q_g1", "__q_g2")).alias("g"))
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__q_t")).distinct()
+    # The hint: one way at every size, for the trusted documents grow with the corpus. What is shuffled is two bytes for each n-gram.
+    buckets = F.transform(F.concat("__q_g1", "__q_g2"), lambda h: (F.pmod(h, F.lit(BUCKETS)) - BUCKETS // 2).cast("smallint"))
+    rows = _hashes(docs.select("doc_id", "text")).select("doc_id", buckets.alias("__q_b")).join(ids.hint("merge"), F.col("doc_id") == F.col("__q_t"), "left")
+    grams = rows.select(F.col("__q_t").isNotNull().alias("t"), F.explode("__q_b").alias("b"))
+    grams = grams.select("t", (F.col("b").cast("int") + BUCKETS // 2).alias("b"))
     counts = np.zeros((2, BUCKETS))
-    for t, b, n in grams.groupBy("t", F.pmod("g", F.lit(BUCKETS)).cast("int").alias("b")).count().collect():  # 2 * BUCKETS rows at most
+    for t, b, n in grams.groupBy("t", "b").count().collect():  # 2 * BUCKETS rows at most
         counts[int(t), b] = n
     return counts.sum(0), counts[1]
 

@@ -108,6 +108,12 @@ def test_quality_rules(docs, empty, spark):
     assert (r.n_repeat_words, r.n_dup_lines) == (24, 1)
 
 
+def test_target_counts_all_trusted_documents(spark):
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    corpus, target = quality_rules.ngram_counts(docs, docs.where("doc_id >= 100").select("doc_id"))
+    assert (corpus.sum(), target.sum()) == (4 * 20_500, 4 * 20_400)
+
+
 def test_word_encoder_equals_the_tokenizer():
     path = public_tokenizers.path(token_files.TOKENIZER)
     odd = ["", " \t\n", "it's don't 'Tis a'b. x'. é'S", "<|endoftext|>x y<|endoftext|>", "Σίσυφος ΟΔΟΣ İx 12ab!?", " é 가", "a\x1cb \x85 c", "foo... bar--- (baz) $5 a_b", LONG]
