@@ -19,10 +19,6 @@ from codequarry.llm.vptree import build, link_near, route
 SAMPLE = 65_536
 #: Fingerprints at home in a leaf, about; more once the sample can't give that many leaves.
 LEAF_ROWS = 1024
-#: Of the stage without a contract of its own. Texts are alike that share 4 of 5 of their shingles or more.
-SHINGLE, BITS, RADIUS, ALIKE = 5, 256, 70, (4, 5)
-#: Distinct shingles that are compared in one task, about; two blocks of a larger group meet in a task.
-TOGETHER, BLOCK = 1 << 20, 1 << 22
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 19
 
@@ -89,28 +85,23 @@ def _matrix(fps: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), -1).astype(np.uint64) if fps else np.zeros((0, 1), np.uint64)
 
 
-def near_edges(nodes: DataFrame, radius: int, bands: bool) -> DataFrame:
+def near_edges(nodes: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b), a > b, of a forest whose trees are the groups of ``nodes`` within ``radius`` of each other, leaf by leaf.
 
-    ``nodes`` is a saved table: node, fp, band; ``bands``: nodes link within their band and the
-    next alone. A leaf gives at most an edge for each row in it, so no group makes all its
-    pairs. The tree is fitted to a bounded sample; every node goes through it.
+    ``nodes`` is a saved table: node, fp. A leaf gives at most an edge for each row in it, so no group
+    makes all its pairs. The tree is fitted to a bounded sample; every node goes through it.
     """
     n = nodes.count()
     share = min(0.1, SAMPLE / max(n, 1)) if n > 1000 else 1.0
-    picked = nodes.where(F.pmod(F.xxhash64("fp", "band"), F.lit(1_000_000)) < int(share * 1_000_000)).select("fp").limit(2 * SAMPLE)
+    picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(share * 1_000_000)).select("fp").limit(2 * SAMPLE)
     sample = _matrix([bytes(r["fp"]) for r in picked.collect()])
-    leaf_rows = LEAF_ROWS * (16 if bands else 1)
-    root, _ = build(sample, max(8, math.ceil(leaf_rows * len(sample) / max(n, 1)))) if len(sample) else build(np.zeros((0, 1), np.uint64), 8)
+    root, _ = build(sample, max(8, math.ceil(LEAF_ROWS * len(sample) / max(n, 1)))) if len(sample) else build(np.zeros((0, 1), np.uint64), 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, band, node, fp = _matrix(b.column("fp").to_pylist()), b.column("band").to_numpy(), b.column("node"), b.column("fp")
-            for visit in (False, True) if bands else (False,):
-                at, leaf, home = route(root, rows, np.full(len(rows), not visit), radius)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(band[at] + visit, pa.int32()), pa.array(leaf, pa.int32()), pa.array(home), node.take(pa.array(at)), fp.take(pa.array(at))], names=["band", "leaf", "home", "node", "fp"]
-                )
+            rows, node, fp = _matrix(b.column("fp").to_pylist()), b.column("node"), b.column("fp")
+            at, leaf, home = route(root, rows, np.ones(len(rows), bool), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(home), node.take(pa.array(at)), fp.take(pa.array(at))], names=["leaf", "home", "node", "fp"])
 
     def meet(t: pa.Table) -> pa.Table:
         node, home = t.column("node").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
@@ -121,8 +112,8 @@ def near_edges(nodes: DataFrame, radius: int, bands: bool) -> DataFrame:
         mine = node[order]
         return pa.table({"a": pa.array(mine[mine != least]), "b": pa.array(least[mine != least])})
 
-    dealt = nodes.select("node", "fp", "band").mapInArrow(deal, "band int, leaf int, home boolean, node long, fp binary")
-    return dealt.groupBy("band", "leaf").applyInArrow(meet, "a long, b long").distinct()
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "leaf int, home boolean, node long, fp binary")
+    return dealt.groupBy("leaf").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,22 +151,22 @@ def near_components(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: i
     Equal fingerprints are put together first, so a group of copies is one node however large.
     Rows with one doc_id count as one document with several texts; a null doc_id is the least.
     """
-    prints = save(fingerprints(shingles(docs, shingle), bits).withColumn("band", F.lit(0)), "fingerprints")
-    nodes = save(prints.groupBy("fp", "band").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(near_edges(nodes, radius, False).unionByName(_same_document(prints, nodes, ["fp", "band"])))
-    return _labelled(prints, nodes, found, ["fp", "band"]).select("doc_id", "fp", "n_words", "component_id")
+    prints = save(fingerprints(shingles(docs, shingle), bits), "fingerprints")
+    nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    found = components(near_edges(nodes, radius).unionByName(same_document(prints, nodes, ["fp"])))
+    return labelled(prints, nodes, found, ["fp"]).select("doc_id", "fp", "n_words", "component_id")
 
 
-def _labelled(prints: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+def labelled(prints: DataFrame, nodes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """``prints`` with the component_id of the node that has their ``keys``."""
-    odd = F.pmod(F.xxhash64("fp"), F.lit(7)).alias("odd")
+    odd = F.pmod(F.xxhash64(*keys), F.lit(7)).alias("odd")
     ends = nodes.join(found, "node", "left").select(*keys, odd, F.coalesce("root", "node").alias("root"))
     out = prints.withColumn("odd", odd).join(ends, [*keys, "odd"])
     nullable = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(nullable("doc_id").alias("doc_id"), *[c for c in prints.columns if c != "doc_id"], nullable("root").alias("component_id"))
 
 
-def _same_document(prints: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+def same_document(prints: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Edges between the nodes of a doc_id that has several."""
     many = prints.select("doc_id", *keys).distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", F.lit(1).alias("odd"))
     rows = prints.withColumn("odd", F.lit(1)).join(many, ["doc_id", "odd"]).select("doc_id", *keys).distinct().join(nodes, keys)
@@ -183,100 +174,6 @@ def _same_document(prints: DataFrame, nodes: DataFrame, keys: list[str]) -> Data
     return rows.join(least, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def link_alike(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mark: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Edges (i, others) of a forest whose trees are the groups of alike sets.
-
-    Set i is flat[starts[i] : starts[i] + sizes[i]], places in ``mark``, which is all False. A set that
-    was reached is compared with those not reached yet alone, so a group of copies makes few pairs.
-    """
-    num, den = ALIKE
-    left, out = np.arange(len(sizes)), []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            others = left[(den * sizes[left] >= num * sizes[i]) & (den * sizes[i] >= num * sizes[left])]
-            if not len(others):
-                continue
-            mine, n = flat[starts[i] : starts[i] + sizes[i]], sizes[others]
-            ends = np.cumsum(n)
-            mark[mine] = True
-            both = np.add.reduceat(mark[flat[np.repeat(starts[others] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
-            mark[mine] = False
-            hit = others[den * both >= num * (sizes[i] + n - both)]
-            if len(hit):
-                out.append((i, hit))
-                queue.extend(hit.tolist())
-                left = left[~np.isin(left, hit)]
-    return out
-
-
-def alike_edges(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Edges (a, b), a > b, of a forest whose trees are the groups of alike texts within each group of ``linked``.
-
-    ``linked`` has node, n (distinct shingles) and root, the group. Only these documents' shingles are
-    made anew. Small groups share tasks; a large one is dealt out in blocks, each two of which
-    meet, so that no task holds more than two.
-    """
-    groups = linked.groupBy("root").agg(F.sum("n").alias("total")).withColumn("k", F.ceil(F.col("total") / BLOCK))
-    tasks = max(1, math.ceil((linked.agg(F.sum("n")).first()[0] or 0) / TOGETHER))
-    ids = linked.select(F.col("node").alias("__q_id"), "root").distinct().join(groups, "root").select("__q_id", "root", "k")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    picked = keyed.join(ids.hint("merge"), F.col("doc_id") == F.col("__q_id"))
-    sets = shingles(picked, SHINGLE, ("root", "k")).select(F.col("doc_id").alias("node"), "root", "k", F.array_distinct("h").alias("h"))
-    block, other = F.pmod(F.xxhash64("node"), F.col("k")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    sets = sets.withColumn("block", block).withColumn("other", other)
-    own = F.col("k") > 1
-    task = F.when(own, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))
-    sets = sets.select("node", "root", "h", task.alias("task"), F.when(own, F.least("block", "other")).otherwise(-1).alias("i"), F.greatest("block", "other").alias("j"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        node, root, h = t.column("node").to_numpy(), t.column("root").to_numpy(), t.column("h").combine_chunks()
-        h = pa.concat_arrays(h.chunks) if isinstance(h, pa.ChunkedArray) else h
-        sizes = np.diff(h.offsets.to_numpy()).astype(np.int64)
-        names, flat = np.unique(h.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        starts, mark, order = np.cumsum(sizes) - sizes, np.zeros(len(names), bool), np.argsort(root, kind="stable")
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            rows = rows[sizes[rows] >= ALIKE[0]]  # a filter in Spark would copy the shingles' expression
-            for i, hit in link_alike(flat, starts[rows], sizes[rows], mark):
-                a.append(np.full(len(hit), node[rows[i]]))
-                b.append(node[rows[hit]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.maximum(a, b)[a != b], "b": np.minimum(a, b)[a != b]})
-
-    return sets.groupBy("task", "i", "j").applyInArrow(meet, "a long, b long").distinct()
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group: that with the least doc_id.
-
-    A text is the set of its shingles of five words. Texts of equal sets are one node. Two that
-    share a part s of their shingles (0.8 or more) differ in a share arccos(2s / (1 + s)) / pi
-    of their bits, 0.15 at 0.8: 39 of 256, give or take 6, and at most 48, give or take 6, in
-    sets of four and five. 70 is over five standard deviations beyond, three and a half in
-    those; unrelated texts differ in 128 bits, give or take 8. Fingerprints give the groups within which texts
-    are compared; what links them is their share of common shingles, counted exactly. A
-    radius this large lets the tree prune little: bands of the number of shingles, which
-    differ by a fifth at most, do most of the pruning there. Sets of fewer than four are
-    alike only if equal.
-    """
-    share = ALIKE[0] / ALIKE[1]
-    keys = ["name1", "name2", "n", "band", "fp"]
-    rows = shingles(docs, SHINGLE).withColumn("h", F.sort_array(F.array_distinct("h")))
-    rows = rows.select("doc_id", F.size("h").alias("n"), F.xxhash64(F.lit(1), "h").alias("name1"), F.xxhash64(F.lit(2), "h").alias("name2"), "h")
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(share)).cast("int")
-    prints = save(fingerprints(rows, BITS).withColumn("band", band), "fingerprints")
-    nodes = save(prints.groupBy(*keys).agg(F.min("doc_id").alias("node")), "nodes")
-    same = save(_same_document(prints, nodes, keys), "same-document")
-    linked = components(near_edges(nodes.where(F.col("n") >= ALIKE[0]), RADIUS, True).unionByName(same))
-    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct()
-    found = components(alike_edges(docs, nodes.select("node", "n").join(linked, "node")).unionByName(same))
-    found = _labelled(prints, nodes, found, keys).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__q_id")).distinct()
-    return docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, "__q_id", "left_anti").drop("__q_id")
-
-
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

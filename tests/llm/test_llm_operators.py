@@ -210,52 +210,6 @@ def test_simhash(docs, empty):
     assert got[2][1] == 1
     assert got[4][1] == 3
     assert simhash.near_components(empty).count() == 0
-    assert simhash.near_dedup(docs).columns == docs.columns
-
-
-def near_sets(texts):
-    """Shingle sets, and the groups' least ids by brute force."""
-    sets = {}
-    for k, t in texts.items():
-        w = WORD.findall(t.lower())
-        sets[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    root = {k: k for k in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if r == high else r for k, r in root.items()}
-    return sets, root
-
-
-def test_near_dedup_links_alike_texts_alone(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (222, 1302, 1451, 6020)").select("doc_id", "text").collect()
-    sets, _ = near_sets({r.doc_id: r.text for r in rows})
-    assert all(5 * len(sets[a] & sets[b]) < 4 * len(sets[a] | sets[b]) for a, b in ((222, 1302), (1451, 6020)))
-    assert simhash.near_dedup(spark.createDataFrame(rows)).count() == 4
-
-
-def test_near_dedup_links_texts_just_above_the_share(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (3666, 9814)").select("doc_id", "text").collect()
-    assert set(near_sets({r.doc_id: r.text for r in rows})[1].values()) == {3666}
-    assert [r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows)).collect()] == [3666]
-
-
-def test_near_dedup_in_blocks_equals_brute_force(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    base, texts = [f"w{i}" for i in range(120)], {}
-    for k in range(60):
-        w = list(base)
-        for i in rng.integers(0, 120, k % 6):
-            w[i] = f"x{k}y{i}"
-        texts[k] = " ".join(w)
-    want = sorted(set(near_sets(texts)[1].values()))
-    assert 1 < len(want) < 60
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for block in (simhash.BLOCK, 1500):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        monkeypatch.setattr(simhash, "RADIUS", 256)
-        assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
 
 
 def test_tree_finds_all_links():
