@@ -1,24 +1,29 @@
 """Operator 4: removal of every byte in a 200-byte string that also starts elsewhere.
 
-Prefix-free parsing. The text of each document is parsed at triggers: places whose rolling
-hash over ANCHOR bytes is the least in some run of SPAN places. Equal strings of
-WINDOW = ANCHOR + SPAN - 1 bytes hold equal triggers at equal places, so a string can only
-recur where its trigger's phrase recurs. A phrase (the anchor with the bytes around it
-that its windows reach) gets a 128-bit name; the dictionary is the set of names with their
-counts, the parse says where each stands. A name that occurs twice makes all its windows
-repeats. Where only a part of a phrase recurs, the places of its windows are
-narrowed down: windows at offsets a..b before the trigger have the bytes common to all of them as
-their inner string and the bytes any of them reaches as their outer string. An inner string
-that is unique ends the search, an outer string that is not unique covers all.
-
-This replaces the suffix arrays over dictionary and parse: of the corpus order, only
-whether neighbours share WINDOW bytes is asked for, and equal names answer that without
-sorting a dictionary that is as long as the corpus where most text is unique.
+Prefix-free parsing, dealt out. A rolling hash over GRAM bytes sets triggers: a window of 200 bytes
+has as its trigger the place, of its first SPAN, with the least hash (the first of equals), so
+equal windows have equal triggers at equal places. From its trigger on, a window holds at least
+PHRASE bytes: the phrase. The dictionary is the set of phrases, the parse the list of triggers.
+Windows with one trigger start at neighbouring places, so a trigger is one row: the phrase's
+name, and that of its context, which is all bytes that its windows cover.
+
+1. Rows meet by phrase. Of a phrase that occurs once, all windows are unique. Of a context that
+   occurs twice or more, all are repeats. What is open: a phrase that stands in several contexts.
+2. Open rows are dealt out by chunks of CHUNK starts, under the name of the bytes that all windows
+   of the chunk share. Within such a name, the bytes before it put the rows into one order
+   (the dictionary's suffixes), the bytes behind it into another (the suffixes of the
+   parse). Neighbours' common lengths in both orders give, for each start, the classes of equal
+   bytes before and behind; rows in one class of either are equal windows.
+
+So the corpus order of suffixes is only made where it decides something, and in groups that share
+almost 200 bytes, never for the whole corpus. Steps 1 and 2 compare names of 128 bits; the
+bytes that step 2 sorts are compared as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,28 +34,18 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import discard, save, table, text_or_empty
 from codequarry.llm.exact_dedup import NO_ID
 
-WINDOW = 200
-#: Parts that a range of offsets is cut into.
-WAYS = 4
-#: A power of two: offsets of windows before a trigger are narrowed down.
-SPAN = 128
-ANCHOR = WINDOW - SPAN + 1
+WINDOW, GRAM, SPAN, CHUNK = 200, 8, 128, 16
+#: Bytes from the trigger on that all windows of a trigger hold.
+PHRASE = WINDOW - SPAN + 1
+#: Triggers looked at together; rows held before they are dealt; rows of a task, about; bytes of texts taken at once.
+TOGETHER, HELD, TASK_ROWS, AT_ONCE = 1 << 15, 1 << 19, 1 << 18, 1 << 22
+_WORDS = (SPAN - 1 + WINDOW + 7) // 8
 _rng = np.random.default_rng(4)
-#: A random value for each byte, and an odd base, of each of two polynomial hashes modulo 2^64.
-VALUES = _rng.integers(0, 2**64, (2, 256), np.uint64)
-BASES = _rng.integers(0, 2**62, 2, np.uint64) * np.uint64(4) + np.uint64(3)
-_powers: list[np.ndarray] = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of both bases, and of their inverses, up to n."""
-    if _powers[0].shape[1] <= n:
-        size = max(1 << 16, 2 * n)
-        for k, base in enumerate((BASES, np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64))):
-            steps = np.repeat(base[:, None], size, 1)
-            steps[:, 0] = 1
-            _powers[k] = np.multiply.accumulate(steps, axis=1)
-    return _powers
+#: Random odd multipliers and values of two hashes over words of eight bytes.
+_M, _X = _rng.integers(0, 2**63, (2, _WORDS), np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 2**64, (2, _WORDS), np.uint64)
+_ROW = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("t", "<u4"), ("most", "u1"), ("least", "u1"), ("known", "u1")])
+_PART = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("t", "<u4"), ("chunk", "u1"), ("low", "u1"), ("high", "u1"), ("need", "u1"), ("left", "u1", (CHUNK,)), ("right", "u1", (CHUNK,))])
+_SPANS = "doc long, h long, spans binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,141 +54,276 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes:
-    """Names of any part of one text, from prefix sums."""
+def _hash(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of each row of a byte matrix."""
+    width = rows.shape[1]
+    padded = np.zeros((len(rows), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    x = padded.view("<u8") ^ _X[k, : padded.shape[1] // 8]
+    x ^= x >> np.uint64(32)
+    return _mix((x * _M[k, : x.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(width))
+
+
+def triggers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger, first start, last start) of each run of windows of a text with one trigger."""
+    n = len(raw)
+    if n < WINDOW:
+        return (np.zeros(0, np.int64),) * 3
+    grams = np.ndarray((n - GRAM + 1,), "<u8", raw.tobytes(), strides=(1,))
+    h = grams * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    # The place below the hash: of equal hashes, the first is the least.
+    h = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    blocks = np.concatenate([h, np.full(-len(h) % SPAN, np.uint64(2**64 - 1))]).reshape(-1, SPAN)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    last = n - WINDOW
+    t = (np.minimum(back[: last + 1], ahead[SPAN - 1 : SPAN + last]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
+    return t[first], first, np.append(first[1:] - 1, last)
+
+
+def _around(raw: np.ndarray, t: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A row of bytes for each trigger, SPAN - 1 before it and WINDOW from it on, zero outside [first, stop)."""
+    at = t[:, None] + np.arange(1 - SPAN, WINDOW)
+    return np.where((at >= first[:, None]) & (at < stop[:, None]), raw[np.clip(at, 0, len(raw) - 1)], 0).astype(np.uint8)
+
+
+def _rows_of(doc: int, h: int, text: bytes) -> Iterator[np.ndarray]:
+    raw = np.frombuffer(text, np.uint8)
+    t, first, last = triggers(raw)
+    for begin in range(0, len(t), TOGETHER):
+        at, a, b = t[begin : begin + TOGETHER], first[begin : begin + TOGETHER], last[begin : begin + TOGETHER]
+        seen = _around(raw, at, a, b + WINDOW)
+        rows = np.empty(len(at), _ROW)
+        rows["key"] = _hash(seen[:, SPAN - 1 : SPAN - 1 + PHRASE], 0)
+        rows["most"], rows["least"], rows["known"] = at - a, at - b, 0
+        rows["ctx"] = _mix(_hash(seen, 1) + (rows["most"].astype(np.uint64) * np.uint64(256) + rows["least"]) * np.uint64(0x9E3779B97F4A7C15))
+        rows["doc"], rows["h"], rows["t"] = doc, h, at
+        yield rows
+
+
+def _texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """Rows of batches, a few at a time, so that texts are not all copied at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 200):
+            part = batch.slice(begin, 200)
+            yield from zip(*[part.column(c).to_pylist() for c in names], strict=True)
 
-    def __init__(self, data: bytes):
-        raw = np.frombuffer(data, np.uint8)
-        self.n = len(raw)
-        powers, self.inverse = _power_tables(self.n + 1)
-        self.prefix = [np.concatenate([[np.uint64(0)], np.cumsum(VALUES[k][raw] * powers[k, : self.n])]) for k in (0, 1)]
 
-    def of(self, start: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
-        """Names of [start, stop), cut off at the text's ends, with how much was cut off."""
-        a, b = np.clip(start, 0, self.n), np.clip(stop, 0, self.n)
-        cut = (a - start).astype(np.uint64) * np.uint64(1 << 20) + (stop - b).astype(np.uint64)
-        return _mix((self.prefix[k][b] - self.prefix[k][a]) * self.inverse[k][a] + _mix((b - a).astype(np.uint64) + cut * np.uint64(0x9E3779B97F4A7C15)))
+def _by_bucket(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    bucket = (_mix(rows["key"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]])[: None if len(rows) else 1]
+    raw, size = rows.tobytes(), rows.dtype.itemsize
+    return bucket[edges[:-1]].tolist(), [raw[a * size : b * size] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-    def triggers(self) -> np.ndarray:
-        m = self.n - ANCHOR + 1
-        if m < SPAN:
-            return np.zeros(0, np.int64)
-        at = np.arange(m)
-        h = self.of(at, at + ANCHOR, 0)
-        least = _slide(np.minimum, h, np.uint64(2**64 - 1))
-        # The largest of the minima of the runs that hold a place: its own hash, if it is the least of one.
-        padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
-        return np.flatnonzero(_slide(np.maximum, padded, np.uint64(0)) == h)
 
+def _spans(doc: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list, list, list]:
+    """Runs of starts by text: doc, h, and (first, last) of all its runs, packed."""
+    order = np.lexsort((doc, h))
+    doc, h, pairs = doc[order], h[order], np.stack([first[order], last[order]], 1).astype("<u4")
+    edges = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(h) != 0)) + 1, [len(doc)]])[: None if len(doc) else 1]
+    raw = pairs.tobytes()
+    return doc[edges[:-1]].tolist(), h[edges[:-1]].tolist(), [raw[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-def _slide(f: np.ufunc, x: np.ndarray, neutral: np.uint64) -> np.ndarray:
-    """f over each run of SPAN items."""
-    n = len(x)
-    blocks = np.concatenate([x, np.full(-n % SPAN, neutral)]).reshape(-1, SPAN)
-    ahead = f.accumulate(blocks, axis=1).ravel()
-    back = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - SPAN + 1], ahead[SPAN - 1 : n])
 
+def _runs(rows: np.ndarray) -> tuple[list, list, list]:
+    return _spans(rows["doc"], rows["h"], rows["t"].astype(np.int64) - rows["most"], rows["t"].astype(np.int64) - rows["least"])
 
-def keys(h: Hashes, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of windows at offsets a..b before trigger p: the inner string's name, and both halves of the outer's."""
-    inner = h.of(p - a, p - b + WINDOW, 0) ^ _mix(a.astype(np.uint64) * np.uint64(1024) + b.astype(np.uint64))
-    return inner, h.of(p - b, p - a + WINDOW, 0) ^ _mix(b.astype(np.uint64) + np.uint64(1)), h.of(p - b, p - a + WINDOW, 1)
 
+def _groups(rows: np.ndarray, fields: tuple[str, ...]) -> np.ndarray:
+    """The number of the group, of rows sorted by ``fields``, that each row is in."""
+    new = np.zeros(len(rows), bool)
+    for f in fields:
+        new[1:] |= rows[f][1:] != rows[f][:-1]
+    return np.cumsum(new)
 
-_ROW = "doc long, h long, p long, a int, open boolean, inner_key long, u1 long, u2 long"
 
+def _parse(buckets: int):
+    """Rows of triggers, dealt out (bucket, rows); contexts seen twice in one task are repeats at once
+    (doc, h, spans), and only one of them goes on, marked as known."""
 
-def _emit(parts: list[tuple]) -> pa.RecordBatch:
-    kinds = [np.int64, np.int64, np.int64, np.int32, bool, np.uint64, np.uint64, np.uint64]
-    cols = [np.concatenate(c) if parts else np.zeros(0, k) for c, k in zip(zip(*parts, strict=True) if parts else [()] * 8, kinds, strict=True)]
-    cols = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(k) for c, k in zip(cols, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _ROW.split(", ")])
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
+        group = _groups(rows, ("key", "ctx"))
+        twice = np.bincount(group)[group] > 1
+        doc, h, spans = _runs(rows[twice])
+        rows["known"] = twice
+        bucket, packed = _by_bucket(rows[np.concatenate([[True], np.diff(group) != 0])], buckets)
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        cols = [bucket + [None] * len(doc), packed + [None] * len(doc), [None] * len(bucket) + doc, [None] * len(bucket) + h, [None] * len(bucket) + spans]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "rows", "doc", "h", "spans"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, n = set(), [], 0
+        for doc, h, text in _texts(batches, ["doc", "h", "bytes"]):
+            if len(text) < WINDOW or (h, len(text)) in seen:  # copies of whole texts are found elsewhere
+                continue
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.add((h, len(text)))
+            for rows in _rows_of(doc, h, text):
+                held.append(rows)
+                n += len(rows)
+                if n >= HELD:
+                    yield emit(held)
+                    held, n = [], 0
+        if held:
+            yield emit(held)
+
+    return run
+
+
+_MET = "doc long, h long, spans binary, t long, most int, least int, need boolean, key long"
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Of the rows of a bucket: spans of repeated contexts, and open rows, one for each context."""
+    rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), _ROW)
+    rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
+    context, phrase = _groups(rows, ("key", "ctx")), _groups(rows, ("key",))
+    one_each = np.concatenate([[True], np.diff(context) != 0])
+    again = np.bincount(context)[context] > 1
+    contexts = np.bincount(phrase[one_each], minlength=phrase[-1] + 1)[phrase]
+    doc, h, spans = _runs(rows[again & (rows["known"] == 0)])
+    ready = pa.table({"doc": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "spans": pa.array(spans, pa.binary())})
+    anyone_known = np.maximum.reduceat(rows["known"], np.flatnonzero(one_each))[context] > 0
+    need = ~again & ~anyone_known
+    some_need = np.bincount(phrase, need)[phrase] > 0
+    pick = one_each & (contexts > 1) & some_need
+    o = rows[pick]
+    still = pa.table({
+        "doc": o["doc"].copy(), "h": o["h"].copy(), "t": o["t"].astype(np.int64), "most": o["most"].astype(np.int32), "least": o["least"].astype(np.int32),
+        "need": pa.array(need[pick]), "key": o["key"].view(np.int64) if o["key"].flags.c_contiguous else o["key"].copy().view(np.int64),
+    })
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("spans", pa.binary()), ("t", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("need", pa.bool_()), ("key", pa.int64())])
+    return pa.concat_tables([ready, still], promote_options="default").select(schema.names).cast(schema)
+
+
+def _chunks(buckets: int):
+    """Of open rows (asked, with their text): a part for each chunk of starts, under the name of what its windows share."""
+
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, packed = _by_bucket(np.concatenate(held), buckets)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "parts"])
 
-def _all_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 500):
-            parts = []
-            for doc, h, text in zip(*[c.to_pylist() for c in batch.slice(begin, 500).columns], strict=True):
-                if len(text) < WINDOW:
-                    continue
-                hashes = Hashes(text)
-                p = hashes.triggers()
-                zero = np.zeros(len(p), np.int64)
-                parts.append((zero + doc, zero + h, p, zero, zero == 0, *keys(hashes, p, zero, zero + SPAN - 1)))
-            yield _emit(parts)
-
-
-def _open_ranges(width: int, ways: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                parts = []
-                for doc, h, text, asked in zip(*[c.to_pylist() for c in batch.slice(begin, 500).columns], strict=True):
-                    hashes = Hashes(text)
-                    p, a, still = (np.array([x[k] for x in asked]) for k in ("p", "a", "open"))
-                    p, a, still = np.tile(p, ways), np.concatenate([a + k * width for k in range(ways)]), np.tile(still, ways)
-                    ok = (p - a >= 0) & (p - a - width + 1 <= hashes.n - WINDOW)  # else no window of the text
-                    p, a, still = p[ok], a[ok], still[ok]
-                    zero = np.zeros(len(p), np.int64)
-                    parts.append((zero + doc, zero + h, p, a, still, *keys(hashes, p, a, a + width - 1)))
-                yield _emit(parts)
+        held, n = [], 0
+        for doc, h, text, asked in _texts(batches, ["doc", "h", "bytes", "asked"]):
+            raw = np.frombuffer(text, np.uint8)
+            every = [np.array([x[k] for x in asked]) for k in ("t", "most", "least", "need", "key")]
+            for begin in range(0, len(asked), TOGETHER):
+                t, most, least, need, key = (c[begin : begin + TOGETHER] for c in every)
+                seen = _around(raw, t, t - most, t - least + WINDOW)
+                for chunk in range(int(least.min()) // CHUNK, int(most.max()) // CHUNK + 1):
+                    a0, a1 = chunk * CHUNK, chunk * CHUNK + CHUNK - 1
+                    on = np.flatnonzero((most >= a0) & (least <= a1))
+                    if not len(on):
+                        continue
+                    mine, parts = seen[on], np.empty(len(on), _PART)
+                    # Bytes from a0 before the trigger up to WINDOW - a1 behind it are in each window of the chunk.
+                    inner = mine[:, SPAN - 1 - a0 : SPAN - 1 + WINDOW - a1]
+                    parts["key"] = _mix(_hash(inner, 0) ^ _mix(key[on].view(np.uint64) + np.uint64(chunk)) ^ (_hash(inner, 1) << np.uint64(1)))
+                    parts["doc"], parts["h"], parts["t"], parts["chunk"], parts["need"] = doc, h, t[on], chunk, need[on]
+                    parts["low"], parts["high"] = np.maximum(least[on] - a0, 0), np.minimum(most[on] - a0, CHUNK - 1)
+                    parts["left"], parts["right"] = 0, 0
+                    parts["left"][:, : CHUNK - 1] = mine[:, SPAN - 1 - a1 : SPAN - 1 - a0][:, ::-1]
+                    parts["right"][:, : CHUNK - 1] = mine[:, SPAN - 1 + WINDOW - a1 : SPAN - 1 + WINDOW - a0]
+                    held.append(parts)
+                    n += len(parts)
+                if n >= HELD:
+                    yield emit(held)
+                    held, n = [], 0
+        if held:
+            yield emit(held)
 
     return run
 
 
+def _order(key: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their key and bytes, and how many bytes each shares with the one before; -1: not even the key."""
+    words = np.ascontiguousarray(side).view(">u8").astype(np.uint64)
+    order = np.lexsort((words[:, 1], words[:, 0], key))
+    s = side[order]
+    differ = np.concatenate([s[1:] != s[:-1], np.ones((max(len(s) - 1, 0), 1), bool)], 1)
+    common = np.where(key[order][1:] == key[order][:-1], differ.argmax(1), -1)
+    return order, np.concatenate([[-1], common])
+
+
+def equal_windows(parts: np.ndarray) -> np.ndarray:
+    """A row of CHUNK flags for each part: whether the window that starts so many bytes further before the trigger has an equal."""
+    before, common_before = _order(parts["key"], parts["left"])
+    behind, common_behind = _order(parts["key"], parts["right"])
+    out, n = np.zeros((len(parts), CHUNK), bool), len(parts)
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(CHUNK):
+        left[before] = np.cumsum(common_before < d)
+        right[behind] = np.cumsum(common_behind < CHUNK - 1 - d)
+        on = np.flatnonzero((parts["low"] <= d) & (parts["high"] >= d))
+        _, at, many = np.unique(left[on] * (n + 1) + right[on], return_inverse=True, return_counts=True)
+        out[on, d] = many[at] > 1
+    return out
+
+
+def _settle(t: pa.Table) -> pa.Table:
+    """Spans of the windows of a bucket's parts that have equals."""
+    parts = np.frombuffer(b"".join(t.column("parts").to_pylist()), _PART)
+    hit = equal_windows(parts) & (parts["need"] > 0)[:, None]
+    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    a0 = parts["t"][row].astype(np.int64) - parts["chunk"][row].astype(np.int64) * CHUNK
+    doc, h, spans = _spans(parts["doc"][row], parts["h"][row], a0 - end + 1, a0 - begin)
+    return pa.table({"doc": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "spans": pa.array(spans, pa.binary())})
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("bytes"))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc, h, p, a, width: windows that start at p - a - width + 1 .. p - a are all repeats.
-
-    A table a round, 5 rounds for any input. Groups of equal names are counted, never gathered:
-    of one, a row goes on as a witness for others that share but a part with it.
-    """
-    odd = lambda k: F.pmod(F.col(k), F.lit(7)).alias("odd")
-    first = save(_rows(docs).mapInArrow(_all_triggers, _ROW), "triggers")
-    twice = first.groupBy("inner_key").agg(F.count("*").alias("k")).where("k > 1").select("inner_key", odd("inner_key"))
-    rows = save(first.withColumn("odd", F.pmod("inner_key", F.lit(7))).join(twice, ["inner_key", "odd"], "left_semi").drop("odd"), "phrases")
-    discard(first)
-    found, texts, width = None, None, SPAN
-    while True:
-        # Any row of equal names will do as their witness; first() of plain columns, unlike min() of a struct, needs no sort.
-        names = rows.groupBy("inner_key", "u1", "u2").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("doc", "h", "p", "a")], F.max("open").alias("open"))
-        names = save(names, "phrase-names")
-        again = names.where("k > 1").select("u1", "u2", "inner_key", odd("u2"))
-        covered = rows.where("open").select("doc", "h", "p", "a", "u1", "u2", "inner_key", odd("u2")).join(again, ["u1", "u2", "inner_key", "odd"], "left_semi")
-        covered = save(covered.select("doc", "h", "p", "a", F.lit(width).alias("width")), "covered")
-        found = covered if found is None else found.unionByName(covered)
-        if width == 1:
-            return found
-        entries = names.select("inner_key", "doc", "h", "p", "a", (F.col("open") & (F.col("k") == 1)).alias("open"), odd("inner_key"))
-        live = entries.groupBy("inner_key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("inner_key", odd("inner_key"))
-        state = entries.join(live, ["inner_key", "odd"], "left_semi").groupBy("doc", "h").agg(F.collect_list(F.struct("p", "a", "open")).alias("asked"))  # of one text
-        state = save(state, "open-ranges")
-        if texts is None:
-            texts = save(_rows(docs).join(state.select("doc", "h"), ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]), "open-texts")
-        ways = min(WAYS, width)
-        width //= ways
-        old = (rows, names, state)
-        rows = save(texts.join(state, ["doc", "h"]).select("doc", "h", "bytes", "asked").mapInArrow(_open_ranges(width, ways), _ROW), "phrases")
-        for done in old:
-            discard(done)
-
-
-def cut(text: bytes, ranges: list) -> tuple[bytes, list[tuple[int, int]]]:
-    """What stays of a text, and the (start, stop) of its maximal removed runs."""
-    if not ranges:
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """doc, h of the rows whose whole text, of WINDOW bytes or more, another row has too."""
+    text = text_or_empty()
+    light = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(4), text).alias("h2"), F.octet_length(text).alias("n")).where(F.col("n") >= WINDOW)
+    rows = save(light.groupBy("doc", "h", "h2", "n").agg(F.count("*").alias("k")), "text-names")
+    odd = F.pmod("h2", F.lit(7)).alias("odd")  # one more key than the aggregation has: Spark can split a hot text's rows
+    twice = rows.groupBy("h", "h2", "n").agg(F.sum("k").alias("all")).where(F.col("all") > 1).select("h", "h2", "n", odd)
+    return rows.select("doc", "h", "h2", "n", odd).join(twice.hint("merge"), ["h", "h2", "n", "odd"], "left_semi").select("doc", "h")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc, h, spans, whole: the runs of starts (first, last: 32-bit pairs) whose windows are all repeats; whole: all of the text."""
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    dealt = save(_rows(docs).mapInArrow(_parse(max(1, math.ceil(2 * size / SPAN / TASK_ROWS))), "bucket long, rows binary, doc long, h long, spans binary"), "triggers")
+    met = save(dealt.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, _MET), "phrases")
+    known = save(dealt.where("bucket is null").select("doc", "h", "spans"), "repeats")
+    discard(dealt)
+    still = met.where("spans is null")
+    n = still.count()
+    asked = save(still.groupBy("doc", "h").agg(F.collect_list(F.struct("t", "most", "least", "need", "key")).alias("asked")), "open")  # of one text's own triggers
+    texts = _rows(docs).join(asked.hint("merge"), ["doc", "h"]).dropDuplicates(["doc", "h"])
+    parts = texts.mapInArrow(_chunks(max(1, math.ceil(n * (SPAN / CHUNK) / TASK_ROWS))), "bucket long, parts binary")
+    settled = parts.groupBy("bucket").applyInArrow(_settle, _SPANS)
+    spans = met.where("spans is not null").select("doc", "h", "spans").unionByName(known).unionByName(settled)
+    spans = spans.unionByName(copied_texts(docs).distinct(), allowMissingColumns=True)
+    out = save(spans.groupBy("doc", "h").agg(F.collect_list("spans").alias("spans"), F.bool_or(F.isnull("spans")).alias("whole")), "spans")  # of one text
+    for done in (met, known, asked):
+        discard(done)
+    return out
+
+
+def cut(text: bytes, spans: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """What stays of a text, and the (start, stop) of its maximal removed runs; ``spans``: first and last start of repeated windows."""
+    if not len(spans):
         return text, []
-    p, a, width = (np.array([r[k] for r in ranges]) for k in ("p", "a", "width"))
-    low, high = np.maximum(0, p - a - width + 1), np.minimum(len(text) - WINDOW, p - a)
-    ok = low <= high
     marks = np.zeros(len(text) + 1, np.int64)
-    np.add.at(marks, low[ok], 1)
-    np.add.at(marks, high[ok] + WINDOW, -1)
+    np.add.at(marks, spans[:, 0], 1)
+    np.add.at(marks, spans[:, 1] + WINDOW, -1)
     gone = np.cumsum(marks)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
@@ -204,28 +334,34 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     Strings are compared within and across documents, never over a document's end, on the
     input alone. Null texts are empty. Rows alike in doc_id and text are two places of
-    their strings, like any copies. Other columns are not looked at.
+    their strings, like any copies. Other columns are not looked at; an empty table stays empty.
+    A very long text takes, while it is parsed, some 40 bytes for each of its bytes, in one
+    task; its rows are dealt out in parts. Texts of 4 GB or more are not supported (nor does Spark hold one).
     """
-    ranges = repeated_ranges(docs).groupBy("doc", "h").agg(F.collect_list(F.struct("p", "a", "width")).alias("ranges"))
-    ranges = save(ranges, "ranges")
+    found = repeated_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for begin in range(0, b.num_rows, 200):
-                part = b.slice(begin, 200)
-                texts = part.column("bytes").to_pylist()
-                out = [cut(t, r) for t, r in zip(texts, part.column("ranges").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if d == NO_ID else d for d in part.column("doc").to_pylist()], pa.int64()),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([k for k, _ in out], pa.binary()),
-                        pa.array([[{"start": s, "stop": e} for s, e in r] for _, r in out], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    ],
-                    names=["doc_id", "n_bytes", "kept", "removed"],
-                )
-
-    rows = _rows(docs).join(ranges, ["doc", "h"], "left").select("doc", "bytes", "ranges")
+        held, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            doc, n, kept, runs = zip(*held, strict=True)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, kind)], names=["doc_id", "n_bytes", "kept", "removed"])
+
+        for doc, text, spans, whole in _texts(batches, ["doc", "bytes", "spans", "whole"]):
+            if whole:
+                kept, runs = b"", [(0, len(text))]
+            else:
+                kept, runs = cut(text, np.frombuffer(b"".join(spans or []), "<u4").reshape(-1, 2).astype(np.int64))
+            held.append((None if doc == NO_ID else doc, len(text), kept, [{"start": s, "stop": e} for s, e in runs]))
+            size += len(kept)
+            if size > AT_ONCE or len(held) >= 5000:
+                yield emit()
+                held, size = [], 0
+        if held:
+            yield emit()
+
+    rows = _rows(docs).join(found.hint("merge"), ["doc", "h"], "left").select("doc", "bytes", "spans", "whole")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,stop:long>>")
 
 
