@@ -28,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder every executor shares: spark.checkpoint.dir. Where that is unset, one of our own serves a
+    single machine, as in tests; on a cluster, whose executors would not see it, that is an error."""
     if path := spark.conf.get("spark.checkpoint.dir", ""):
         return path
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="codequarry-"))
     return _own_dir[0]
@@ -48,7 +52,9 @@ def shuffle_cleanup(spark: SparkSession):
     try:
         yield
     finally:
-        if before is not None:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
             spark.conf.set(_CLEANUP, before)
 
 

@@ -1,12 +1,15 @@
 """Operator 1: mixing sources to target weights, in fixed-length blocks.
 
 The words of a source, in a fixed order of its documents, are cut into blocks of one
-length. The mix is a list of output slots. Its slots are drawn from the multinomial law
-of the targets given the mix's own totals (that is, without replacement from the list of
-all draws): a Feistel permutation deals the draws of all sources out to the slots of the
-output shards. Within a source, draw number d maps to a block through the source's own
-pseudorandom permutation of block indices, a new one for each pass over the source, and
-blocks are joined to draws by index.
+length. The mix is a list of output shards, each a list of slots, and a slot takes one block.
+
+For each shard, the number of slots of each source is drawn from the multinomial law of the targets:
+each slot's seeded uniform names a source. The totals of independent draws stray from the targets, and
+could ask for a block more often than the limit allows. So a source drawn more often than its target
+asks for gives slots back, from all shards in proportion, and these are redrawn, through a Feistel
+permutation, among the sources that lack blocks. Then the counts of each shard hand out draws: draw d of a
+source maps to a block through that source's own pseudorandom permutation of block indices, a new one
+for each pass over the source, and blocks are joined to slots by index.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, count_up, count_words, root_buckets, running_start, save, table, text_or_empty, with_feistel
+from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, count_up, count_words, discard, root_buckets, running_start, save, table, text_or_empty, with_feistel
 
 BLOCK_WORDS = 64
 SHARDS = 64
@@ -55,15 +58,72 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return by.select("source", "source_no", "source_size", "target", "blocks", "draws", "first_draw", "all_draws")
 
 
+def _named(x: Column, starts: list[int]) -> Column:
+    """The last place of the ascending list ``starts`` whose value is at most x, by bisection. The list has a value for each source."""
+    bounds = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(starts) - 1).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["low"] + acc["high"] + 1, 1)
+        up = F.get(bounds, mid) <= x
+        return F.struct(F.when(up, mid).otherwise(acc["low"]).alias("low"), F.when(up, acc["high"]).otherwise(mid - 1).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(starts).bit_length()))), span, halve, lambda acc: acc["low"])
+
+
+def shard_counts(targets: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """source_no, shard, n: slots of each source in each shard, with source_no, blocks and first, the draws of earlier shards.
+
+    ``targets`` has source_no, blocks, draws, first_draw, all_draws; of these, a row for each source
+    is held by the driver. Shards are of one length, but for the last. Each source gets ``draws`` in all.
+    """
+    spark = targets.sparkSession
+    rows = sorted(targets.select("source_no", "blocks", "draws", "first_draw", "all_draws").collect())
+    if not rows:
+        return spark.createDataFrame([], "source_no int, shard int, n long, blocks long, first long")
+    total = rows[0]["all_draws"]
+    length = max(1, -(-total // shards))
+    place = F.col("place")
+    slots = count_up(spark.createDataFrame([(total,)], "total long"), "total", "place")
+    drawn = _named(F.pmod(F.xxhash64(F.lit(seed), place), F.lit(max(1, total))), [r["first_draw"] for r in rows])
+    drawn = slots.select(F.get(F.array(*[F.lit(r["source_no"]) for r in rows]), drawn).alias("source_no"), F.floor(place / length).cast("int").alias("shard"))
+    # From here on there are at most ``shards`` rows for each source.
+    first = save(drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n")), "shard-draws")
+    quota = spark.createDataFrame([(r["source_no"], r["draws"], r["blocks"]) for r in rows], "source_no int, draws long, blocks long")
+    up_to, all_of = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("source_no")
+    of = first.join(quota, "source_no").withColumn("upto", F.sum("n").over(up_to)).withColumn("got", F.sum("n").over(all_of))
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    share = lambda c: F.floor(c * wide("draws") / wide("got")).cast("long")
+    stays = F.when(F.col("got") <= F.col("draws"), F.col("n")).otherwise(share(wide("upto")) - share(wide("upto") - wide("n")))
+    of = save(of.withColumn("stays", stays).select("source_no", "shard", "n", "stays"), "shard-kept")
+    before = lambda *by: Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    begin = lambda c, *by: F.coalesce(F.sum(c).over(before(*by)), F.lit(0)).cast("long")
+    free = of.groupBy("shard").agg(F.sum(F.col("n") - F.col("stays")).alias("free")).withColumn("begin", begin("free", "shard"))
+    lack = quota.join(of.groupBy("source_no").agg(F.sum("n").alias("got")), "source_no", "left")
+    lack = lack.select("source_no", F.greatest(F.col("draws") - F.coalesce("got", F.lit(0)), F.lit(0)).alias("lack")).withColumn("begin", begin("lack", "source_no"))
+    many = free.agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
+    seats = with_feistel(count_up(free, "free", "i"), "index", F.col("begin") + F.col("i"), F.lit(max(1, many)), F.lit(seed + 1)).select("shard", "index")
+    calls = count_up(lack, "lack", "i").select("source_no", (F.col("begin") + F.col("i")).alias("index"))
+    again = seats.join(calls, "index").groupBy("source_no", "shard").agg(F.count("*").alias("n"))
+    n = of.select("source_no", "shard", F.col("stays").alias("n")).unionByName(again).groupBy("source_no", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    out = save(n.withColumn("first", earlier).join(quota.select("source_no", "blocks"), "source_no"), "shard-counts")
+    discard(first)
+    discard(of)
+    return out
+
+
 def mix_slots(targets: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix: a row for each slot, with shard, slot, source_no, block and pass (0, 1, ..)."""
-    drawn = count_up(targets.select("source_no", "blocks", "draws", "first_draw", "all_draws"), "draws", "d")
+    """The mix: a row for each slot, with source_no, shard, block and pass (0, 1, ..).
+
+    ``block`` is coalesced so that no filter on null blocks is made of a join by it: that would walk each permutation twice.
+    """
+    counts = shard_counts(targets, shards, seed).select("source_no", "shard", "blocks", "first", "n")
+    drawn = count_up(counts, "n", "j").withColumn("d", F.col("first") + F.col("j"))
     n = F.col("blocks")
     drawn = drawn.withColumn("pass", F.floor(F.col("d") / n).cast("long"))
-    drawn = with_feistel(drawn, "place", F.col("first_draw") + F.col("d"), F.col("all_draws"), F.lit(seed))
     drawn = with_feistel(drawn, "block", F.pmod(F.col("d"), n), n, F.xxhash64(F.lit(seed), "source_no", "pass"))
-    length = F.floor((F.col("all_draws") + shards - 1) / shards).cast("long")
-    return drawn.select("source_no", "block", "pass", F.floor(F.col("place") / length).cast("int").alias("shard"), F.pmod("place", length).alias("slot"))
+    return drawn.select("source_no", "shard", F.coalesce("block", F.lit(-1).cast("long")).alias("block"), "pass")
 
 
 def source_streams(docs: DataFrame, targets: DataFrame, buckets: int, extra: list[str]) -> DataFrame:
@@ -93,36 +153,58 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: i
 
     ``docs`` has doc_id, source, size (words), and the ``extra`` columns that tell rows
     with the same doc_id apart. Join both by source_no and block for the mix itself. Null
-    sources are one source, the last; rows may repeat; an empty table mixes to nothing.
+    sources are one source, the last; rows may repeat; an empty table mixes to nothing. A very
+    long text has a piece for each block it reaches into.
     """
     extra = extra or []
-    targets = source_targets(docs.select("source", "size"), block=block)
+    targets = save(source_targets(docs.select("source", "size"), block=block), "targets")
     streams = source_streams(docs, targets, root_buckets(docs.count()), extra)
     return pieces(streams, block), mix_slots(targets, shards, seed)
 
 
-def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    parts, slots = mix(docs, block, seed=seed, extra=extra)
+def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, extra: list[str] | None = None, shards: int = SHARDS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), n_shards (that take any).
+
+    ``docs`` as for mix(). Documents without words, null texts among them, take nothing. Rows alike in doc_id
+    and ``extra`` are documents of their own. At most 64 shards.
+    """
+    parts, slots = mix(docs, block, shards, seed, extra)
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), shard)")
     # The hint: Spark takes the slots for few, as it can't tell how many rows count_up() makes, and would broadcast them.
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"), F.bit_or(bit).alias("bits")).hint("merge")
     keys = ["source_no", "__q_bucket", "place"]
     got = parts.join(times, ["source_no", "block"], "left").groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")],
         F.coalesce(F.sum(F.col("times") * F.col("n_words")), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.bit_count(F.bit_or("bits")), F.lit(0)).cast("long").alias("n_shards"),
     )
-    return got.select("doc_id", "size", "source_size", "target", "taken")
+    return got.select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, __q_h of each row, saved, so that texts are read and counted once."""
+    """doc_id, source, size (words; null texts have none), __q_h of each row, saved, so that texts are read and counted once.
+    Other columns are left out; an empty table stays empty."""
     return save(docs.select("doc_id", "source", count_words(text_or_empty()).alias("size"), F.xxhash64("text").alias("__q_h")), "sizes")
 
 
-def word_slice(text: Column, start: Column, n: Column) -> Column:
-    """Words start.. of a text, n of them, with the white space that stood between them."""
-    units = F.regexp_extract_all(text, F.lit(f"{SPACE_CLASS}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    return F.ltrim(F.array_join(F.slice(units, (start + 1).cast("int"), n.cast("int")), ""), F.lit(SPACE_CHARS))
+def taken_runs(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """__q_id, __q_h2, __q_turn2 (of rows alike in both), __q_runs: for each document of which the mix takes any,
+    the runs (from_word, n_words, times) of neighbouring pieces that are taken equally often."""
+    parts, slots = mix(sized(docs), block, shards, seed, ["__q_h"])
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
+    keys = ["source_no", "__q_bucket", "place"]
+    drawn = parts.select(*keys, "block", "doc_id", "__q_h", "from_word", "n_words").join(times, ["source_no", "block"])
+    # A document's pieces alone are in order: as many as its length asks for.
+    order = Window.partitionBy(*keys).orderBy("from_word")
+    goes_on = (F.lag("times").over(order) == F.col("times")) & (F.lag(F.col("from_word") + F.col("n_words")).over(order) == F.col("from_word"))
+    run = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)
+    runs = drawn.withColumn("run", run).groupBy(*keys, "run").agg(
+        F.first("doc_id").alias("__q_id"), F.first("__q_h").alias("__q_h2"), F.min("from_word").alias("from_word"), F.sum("n_words").alias("n_words"), F.first("times").alias("times")
+    )
+    runs = runs.groupBy(*keys).agg(F.first("__q_id").alias("__q_id"), F.first("__q_h2").alias("__q_h2"), F.array_sort(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("__q_runs"))
+    # Rows alike in doc_id and text differ in place alone; their runs are joined in turn.
+    turn = Window.partitionBy("__q_id", "__q_h2").orderBy(*keys)
+    return runs.select("__q_id", "__q_h2", F.row_number().over(turn).alias("__q_turn2"), "__q_runs")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -130,40 +212,28 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHA
     each run of its blocks that is taken equally often, as many times as the mix takes it.
 
     Neighbouring pieces of a document are put together again, so a document that the mix
-    takes whole stays whole. text holds the run's words, n_chars its length; the other
-    columns are the document's. Documents of which nothing is drawn are not in the mix.
+    takes whole stays whole. text holds the run's words, n_chars (if there is such a column) its length;
+    the other columns, whatever their names, are the document's. Documents of which nothing is drawn, null and
+    empty texts among them, are not in the mix; an empty table mixes to nothing. The words of a
+    text are parted once, however many runs it has.
     """
     rows = docs.withColumn("__q_h", F.xxhash64("text"))
-    parts, slots = mix(sized(docs), block, shards, seed, ["__q_h"])
-    # The hint: Spark takes the slots for few, as it can't tell how many rows count_up() makes, and would broadcast them.
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
-    drawn = parts.select("source_no", "block", "doc_id", "__q_h", "__q_bucket", "place", "from_word", "n_words").join(times, ["source_no", "block"])
-    runs = drawn.groupBy("source_no", "__q_bucket", "place").agg(
-        F.first("doc_id").alias("__q_id"), F.first("__q_h").alias("__q_h2"), F.array_sort(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts")
-    )
-    # parts: one document's own, as many as its length asks for
-    joined = F.aggregate(
-        "parts",
-        F.array().cast("array<struct<from_word:bigint,n_words:bigint,times:bigint>>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["times"] == p["times"]) & (F.element_at(acc, -1)["from_word"] + F.element_at(acc, -1)["n_words"] == p["from_word"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["from_word"].alias("from_word"), (F.element_at(acc, -1)["n_words"] + p["n_words"]).alias("n_words"), p["times"].alias("times"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
-    # Rows alike in doc_id and text differ in place alone; their runs are joined in turn.
-    order = Window.partitionBy("__q_id", "__q_h2").orderBy("source_no", "__q_bucket", "place")
-    runs = runs.select("__q_id", "__q_h2", joined.alias("runs"), F.row_number().over(order).alias("__q_turn2"))
     rows = rows.withColumn("__q_turn", F.row_number().over(Window.partitionBy("doc_id", "__q_h").orderBy(F.col("source").asc_nulls_last())))
     same = F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_h") == F.col("__q_h2")) & (F.col("__q_turn") == F.col("__q_turn2"))
-    out = rows.join(runs, same).withColumn("__q_run", F.explode("runs"))
-    run, text = F.col("__q_run"), F.col("text")
-    whole = (run["from_word"] == 0) & (run["n_words"] == count_words(text))
-    out = out.withColumn("text", F.when(whole, text).otherwise(word_slice(text, run["from_word"], run["n_words"])))
-    out = out.withColumn("__q_copy", F.explode(F.sequence(F.lit(1).cast("long"), run["times"])))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = rows.join(taken_runs(docs, block, shards, seed).hint("merge"), same)
+    # Generators, so that the optimizer leaves the expression where it is: in the lambda below, it would run for each run.
+    units = F.regexp_extract_all("text", F.lit(f"{SPACE_CLASS}*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    out = out.withColumn("__q_units", F.explode(F.array(units)))
+    n = F.size("__q_units")
+    piece = lambda r: F.when((r["from_word"] == 0) & (r["n_words"] == n), F.col("text")).otherwise(
+        F.ltrim(F.array_join(F.slice("__q_units", (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")), ""), F.lit(SPACE_CHARS))
+    )
+    out = out.withColumn("__q_run", F.explode(F.transform("__q_runs", lambda r: F.struct(piece(r).alias("text"), r["times"].alias("times")))))
+    rest = [c for c in docs.columns if c != "text"]
+    out = out.select(*rest, F.col("__q_run")["text"].alias("text"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__q_run")["times"])).alias("__q_copy"))
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
