@@ -2,7 +2,8 @@
 
 Trusted positives and unlabelled texts alone are used: the model minimises the non-negative
 unbiased risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  with the class prior
-estimated from the data. Scores depend on the text alone.
+estimated from the data. Scores depend on the text alone: on how it is written, and on hashed
+counts of its words and word pairs.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import table, text_or_empty
+from codequarry.llm.word_hashes import hashed_words, mix64
 
-#: Rows of each of the two samples that the model is fitted to: those with the least hashes of doc_id.
+#: Rows of each of the two samples that the model is fitted to, trusted and unlabelled (any document, labelled or not):
+#: those with the least hashes of doc_id. Every document is scored.
 SAMPLE = 20_000
 STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-4, 8
 THRESHOLD = 0.3
-FEATURES = 18
+#: Measures of how a text is written; buckets of hashed words, and as many of word pairs; the weight of a bucket's measure.
+STYLE, BUCKETS, SHRINK = 18, 128, 0.15
+FEATURES = STYLE + 2 * BUCKETS
 
 
 def features(text: str) -> list[float]:
@@ -31,7 +36,7 @@ def features(text: str) -> list[float]:
     ws = text.split()
     n, chars = len(ws), max(1, len(text))
     if not n:
-        return [0.0] * FEATURES
+        return [0.0] * STYLE
     letters = sum(map(str.isalpha, text)) if not text.isascii() else len(text.translate(_LETTERS_ONLY))
     upper = sum(map(str.isupper, text)) if not text.isascii() else len(text.translate(_UPPER_ONLY))
     counts = Counter(ws)
@@ -62,20 +67,36 @@ _LETTERS_ONLY = {i: None for i in range(128) if not chr(i).isalpha()}
 _UPPER_ONLY = {i: None for i in range(128) if not chr(i).isupper()}
 
 
+def ngrams(texts: list[str]) -> np.ndarray:
+    """Shares of each bucket of hashed words and of hashed word pairs in a text, as square roots."""
+    h, ends = hashed_words(pa.array(texts, pa.string()))
+    text_of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    pairs = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    same = text_of[1:] == text_of[:-1]
+    both = []
+    for x, of in ((h, text_of), (pairs[same], text_of[1:][same])):
+        n = np.bincount(of * BUCKETS + (x % np.uint64(BUCKETS)).astype(np.int64), minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS)
+        both.append(np.sqrt(n / np.maximum(n.sum(1, keepdims=True), 1)))
+    return np.hstack(both)
+
+
 def matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([features(t or "") for t in texts], float).reshape(len(texts), FEATURES)
+    texts = [t or "" for t in texts]
+    out = [np.hstack([np.array([features(t) for t in part], float).reshape(-1, STYLE), ngrams(part)]) for part in (texts[i : i + 500] for i in range(0, len(texts), 500))]
+    return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
 
 class Model:
-    """Logistic regression on standardised features and their products."""
+    """Logistic regression on standardised features, and on the products of those of style."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
         self.mean, self.scale, self.weights = mean, scale, weights
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        i, j = np.triu_indices(z.shape[1])
-        return np.hstack([np.ones((len(z), 1)), z, z[:, i] * z[:, j] / 6])
+        style = z[:, :STYLE]
+        i, j = np.triu_indices(STYLE)
+        return np.hstack([np.ones((len(z), 1)), style, style[:, i] * style[:, j] / 6, SHRINK * z[:, STYLE:]])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
@@ -117,7 +138,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray) -> tuple[Model, float]:
     """The model and the estimated prior. Half of each sample finds scores for the prior of the other."""
     if not len(p) or not len(u):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(1 + FEATURES + FEATURES * (FEATURES + 1) // 2)), 0.5
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(1 + FEATURES + STYLE * (STYLE + 1) // 2)), 0.5
     both = np.vstack([p, u])
     start = Model(both.mean(0), both.std(0) + 1e-6, np.zeros(0))
     guide = _descend(start, p[::2], u[::2], None)
@@ -126,22 +147,30 @@ def fit(p: np.ndarray, u: np.ndarray) -> tuple[Model, float]:
 
 
 def train(docs: DataFrame, positives: DataFrame) -> tuple[Model, float]:
-    """Fit to at most SAMPLE trusted documents (doc_ids in ``positives``) and at most SAMPLE of all."""
+    """The model and its prior, fitted to at most SAMPLE trusted documents (doc_ids in ``positives``) and at most SAMPLE of all.
+
+    Null texts are empty and null doc_ids left out; of a doc_id in several rows, each row counts; without
+    trusted documents, or any at all, each score is 0.5. Columns but doc_id and text are not looked at. Texts are
+    measured whole, in a few hundred bytes for each of their words.
+    """
     least = lambda df: df.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     ids = least(positives).withColumn("p", F.lit(True)).unionByName(least(docs).withColumn("p", F.lit(False)))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("p"), pa.array(matrix(b.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], names=["doc_id", "p", "x"])
+            x = [r.tobytes() for r in matrix(b.column("text").to_pylist()).astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("p"), pa.array(x, pa.binary())], names=["doc_id", "p", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, p boolean, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("p", "ascending")])  # 2 * SAMPLE rows at most
-    x, is_p = np.array(got.column("x").to_pylist(), float).reshape(-1, FEATURES), np.array(got.column("p").to_pylist(), bool)
-    return fit(x[is_p], x[~is_p])
+    got = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p boolean, x binary").toArrow()  # 2 * SAMPLE rows at most, of 4 * FEATURES bytes
+    got = got.sort_by([("doc_id", "ascending"), ("p", "ascending"), ("x", "ascending")])
+    x, is_p = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, FEATURES), got.column("p").to_numpy()
+    return fit(x[is_p].astype(float), x[~is_p].astype(float))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted of each row. Null texts count as empty, which have a score too."""
+    """doc_id, score, predicted of each row. Null texts count as empty, which have a score too; repeated rows are
+    scored alike; an empty table gives none; very long texts are scored whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
