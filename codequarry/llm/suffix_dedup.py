@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import discard, save, table, text_or_empty
 from codequarry.llm.exact_dedup import NO_ID
+from codequarry.llm.word_hashes import mix64
 
 WINDOW, GRAM, SPAN, CHUNK = 200, 8, 128, 16
 #: Bytes from the trigger on that all windows of a trigger hold.
 PHRASE = WINDOW - SPAN + 1
 #: Triggers looked at together; rows held before they are dealt; rows of a task, about; bytes of texts taken at once.
-TOGETHER, HELD, TASK_ROWS, AT_ONCE = 1 << 15, 1 << 19, 1 << 18, 1 << 22
+TOGETHER, HELD, TASK_ROWS, AT_ONCE = 1 << 13, 1 << 19, 1 << 18, 1 << 22
 _WORDS = (SPAN - 1 + WINDOW + 7) // 8
 _rng = np.random.default_rng(4)
 #: Random odd multipliers and values of two hashes over words of eight bytes.
@@ -48,12 +49,6 @@ _PART = np.dtype([("key", "<u8"), ("doc", "<i8"), ("h", "<i8"), ("t", "<u4"), ("
 _SPANS = "doc long, h long, spans binary"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _hash(rows: np.ndarray, k: int) -> np.ndarray:
     """The k-th hash of each row of a byte matrix."""
     width = rows.shape[1]
@@ -61,7 +56,7 @@ def _hash(rows: np.ndarray, k: int) -> np.ndarray:
     padded[:, :width] = rows
     x = padded.view("<u8") ^ _X[k, : padded.shape[1] // 8]
     x ^= x >> np.uint64(32)
-    return _mix((x * _M[k, : x.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(width))
+    return mix64((x * _M[k, : x.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(width))
 
 
 def triggers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +94,7 @@ def _rows_of(doc: int, h: int, text: bytes) -> Iterator[np.ndarray]:
         rows = np.empty(len(at), _ROW)
         rows["key"] = _hash(seen[:, SPAN - 1 : SPAN - 1 + PHRASE], 0)
         rows["most"], rows["least"], rows["known"] = at - a, at - b, 0
-        rows["ctx"] = _mix(_hash(seen, 1) + (rows["most"].astype(np.uint64) * np.uint64(256) + rows["least"]) * np.uint64(0x9E3779B97F4A7C15))
+        rows["ctx"] = mix64(_hash(seen, 1) + (rows["most"].astype(np.uint64) * np.uint64(256) + rows["least"]) * np.uint64(0x9E3779B97F4A7C15))
         rows["doc"], rows["h"], rows["t"] = doc, h, at
         yield rows
 
@@ -113,7 +108,7 @@ def _texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
 
 
 def _by_bucket(rows: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    bucket = (_mix(rows["key"]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix64(rows["key"]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]])[: None if len(rows) else 1]
@@ -227,7 +222,7 @@ def _chunks(buckets: int):
                     mine, parts = seen[on], np.empty(len(on), _PART)
                     # Bytes from a0 before the trigger up to WINDOW - a1 behind it are in each window of the chunk.
                     inner = mine[:, SPAN - 1 - a0 : SPAN - 1 + WINDOW - a1]
-                    parts["key"] = _mix(_hash(inner, 0) ^ _mix(key[on].view(np.uint64) + np.uint64(chunk)) ^ (_hash(inner, 1) << np.uint64(1)))
+                    parts["key"] = mix64(_hash(inner, 0) ^ mix64(key[on].view(np.uint64) + np.uint64(chunk)) ^ (_hash(inner, 1) << np.uint64(1)))
                     parts["doc"], parts["h"], parts["t"], parts["chunk"], parts["need"] = doc, h, t[on], chunk, need[on]
                     parts["low"], parts["high"] = np.maximum(least[on] - a0, 0), np.minimum(most[on] - a0, CHUNK - 1)
                     parts["left"], parts["right"] = 0, 0
