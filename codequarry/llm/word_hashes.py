@@ -19,13 +19,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts, one after another, and where each text's words end. Words are in
     lower case (A-Z); null texts are empty."""
-    bare = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    for space in SPACE_CHARS[1:]:  # Arrow's own notion of ASCII white space depends on the locale
+    bare = pc.fill_null(texts.cast(pa.large_string()), "")
+    for space in SPACE_CHARS[1:]:  # Arrow's own notions of ASCII white space and lower case depend on the locale
         bare = pc.replace_substring(bare, space, " ")
     lists = pc.split_pattern(bare, " ")
     flat = lists.flatten()
     full = pc.not_equal(flat, "")
     ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy()][1:]
     words = flat.filter(full).dictionary_encode()
-    named = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    named = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
     return named[words.indices.to_numpy()], ends
