@@ -20,7 +20,7 @@ SAMPLE = 65_536
 #: Fingerprints at home in a leaf, about; more once the sample can't give that many leaves.
 LEAF_ROWS = 1024
 #: Shingles whose bits are counted at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import text_or_empty
+from codequarry.llm.word_hashes import release
 
 END = 2
 #: Entries that a worker keeps of words taken whole and of words of letters; words
@@ -152,7 +153,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
             first += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(firsts), pa.array(sizes), pa.array(ids, pa.binary())], names=[*keep, "first", "n_tokens", "ids"])
             begin = stop
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:

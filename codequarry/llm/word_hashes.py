@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give what a task has freed back to the machine: its worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps or gives back by its own rules
+        pass
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of all texts, one after another, and where each text's words end. Words are in
     lower case (A-Z); null texts are empty."""
