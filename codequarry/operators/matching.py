@@ -1,60 +1,253 @@
-"""One-to-one matching of findings before and after a change."""
+"""One-to-one matching of findings before and after a change.
+
+What a greedy matcher does within one key depends on all that it did before, so that part is Python.
+Many keys share a call: rows are dealt to buckets by their key's hash, and a
+bucket holds a bounded number of rows, but for those of one key.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from codequarry.functions import code
+
+#: Rows of a bucket, about.
+BUCKET_ROWS = 50_000
+
 
 def exact_multiplicity(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer join that pairs the n-th equal row before with the n-th equal row after."""
+    """Full outer join that pairs the n-th equal row before with the n-th equal row after. Null keys are equal to each other."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
     b = before.select(*keys, F.col("id").alias("before_id"), nth.alias("nth"))
-    a = after.select(*keys, F.col("id").alias("after_id"), nth.alias("nth"))
-    return b.join(a, [*keys, "nth"], "full_outer")
+    a = after.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.col("id").alias("after_id"), nth.alias("_a_nth"))
+    joined = b.join(a, [F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in keys] + [F.col("nth") == F.col("_a_nth")], "full_outer")
+    own = [F.when(F.col("before_id").isNotNull(), F.col(k)).otherwise(F.col(f"_a_{k}")).alias(k) for k in keys]
+    return joined.select(*own, F.coalesce("nth", "_a_nth").alias("nth"), "before_id", "after_id")
+
+
+class Free:
+    """Places 0..n-1, of which the next free one at or after a place is asked for, or the last before it."""
+
+    def __init__(self, n: int):
+        self.up, self.down = list(range(n + 1)), list(range(n + 1))  # down is shifted by one
+
+    def _find(self, link: list[int], i: int) -> int:
+        root = i
+        while link[root] != root:
+            root = link[root]
+        while link[i] != root:
+            link[i], i = root, link[i]
+        return root
+
+    def at_or_after(self, i: int) -> int:
+        """n where none is free."""
+        return self._find(self.up, i)
+
+    def before(self, i: int) -> int:
+        """-1 where none is free."""
+        return self._find(self.down, i) - 1
+
+    def take(self, i: int) -> None:
+        self.up[i], self.down[i + 1] = i + 1, i
+
+
+def nearest_pairs(before: list[int], after: list[int], reach: float) -> list[tuple[int, int]]:
+    """Of sorted lines: each one before takes the same line first (in turn), then, in order, the strictly nearest
+    line after that is still free and at most ``reach`` away; of two as near, the one further up."""
+    free, out, rest = Free(len(after)), [], []
+    for i, line in enumerate(before):
+        j = free.at_or_after(bisect_left(after, line))
+        if j < len(after) and after[j] == line:
+            free.take(j)
+            out.append((i, j))
+        else:
+            rest.append(i)
+    for i in rest:
+        at = bisect_left(after, before[i])
+        above, below = free.before(at), free.at_or_after(at)
+        best = None
+        if above >= 0 and before[i] - after[above] <= reach:
+            best = free.at_or_after(bisect_left(after, after[above]))  # the first of that line
+        if below < len(after) and after[below] - before[i] <= reach and (best is None or after[below] - before[i] < before[i] - after[best]):
+            best = below
+        if best is not None:
+            free.take(best)
+            out.append((i, best))
+    return out
+
+
+def tolerant_pairs(before: list[int], after: list[int], tolerance: int) -> list[tuple[int, int]]:
+    """Of sorted lines: each one before, in order, takes the first free one after that lies within ``tolerance``. Line 0 is any line."""
+    free, out = Free(len(after)), []
+    for i, line in enumerate(before):
+        j = free.at_or_after(0)
+        if line and j < len(after) and after[j]:
+            j = free.at_or_after(bisect_left(after, line - tolerance))
+            if j < len(after) and after[j] > line + tolerance:
+                continue
+        if j < len(after):
+            free.take(j)
+            out.append((i, j))
+    return out
+
+
+def _by_key(before: DataFrame, after: DataFrame, keys: list[Column], solve: Callable[[list[int], list[int]], list[tuple[int, int]]]) -> DataFrame:
+    """before_id, after_id of the pairs that ``solve`` makes of the sorted lines of each key."""
+    line = F.coalesce(F.col("line"), F.lit(0)).cast("long").alias("line")
+    names = [F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit(7), *keys, *[k.isNull() for k in keys]).alias("k2")]
+    one = lambda df, side: df.select(*names, F.lit(side).alias("side"), line, F.col("id").cast("long").alias("id"))
+    rows = one(before, 0).unionByName(one(after, 1))
+    both = Window.partitionBy("k1", "k2")
+    rows = rows.withColumn("_b", F.min("side").over(both)).withColumn("_a", F.max("side").over(both)).where("_b = 0 AND _a = 1").drop("_b", "_a")
+    buckets = max(1, math.ceil((before.count() + after.count()) / BUCKET_ROWS))
+
+    def match(t: pa.Table) -> pa.Table:
+        k1, k2, side, at, ids = (t.column(c).to_numpy() for c in ("k1", "k2", "side", "line", "id"))
+        order = np.lexsort((ids, at, side, k2, k1))
+        k1, k2, side, at, ids = k1[order], k2[order], side[order], at[order], ids[order]
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1, [len(k1)]]).tolist()
+        b, a = [], []
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            mid = begin + int(np.searchsorted(side[begin:end], 1))
+            for i, j in solve(at[begin:mid].tolist(), at[mid:end].tolist()):
+                b.append(ids[begin + i])
+                a.append(ids[mid + j])
+        return pa.table({"before_id": pa.array(b, pa.int64()), "after_id": pa.array(a, pa.int64())})
+
+    return rows.groupBy(F.pmod("k1", F.lit(buckets)).alias("bucket")).applyInArrow(match, "before_id long, after_id long")
 
 
 def nearest_greedy(before: DataFrame, after: DataFrame, keys: list[str], reach: float = 40) -> DataFrame:
-    """Pairs (before_id, after_id) within each key: rows before, in order of line, take the strictly
-    nearest row after that is still free and at most ``reach`` lines away; a null line is 0."""
-
-    def match(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(line=b.line.fillna(0)).sort_values(["line", "id"])
-        a = a.assign(line=a.line.fillna(0)).sort_values(["line", "id"])
-        lines, ids, free, out = a.line.to_numpy(), a.id.to_numpy(), set(range(len(a))), []
-        at = {}
-        for i in range(len(a)):
-            at.setdefault(lines[i], []).append(i)
-        rest = []
-        for r in b.itertuples():  # equal lines first
-            if at.get(r.line):
-                i = at[r.line].pop(0)
-                free.discard(i)
-                out.append((r.id, ids[i]))
-            else:
-                rest.append(r)
-        for r in rest:
-            near = min((i for i in free if abs(lines[i] - r.line) <= reach), key=lambda i: (abs(lines[i] - r.line), i), default=None)
-            if near is not None:
-                free.discard(near)
-                out.append((r.id, ids[near]))
-        return pd.DataFrame(out, columns=["before_id", "after_id"])
-
-    cols = [*keys, "id", "line"]
-    return before.select(*cols).groupBy(*keys).cogroup(after.select(*cols).groupBy(*keys)).applyInPandas(match, "before_id long, after_id long")
-
-
-def score_candidates(pairs: DataFrame) -> DataFrame:
-    """Add the similarity ratio of line_a and line_b (difflib), as the survival matcher scores them."""
-    from difflib import SequenceMatcher
-
-    @F.pandas_udf("double")
-    def ratio(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in a:
-            yield pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
-
-    return pairs.withColumn("ratio", ratio("line_a", "line_b"))
+    """Pairs (before_id, after_id) within each key: equal lines first, then rows before, in order of line, take the strictly
+    nearest row after that is still free and at most ``reach`` lines away; a null line is 0, null keys are equal."""
+    return _by_key(before, after, [F.col(k) for k in keys], lambda b, a: nearest_pairs(b, a, reach))
+
+
+def tolerant_greedy(before: DataFrame, after: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Pairs (before_id, after_id) of deep scans: of one file, rule and beginning of the message (100 characters), within ``tolerance`` lines."""
+    keys = [F.coalesce("file", F.lit("")), F.coalesce("rule", F.lit("")), F.substring(F.coalesce("message", F.lit("")), 1, 100)]
+    return _by_key(before, after, keys, lambda b, a: tolerant_pairs(b, a, tolerance))
+
+
+def match_issues(before: DataFrame, after: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(resolved rows of ``before``, new rows of ``after``): of one type, rule (its symbol where there is no rule) and message."""
+    identity = {"_type": F.coalesce("type", F.lit("")), "_rule": F.coalesce("rule", "symbol", F.lit("")), "_message": F.coalesce("message", F.lit(""))}
+    pairs = nearest_greedy(before.withColumns(identity), after.withColumns(identity), [*scope, *identity])
+    resolved = before.join(pairs.select(F.col("before_id").alias("id")), "id", "left_anti")
+    return resolved, after.join(pairs.select(F.col("after_id").alias("id")), "id", "left_anti")
+
+
+def attributed(rows: DataFrame, changed: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows at line 0 or at a line that the commit changed. ``changed`` has ``scope`` and line; without any, only line 0 counts."""
+    rows = rows.withColumn("line", F.coalesce("line", F.lit(0)))
+    lines = changed.select(*scope, F.col("line").alias("_line")).distinct()
+    on = [rows[k].eqNullSafe(lines[k]) for k in scope] + [rows["line"] == lines["_line"]]
+    return rows.where("line = 0").unionByName(rows.where("line <> 0").join(lines, on, "left_semi"))
+
+
+def introduced_and_fixed(before: DataFrame, after: DataFrame, changed: DataFrame, scope: list[str], files: DataFrame | None = None, tolerance: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Deep scans of a commit and its parent: new findings on changed lines, and findings that went; of changed files
+    alone where ``files`` (scope, file) are given."""
+    pairs = tolerant_greedy(before, after, tolerance)
+    new = after.join(pairs.select(F.col("after_id").alias("id")), "id", "left_anti")
+    gone = before.join(pairs.select(F.col("before_id").alias("id")), "id", "left_anti")
+    if files is not None:
+        new, gone = (df.join(files.select("file").distinct(), "file", "left_semi") for df in (new, gone))
+    return attributed(new, changed, [*scope, "file"]), gone
+
+
+def similarity(left: str, right: str) -> float:
+    return SequenceMatcher(None, left, right).ratio() if left and right else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def seq_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How alike two texts are (difflib); 0 where one is empty."""
+    for x, y in pairs:
+        yield pd.Series([similarity(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+
+
+def survival_score(a: dict, b: dict) -> tuple[float, str]:
+    """How surely finding ``b`` is finding ``a`` of the same rule: by their lines' text, by message and text,
+    by message and place, or by the lines around."""
+    if a["text"] and a["text"] == b["text"]:
+        return 1.0, "line-text-near-exact"
+    alike = similarity(a["text"], b["text"])
+    if alike >= 0.82:
+        return 0.92, "line-text-similar"
+    if a["message"] and a["message"] == b["message"]:
+        if alike >= 0.55:
+            return 0.84, "message-and-line-similar"
+        if a["line"] and b["line"] and abs(a["line"] - b["line"]) <= 10:
+            return 0.62, "message-and-line-window"
+    return (0.75, "context-fingerprint") if a["print"] == b["print"] else (0.0, "no-match")
+
+
+def survival_pairs(before: list[dict], after: list[dict], least: float = 0.6) -> list[tuple[int, int, float, str]]:
+    """(i, j, score, reason): each one before, in order, takes the first of the best that are free."""
+    free, out = list(range(len(after))), []
+    for i, a in enumerate(before):
+        best = (0.0, -1, "no-match")
+        for j in free:
+            score, reason = survival_score(a, after[j])
+            if score > best[0]:
+                best = (score, j, reason)
+                if score == 1.0:
+                    break
+        if best[0] >= least:
+            free.remove(best[1])
+            out.append((i, best[1], best[0], best[2]))
+    return out
+
+
+def prepared(rows: DataFrame, content: str) -> DataFrame:
+    """Findings (id, scope.., rule_name, message, line) with text, message and print as the survival match compares them; ``content`` goes."""
+    line = F.coalesce(F.col("line"), F.lit(0))
+    out = rows.withColumns({"text": code.line_text(F.col(content), line), "print": code.fingerprint(F.col("rule_name"), line, F.col(content)), "message": code.message_text(F.col("message")), "line": line})
+    return out.drop(content)
+
+
+def match_survival(before: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:
+    """before_id, after_id, match_score, match_reason of each finding before, null and 0 where it is gone.
+
+    Both sides: prepared(). Only findings of one rule are compared; those before go by ``id``, their order in the input.
+    """
+    keys = [F.col(k) for k in scope] + [F.col("rule_name")]
+    names = [F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit(7), *keys).alias("k2")]
+    fields = [F.col("id").cast("long").alias("id"), "text", "message", F.col("line").cast("int").alias("line"), "print"]
+    rows = before.select(*names, F.lit(0).alias("side"), *fields).unionByName(after.select(*names, F.lit(1).alias("side"), *fields))
+    buckets = max(1, math.ceil((before.count() + after.count()) / BUCKET_ROWS))
+
+    def match(t: pa.Table) -> pa.Table:
+        groups: dict[tuple, tuple[list, list]] = {}
+        for r in t.sort_by([("id", "ascending")]).to_pylist():
+            groups.setdefault((r["k1"], r["k2"]), ([], []))[r["side"]].append(r)
+        out = []
+        for b, a in groups.values():
+            got = {i: (a[j]["id"], score, reason) for i, j, score, reason in survival_pairs(b, a)}
+            out.extend((r["id"], *got.get(i, (None, 0.0, "no-match"))) for i, r in enumerate(b))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["before_id", "after_id", "match_score", "match_reason"])
+
+    return rows.groupBy(F.pmod("k1", F.lit(buckets)).alias("bucket")).applyInArrow(match, "before_id long, after_id long, match_score double, match_reason string")
+
+
+def augmented(issues: DataFrame, more: DataFrame, scope: list[str]) -> DataFrame:
+    """``issues`` and those of ``more`` that none of them is like in rule, line and message; of equal ones in ``more``, one."""
+    name = F.trim(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("rule_id", "rule", "symbol", "type")], F.lit("unknown")))
+    keyed = lambda df: df.withColumns({"_rule": name, "_line": F.coalesce("line", F.lit(0)), "_message": code.message_text(F.col("message"))})
+    keys = [*scope, "_rule", "_line", "_message"]
+    new = keyed(more).dropDuplicates(keys).join(keyed(issues).select(*keys).distinct(), keys, "left_anti")
+    return issues.unionByName(new.drop("_rule", "_line", "_message").select(*issues.columns))

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def floor_quantile(values: Column, num: int, den: int) -> Column:
-    """Element floor(n * num / den) (0-based) of the sorted values of a group."""
-    listed = F.array_sort(F.collect_list(values))
-    return F.get(listed, F.floor(F.count(values) * num / den).cast("int"))
+def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """keys, n, and for each name the element floor(n * num / den) (0-based) of the sorted values that are not null.
+
+    Equal values are counted first; running sums over the different values of a key then tell
+    which one holds the place, so no list of a key's values is ever made.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumn("n", F.sum("_c").over(every)).withColumn("_end", F.sum("_c").over(upto))
+    at = lambda num, den: F.floor(F.col("n") * num / den)
+    picks = [F.max(F.when((F.col("_end") > at(*f)) & (F.col("_end") - F.col("_c") <= at(*f)), F.col("_v"))).alias(name) for name, f in shares.items()]
+    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -30,11 +38,57 @@ def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi", bin_size: int = 64) -> DataFrame:
-    """Rows of left whose [s, e] meets some [rs, re] of right under the same keys.
+    """Rows of left whose [s, e] meets some [rs, re] of right under the same keys ("left_semi"), or none ("left_anti").
 
-    Both are dealt to bins of ``bin_size``, so the join is on equal bins, not on all pairs of a key.
+    Both are dealt to bins of ``bin_size``, so the join is on equal bins, not on all pairs of a key. Equal rows of left
+    are rows of their own: they are numbered, and numbers that meet anything are what stays or goes.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)))
-    l, r = left.withColumn("_bin", bins("s", "e")), right.withColumn("_bin", bins("rs", "re"))
-    hit = l.alias("l").join(r.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_bin"]], F.col("l.s") <= F.col("r.re"), F.col("l.e") >= F.col("r.rs")], "left_semi")
-    return hit.drop("_bin").distinct()
+    distinct = left.select(*keys, "s", "e").distinct()
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "rs", "re").distinct().withColumn("_r_bin", bins("rs", "re"))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_bin") == F.col("_r_bin"), F.col("s") <= F.col("re"), F.col("e") >= F.col("rs")]
+    hit = distinct.withColumn("_bin", bins("s", "e")).join(r, on, "left_semi").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("s").alias("_h_s"), F.col("e").alias("_h_e")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in [*keys, "s", "e"]]
+    return left.join(hit, same, how)
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = 64) -> DataFrame:
+    """Each row of left with each row of right whose [rs, re] meets its [s, e] under the same keys. Right has other columns than left, but for the keys.
+
+    Both are dealt to bins; a pair that shares several is made in the first of them alone.
+    """
+    first, last = lambda a: F.floor(F.col(a) / bin_size), lambda b: F.floor(F.col(b) / bin_size)
+    bins = lambda a, b: F.explode(F.sequence(first(a), last(b)))
+    l, r = left.withColumn("_bin", bins("s", "e")), right.withColumnsRenamed({k: f"_r_{k}" for k in keys}).withColumn("_r_bin", bins("rs", "re"))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col("_bin") == F.col("_r_bin"), F.col("s") <= F.col("re"), F.col("e") >= F.col("rs"), F.col("_bin") == F.greatest(first("s"), first("rs"))]
+    return l.join(r, on).drop("_bin", "_r_bin", *[f"_r_{k}" for k in keys])
+
+
+def enclosing(df: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
+    """Rows that strictly enclose another of the same keys: it begins no earlier, ends no later, and is shorter.
+
+    In the order of (start descending, end), a row encloses an earlier one exactly if the least end seen so far
+    is no later than its own, but for rows of the same bounds; so one ordered window does, without pairs.
+    """
+    spans = df.select(*keys, start, end).distinct()
+    w = Window.partitionBy(*keys).orderBy(F.desc(start), F.col(end)).rowsBetween(Window.unboundedPreceding, -1)
+    hit = spans.where("1 = 1").withColumn("_least", F.min(end).over(w)).where(F.col("_least") <= F.col(end))
+    hit = hit.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(start).alias("_h_s"), F.col(end).alias("_h_e"))
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col(start) == F.col("_h_s"), F.col(end) == F.col("_h_e")]
+    return df.join(hit, same, "left_semi")
+
+
+def contains_any(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of left whose open interval (s, e) holds some [rs, re] of right: s < rs and re < e.
+
+    Both sides run in one window ordered by start, latest first, that carries the least end of
+    the right intervals which start later; no pairs are made.
+    """
+    rows = left.select(*keys, F.col("s").alias("_at"), F.col("e").alias("_e"), F.lit(None).cast("long").alias("_re"), F.lit(0).alias("_side")).distinct()
+    rows = rows.unionByName(right.groupBy(*keys, F.col("rs").alias("_at")).agg(F.min("re").cast("long").alias("_re")).select(*keys, "_at", F.lit(None).cast(dict(rows.dtypes)["_e"]).alias("_e"), "_re", F.lit(1).alias("_side")))
+    # Of equal starts, left rows come first: what starts with them does not lie within them.
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    hit = rows.withColumn("_least", F.min("_re").over(w)).where("_side = 0 AND _least < _e")
+    hit = hit.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_at").alias("_h_s"), F.col("_e").alias("_h_e")).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("s") == F.col("_h_s"), F.col("e") == F.col("_h_e")]
+    return left.join(hit, same, "left_semi")
