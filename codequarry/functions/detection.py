@@ -7,6 +7,7 @@ text) and ai_identifier_type; null where no rule fits.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,13 +108,13 @@ def _like(text: Column, pattern: str) -> Column:
 
 
 def _pick(tests: list[Column], outcomes: list[tuple[str, str, str, str]]) -> Column:
-    """The outcome of the first test that holds."""
+    """The outcome of the first test that holds. The outcomes are one constant."""
     index = F.when(tests[0], 0)
     for i, t in enumerate(tests[1:], 1):
         index = index.when(t, i)
     names = ("tool_key", "detection_method", "ai_identifier", "ai_identifier_type")
-    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(o, names, strict=True)]) for o in outcomes])
-    return F.get(rows, index).cast(MATCH)
+    rows = F.from_json(F.lit(json.dumps([dict(zip(names, o, strict=True)) for o in outcomes])), f"array<{MATCH}>")
+    return F.get(rows, index)
 
 
 def match_actor(login: Column) -> Column:

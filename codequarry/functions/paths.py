@@ -77,15 +77,25 @@ def any_of(*tests: Column) -> Column:
 
 
 def listed(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """An array of texts without commas; one expression, which is folded into a constant."""
+    return F.split(F.lit(",".join(values)), ",")
+
+
+def quoted(values: list[str]) -> str:
+    """Any of some texts, as they are, as a regular expression."""
+    return "(?:" + "|".join(f"\\Q{v}\\E" for v in values) + ")"
 
 
 def has_any(text: Column, marks: list[str]) -> Column:
-    return any_of(*[text.contains(m) for m in marks])
+    return text.rlike(quoted(marks))
+
+
+def starts_with_any(text: Column, starts: list[str]) -> Column:
+    return text.rlike("^" + quoted(starts))
 
 
 def ends_with_any(text: Column, ends: list[str]) -> Column:
-    return any_of(*[text.endswith(e) for e in ends])
+    return text.rlike(quoted(ends) + r"\z")
 
 
 def bare_path(path: Column) -> Column:
@@ -121,7 +131,7 @@ def is_noise_path(path: Column) -> Column:
         name.isin(LOCK_FILES),
         base.isin(VENDOR_STEMS),
         ends_with_any(name, GENERATED_SUFFIXES),
-        any_of(*[low.startswith(x) for x in GENERATED_PREFIXES]),
+        starts_with_any(low, GENERATED_PREFIXES),
     )
 
 

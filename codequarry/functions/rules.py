@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions.paths import any_of, falsy, has_any
+from codequarry.functions.paths import any_of, ends_with_any, falsy, has_any, starts_with_any
 
 # Rules that never count, and that don't count in tests or in simulations.
 BLOCKED_RULES = ["no-console", "curly", "import-error", "no-name-in-module"]
@@ -139,8 +139,8 @@ def is_ambient_no_undef(rule: Column, message: Column, path: Column) -> Column:
     """An undefined name that only an analysis out of its project calls so."""
     low = F.lower(F.replace(_text(path), F.lit("\\"), F.lit("/")))
     name = F.regexp_extract(_text(message), r"^'([^']+)' is not defined\.\n?$", 1)
-    known = (name != "") & (name.isin(AMBIENT_NAMES) | any_of(*[name.startswith(p) for p in AMBIENT_PREFIXES]))
-    return (_text(rule) == "no-undef") & (low.endswith(".d.ts") | (any_of(*[low.endswith(e) for e in (".js", ".jsx", ".ts", ".tsx")]) & known))
+    known = (name != "") & (name.isin(AMBIENT_NAMES) | starts_with_any(name, AMBIENT_PREFIXES))
+    return (_text(rule) == "no-undef") & (low.endswith(".d.ts") | (ends_with_any(low, [".js", ".jsx", ".ts", ".tsx"]) & known))
 
 
 def is_low_signal(rule: Column, message: Column, path: Column, rules: list[str] | None = None) -> Column:
@@ -201,7 +201,7 @@ def overridden_severity(rule: Column, severity: Column) -> Column:
 def is_eslint_artefact(rule_id: Column, message: Column) -> Column:
     """No rule at all, a parsing error, or something missing around the code."""
     m = _text(message)
-    return rule_id.isNull() | m.startswith("Parsing error") | has_any(m, ESLINT_MESSAGES) | any_of(*[rule_id.startswith(p) for p in ESLINT_PREFIXES])
+    return rule_id.isNull() | m.startswith("Parsing error") | has_any(m, ESLINT_MESSAGES) | starts_with_any(rule_id, ESLINT_PREFIXES)
 
 
 def size_reason(content: Column, language: Column, limit: int = 1 << 20) -> Column:

@@ -7,6 +7,8 @@ it shares nothing with the expressions that find them.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,13 +100,28 @@ class Facts:
 
     def __init__(self, t):
         self.t = t
-        self.commits = driver_commits(t)
-        self.rows = driver_issues(t)
-        self.classified = facts.classified(self.rows)
-        self.events = facts.of_commits(self.classified, self.commits)
-        self.metadata = driver_metadata(t)
 
-    @property
+    @cached_property
+    def commits(self) -> DataFrame:
+        return driver_commits(self.t)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return driver_issues(self.t)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return facts.classified(self.rows)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return facts.of_commits(self.classified, self.commits)
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return driver_metadata(self.t)
+
+    @cached_property
     def measures(self) -> DataFrame:
         return facts.commit_measures(self.commits, self.classified)
 

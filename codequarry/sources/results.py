@@ -98,7 +98,9 @@ def read_repo_list(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+", "").alias("t"))
     bare = F.when(F.col("t").startswith("{"), F.from_json("t", f"struct<repos:{item}>")["repos"]).otherwise(F.from_json("t", item))
     names = F.when(F.col("t").startswith("{"), F.from_json("t", "struct<repos:array<string>>")["repos"]).otherwise(F.from_json("t", "array<string>"))
-    rows = raw.select(F.posexplode(F.arrays_zip(bare.alias("item"), names.alias("text"))).alias("ord", "x"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    both = F.arrays_zip(none(bare, item).alias("item"), none(names, "array<string>").alias("text"))
+    rows = raw.select(F.posexplode(both).alias("ord", "x"))
     repo = F.coalesce(F.col("x.item.repo"), F.when(~F.col("x.text").startswith("{"), F.col("x.text")))
     return rows.select("ord", repo.alias("repo"), F.col("x.item.file").alias("file"), F.col("x.item.stars").alias("stars"), F.col("x.item.language").alias("language")).where("repo is not null")
 
