@@ -142,7 +142,7 @@ def sarif(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
 
 def cwe_counts(findings: DataFrame, *keys: str) -> DataFrame:
     """keys, cwe (upper case), n."""
-    return findings.select(*keys, F.upper(F.explode("cwe")).alias("cwe")).groupBy(*keys, "cwe").agg(F.count("*").alias("n"))
+    return findings.select(*keys, F.explode("cwe").alias("cwe")).groupBy(*keys, F.upper("cwe").alias("cwe")).agg(F.count("*").alias("n"))
 
 
 def sonar_issues(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:

@@ -60,6 +60,13 @@ def test_manifests(spark, tmp_path):
     assert sorted(r.sha for r in commits.load_commits(spark, f"{tmp_path}/e.jsonl").collect()) == ["s5", "s6"]
 
 
+def test_manifests_of_a_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.JSON").write_text("\n\t" + json.dumps({"repo": "p/q", "ai_commit_shas": ["s1"], "ai_tools": ["t"]}))
+    (tmp_path / "b.jsonl").write_text('{"sha": "s2"}\n')
+    got = {r.sha: (r.tool, r.possible_tools) for r in commits.load_commits(spark, str(tmp_path)).collect()}
+    assert got == {"s1": ("t", ["t"]), "s2": (None, None)}
+
+
 def test_repo_metadata(spark):
     csv = spark.createDataFrame([("a/b", "7", "Go", 1), ("a/b", "9", "C", 2), ("c/d", "many", None, 3), ("", "1", "x", 4)], "repo_name string, stars string, language string, ord int")
     more = spark.createDataFrame([("a/b", 1, "no"), ("e/f", 2, "yes")], "repo_name string, stars long, language string")
