@@ -10,7 +10,7 @@ from codequarry.functions import code, detection
 from codequarry.functions.paths import extension, file_name, is_noise_path, language, month_text, path_category, skip_reason
 from codequarry.operators.matching import exact_multiplicity, nearest_greedy
 from codequarry.operators.ordered import contains_any, floor_quantiles, forward_asof, overlaps, top_k
-from codequarry.plans import report_queries
+from codequarry.plans import history_queries, report_queries
 from codequarry.reports.history import is_fix, is_refactor, line_status
 
 QUERIES: dict = {}
@@ -334,5 +334,5 @@ def q35_blame_ratio(t):
     return out.withColumn("ratio", F.col("own").cast("double") / F.col("lines"))
 
 
-QUERIES |= report_queries.QUERIES
-SQL |= report_queries.SQL
+QUERIES |= report_queries.QUERIES | history_queries.QUERIES
+SQL |= report_queries.SQL | history_queries.SQL
