@@ -48,6 +48,8 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.stems, self.words = Tokenizer.from_file(path), {}, {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are held in two bytes, and this vocabulary has more")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.up_to_rest = "^.*[^" + re.escape(_PUNCTUATION) + "]"
@@ -159,7 +161,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text_hash (tells rows with one doc_id apart), first (tokens before it in its partition), n_tokens, ids (little-endian 16-bit) of each row.
 
-    Null texts are empty; each document ends with the end id. Rows keep their order.
+    Null texts are empty; each document ends with the end id. Rows keep their order. The vocabulary has at most 65,536 entries.
     """
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("__q_text"))
     keep = ["doc_id", "text_hash"]
