@@ -355,18 +355,23 @@ def r29_commit_summary(f):
     return s.select("commit_hash", "introduced", "fixed", "net_change", "quality_improved", at("by_type", "pylint").alias("pylint"), at("by_severity", "error").alias("errors"))
 
 
+def _line():
+    """A number that a commit's finding shares only with one of the same rule."""
+    return F.hash("line", "file_no", F.coalesce("symbol", "rule", "rule_id"))
+
+
 def entries(f) -> DataFrame:
     """Each added finding of a commit with an even number is tracked; it survives if its own number is even. What it says of its rule is merely the type."""
     rows = f.rows.where("phase = 'added'").where((F.col("commit_hash").cast("long") % 2 == 0) & ~(F.col("commit_hash").cast("long") % 97 == 0))
     none = F.lit(None).cast("string")
     return rows.select(
         "repo", F.lit(0).alias("ord"), (F.col("file_no") % 2 == 0).alias("survived"), F.col("commit_hash").alias("commit_sha"), "file_path", "type", "severity", none.alias("symbol"), none.alias("rule"), F.col("type").alias("rule_id"), "message",
-        none.alias("category"), none.alias("detected_by"), F.lit(None).cast("struct<is_test:boolean,is_simulation:boolean,is_dev:boolean>").alias("filter_context"), (F.col("line") * 10 + F.col("file_no")).alias("line"),
+        none.alias("category"), none.alias("detected_by"), F.lit(None).cast("struct<is_test:boolean,is_simulation:boolean,is_dev:boolean>").alias("filter_context"), _line().alias("line"),
     )
 
 
 def tracked(f) -> DataFrame:
-    added = f.rows.where("phase = 'added'").withColumn("line", F.col("line") * 10 + F.col("file_no"))
+    added = f.rows.where("phase = 'added'").withColumn("line", _line())
     return survival.tracked(survival.hydrated(entries(f), added))
 
 
