@@ -31,10 +31,14 @@ def _pairs(a: Column, gap: Column, drop: int) -> Column:
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """Add __q_words, and __q_g1 and __q_g2: their first and last trigrams, hashed."""
-    out = docs.withColumn("__q_text", text_or_empty()).withColumn("__q_words", words(F.col("__q_text")))
-    out = out.withColumn("__q_g1", F.transform("__q_words", lambda w: F.xxhash64(F.lit(1), F.substring(w, 1, 3))))
-    return out.withColumn("__q_g2", F.transform("__q_words", lambda w: F.xxhash64(F.lit(2), F.substring(w, -3, 3))))
+    """Add __q_text and __q_words."""
+    return docs.withColumn("__q_text", text_or_empty()).withColumn("__q_words", words(F.col("__q_text")))
+
+
+def _buckets(w: Column) -> tuple[Column, Column]:
+    """The buckets of a word's first and last trigram."""
+    at = lambda tag, gram: F.pmod(F.xxhash64(F.lit(tag), gram), F.lit(BUCKETS)).cast("int")
+    return at(1, F.substring(w, 1, 3)), at(2, F.substring(w, -3, 3))
 
 
 def base_measures(hashed: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.nd
     """Counts of hashed n-grams in all of ``docs``, and in those whose doc_id is in ``trusted``."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__q_t")).distinct()
     # The hint: one way at every size, for the trusted documents grow with the corpus. What is shuffled is two bytes for each n-gram.
-    buckets = F.transform(F.concat("__q_g1", "__q_g2"), lambda h: (F.pmod(h, F.lit(BUCKETS)) - BUCKETS // 2).cast("smallint"))
+    small = lambda b: (b - BUCKETS // 2).cast("smallint")
+    buckets = F.concat(F.transform("__q_words", lambda w: small(_buckets(w)[0])), F.transform("__q_words", lambda w: small(_buckets(w)[1])))
     rows = _hashes(docs.select("doc_id", "text")).select("doc_id", buckets.alias("__q_b")).join(ids.hint("merge"), F.col("doc_id") == F.col("__q_t"), "left")
     grams = rows.select(F.col("__q_t").isNotNull().alias("t"), F.explode("__q_b").alias("b"))
     grams = grams.select("t", (F.col("b").cast("int") + BUCKETS // 2).alias("b"))
@@ -94,10 +99,15 @@ def log_ratios(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + PRIOR * raw) / (target.sum() + PRIOR) / raw)
 
 
-def _lookup(ratios: np.ndarray, hashes: str) -> Column:
-    """The sum of the ratios of an array of hashes; the list of ratios is one constant of fixed size."""
+def _ratio_sum(ratios: np.ndarray, words_: str) -> Column:
+    """The sum of the ratios of both trigrams of each word; the list of ratios is one constant of fixed size."""
     listed = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
-    return F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.get(listed, F.pmod(h, F.lit(len(ratios))).cast("int")))
+
+    def add(acc: Column, w: Column) -> Column:
+        first, last = _buckets(w)
+        return acc + F.get(listed, first) + F.get(listed, last)
+
+    return F.aggregate(words_, F.lit(0.0), add)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,10 +121,10 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     ratios = log_ratios(*ngram_counts(docs, trusted))
     out = base_measures(_hashes(docs))
     n = 2 * F.size("__q_words")
-    out = out.withColumn("llr", F.when(n > 0, (_lookup(ratios, "__q_g1") + _lookup(ratios, "__q_g2")) / n).otherwise(0.0))
+    out = out.withColumn("llr", F.when(n > 0, _ratio_sum(ratios, "__q_words") / n).otherwise(0.0))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return out.drop("__q_text", "__q_words", "__q_g1", "__q_g2")
+    return out.drop("__q_text", "__q_words")
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
