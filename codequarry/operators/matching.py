@@ -244,6 +244,11 @@ def match_survival(before: DataFrame, after: DataFrame, scope: list[str]) -> Dat
     return rows.groupBy(F.pmod("k1", F.lit(buckets)).alias("bucket")).applyInArrow(match, "before_id long, after_id long, match_score double, match_reason string")
 
 
+def still_there(one: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:
+    """survived, current (the id of the finding that it is now) of a single finding: match_survival() with one row before."""
+    return match_survival(one, after, scope).select(F.col("after_id").isNotNull().alias("survived"), F.col("after_id").alias("current"))
+
+
 def augmented(issues: DataFrame, more: DataFrame, scope: list[str]) -> DataFrame:
     """``issues`` and those of ``more`` that none of them is like in rule, line and message; of equal ones in ``more``, one."""
     name = F.trim(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("rule_id", "rule", "symbol", "type")], F.lit("unknown")))

@@ -1,14 +1,16 @@
 """Captured git output as tables: logs, name-status, numstat, diffs and blame.
 
-Each function takes rows that hold the output as text and keeps the caller's ``keys``.
+Each function takes rows that hold the output as text and keeps the caller's ``keys``, which tell texts apart.
 Output of one command is one text, so a text is parsed where it lies and only its lines
-are spread out; nothing is ordered or gathered over texts.
+are spread out. Where a line belongs to a header above it, the lines of a text are put in order; nothing
+is ordered or gathered over texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
 
@@ -85,9 +87,28 @@ def file_patches(df: DataFrame, keys: list[str], text: str = "diff", fallback: s
     return rows.withColumn("added", F.transform(plus, lambda x: F.substring(x, 2, 1 << 30)))
 
 
+def _carried(rows: DataFrame, keys: list[str], header: Column) -> DataFrame:
+    """Lines with ``header``: that of the last line, up to it, that is one."""
+    above = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("header", F.last(header, ignorenulls=True).over(above))
+
+
+def added_ranges(df: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
+    """A row for each hunk of a diff of many files that has lines on the new side: path (of the ``+++ b/`` line above it), start, stop."""
+    rows = _carried(output_lines(df, keys, text), keys, F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 30)))
+    rows = rows.where(F.col("line").rlike(HUNK) & F.col("header").isNotNull())
+    start = F.regexp_extract("line", HUNK, 1).cast("int")
+    n = F.coalesce(F.nullif(F.regexp_extract("line", HUNK, 2), F.lit("")).cast("int"), F.lit(1))
+    return rows.select(*keys, F.col("header").alias("path"), start.alias("start"), (start + n - 1).alias("stop")).where("stop >= start")
+
+
 def blame_counts(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
-    """A row for each commit in porcelain blame output: sha, n_lines. Each content line (tab first) counts for the
-    header above it; headers repeat for every line, so counting headers counts lines."""
-    header = r"^([0-9a-f]{40}) [0-9]+ [0-9]+"
-    rows = output_lines(df, keys, text).where(F.col("line").rlike(header))
-    return rows.groupBy(*keys, F.regexp_extract("line", header, 1).alias("sha")).agg(F.count("*").alias("n_lines"))
+    """A row for each commit in porcelain blame output: sha, n_lines: the content lines (tab first) that stand below its headers."""
+    header = F.nullif(F.regexp_extract("line", r"^([0-9a-f]{40})(?:\s|$)", 1), F.lit(""))
+    rows = _carried(output_lines(df, keys, text), keys, header).where(F.col("line").startswith("\t") & F.col("header").isNotNull())
+    return rows.groupBy(*keys, F.col("header").alias("sha")).agg(F.count("*").alias("n_lines"))
+
+
+def blame_totals(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
+    """keys, total_lines: all content lines of the output."""
+    return output_lines(df, keys, text).groupBy(*keys).agg(F.count_if(F.col("line").startswith("\t")).alias("total_lines"))

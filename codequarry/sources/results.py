@@ -47,6 +47,7 @@ def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path, wholetext=True)
     text = F.regexp_replace("value", r"^[\s\x{feff}]+", "")
     shaped = text.startswith("[" if kind.startswith("array") else "{")
+    shaped = shaped & F.try_parse_json(text).isNotNull()  # half a document would give a row of nulls
     return raw.where(shaped).select(F.col("_metadata.file_path").alias("file"), F.from_json(text, kind).alias("doc")).where("doc is not null")
 
 
@@ -161,3 +162,41 @@ def survival_input(results: DataFrame) -> DataFrame:
     i = f.select("repo", "commit_sha", F.col("f.file_path").alias("file_path"), F.col("f.issue_filter_context_after").alias("filter_context"), F.explode("f.issues_added").alias("i"))
     rule = F.coalesce(falsy(F.col("i.symbol"), F.col("i.rule"), F.col("i.type")), F.lit("unknown"))
     return i.select("repo", "commit_sha", "file_path", "filter_context", F.coalesce(F.expr("try_cast(i.line AS int)"), F.lit(0)).alias("line"), rule.alias("rule_id"), "i.type", "i.severity", "i.message")
+
+
+SUMMARY = "struct<status:string,repo:string,commits_analyzed:long,errors:long,total_issues_introduced:long,total_issues_fixed:long,net_debt_change:long,issue_survival:struct<total_issues:long,surviving_issues:long,fixed_issues:long,survival_rate:double>>"
+PARTS = {**{name: kind for name, kind in DDL.items()}, "summary": SUMMARY, "checkpoint": "struct<completed:array<string>>"}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def layout(spark: SparkSession, folder: str, repo: str) -> str | None:
+    """Where a repository's results lie: in a folder of its own, in one of a data set, or in ``folder`` itself; null where none has findings."""
+    named = repo.replace("/", "_")
+    places = (f"{folder}/{named}", f"{folder}/results/{named}", f"{folder}/out/{named}", folder)
+    return next((p for p in places if _exists(spark, f"{p}/debt_metrics.json")), None)
+
+
+def repo_tables(spark: SparkSession, folder: str, repo: str) -> dict[str, DataFrame]:
+    """The documents of one repository by name (findings, survival, lifecycle, destiny, summary, checkpoint, details): each is read only when it is used.
+    Documents that are not there are left out."""
+    place = layout(spark, folder, repo)
+    if place is None:
+        return {}
+    found = {name: read_documents(spark, f"{place}/{name}.json", kind) for name, kind in PARTS.items() if _exists(spark, f"{place}/{name}.json")}
+    if _exists(spark, f"{place}/debug"):
+        found["details"] = read_documents(spark, f"{place}/debug", DETAIL)
+    return found
+
+
+def first_document(spark: SparkSession, paths: list[str], kind: str) -> DataFrame | None:
+    """The first of several documents that is there and has the shape of ``kind``."""
+    for path in paths:
+        if _exists(spark, path):
+            found = read_documents(spark, path, kind)
+            if not found.isEmpty():
+                return found
+    return None

@@ -187,3 +187,18 @@ def test_display(spark, read):
     changed = spark.createDataFrame([("a", 0, "SURVIVED", 3), ("b", 0, "SURVIVED", 5)], "path string, num_changes int, status string, commit_count int")
     assert [r.path for r in display.most_changed(changed, 30, 1).collect()] == ["b"]
     assert [r.sha[0] for r in display.first_commits(read.manifests, 1).collect()] == ["a"]
+
+
+def test_layouts(spark, folder, tmp_path):
+    assert results.layout(spark, f"{folder}/res", "o/r_x").endswith("/res/o_r_x")
+    assert results.layout(spark, f"{folder}/res/o_r_x", "any").endswith("/o_r_x")
+    assert results.layout(spark, f"{folder}/res", "no/such") is None
+    tables = results.repo_tables(spark, f"{folder}/res", "o/r_x")
+    assert set(tables) == {"debt_metrics", "issue_survival", "lifecycle_metrics", "destiny_metrics", "details"}
+    assert tables["issue_survival"].first().doc.total_issues == 3
+    assert tables["details"].count() == 1
+    (tmp_path / "bad.json").write_text("[1]")
+    (tmp_path / "good.json").write_text(json.dumps({"status": "completed", "total_issues_introduced": 5}))
+    got = results.first_document(spark, [str(tmp_path / n) for n in ("none.json", "bad.json", "good.json")], results.SUMMARY)
+    assert got.first().doc.total_issues_introduced == 5
+    assert results.first_document(spark, [str(tmp_path / "none.json")], results.SUMMARY) is None

@@ -44,6 +44,18 @@ def test_blame(spark):
     assert {r.sha: r.n_lines for r in git_text.blame_counts(one(spark, text), ["k"]).collect()} == {A: 2, B: 1}
 
 
+def test_ranges_of_many_files(spark):
+    diff = "@@ -1 +1 @@\n--- a/x\n+++ b/x.py\n@@ -1,2 +10,3 @@ f\n+a\n@@ -5 +20 @@\n@@ -9,2 +30,0 @@\n--- a/y\n+++ b/d e.py\n@@ -0,0 +1,2 @@"
+    got = git_text.added_ranges(one(spark, diff, "diff"), ["k"]).collect()
+    assert sorted((r.path, r.start, r.stop) for r in got) == [("d e.py", 1, 2), ("x.py", 10, 12), ("x.py", 20, 20)]
+
+
+def test_blame_totals(spark):
+    text = f"\tbefore\n{A} 1 1\n\tcode\n\tmore\n{B} 2 2\nauthor y\n\tend"
+    assert {r.sha: r.n_lines for r in git_text.blame_counts(one(spark, text), ["k"]).collect()} == {A: 2, B: 1}
+    assert git_text.blame_totals(one(spark, text), ["k"]).first().total_lines == 4
+
+
 def test_manifests(spark, tmp_path):
     url = "https://host/o/r/commit/s1"
     docs = {
