@@ -1,8 +1,7 @@
 """One-to-one matching of findings before and after a change.
 
-What a greedy matcher does within one key depends on all that it did before, so that part is Python.
-Many keys share a call: rows are dealt to buckets by their key's hash, and a
-bucket holds a bounded number of rows, but for those of one key.
+What a greedy matcher does depends on all that it did before among rows that may compete, so that part is
+Python. Joins, ranks and gaps first leave it as few rows, and as small groups of them, as can be.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from codequarry.functions import code
+from codequarry.operators.ordered import HOT_ROWS, islands, numbered, running_sum
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 50_000
@@ -102,42 +102,95 @@ def tolerant_pairs(before: list[int], after: list[int], tolerance: int) -> list[
     return out
 
 
-def _by_key(before: DataFrame, after: DataFrame, keys: list[Column], solve: Callable[[list[int], list[int]], list[tuple[int, int]]]) -> DataFrame:
-    """before_id, after_id of the pairs that ``solve`` makes of the sorted lines of each key."""
-    line = F.coalesce(F.col("line"), F.lit(0)).cast("long").alias("line")
+def _sides(before: DataFrame, after: DataFrame, keys: list[Column]) -> DataFrame:
+    """k1, k2 (names of a key), side, line, id of the rows of both sides."""
     names = [F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit(7), *keys, *[k.isNull() for k in keys]).alias("k2")]
+    line = F.coalesce(F.col("line"), F.lit(0)).cast("long").alias("line")
     one = lambda df, side: df.select(*names, F.lit(side).alias("side"), line, F.col("id").cast("long").alias("id"))
-    rows = one(before, 0).unionByName(one(after, 1))
-    both = Window.partitionBy("k1", "k2")
-    rows = rows.withColumn("_b", F.min("side").over(both)).withColumn("_a", F.max("side").over(both)).where("_b = 0 AND _a = 1").drop("_b", "_a")
-    buckets = max(1, math.ceil((before.count() + after.count()) / BUCKET_ROWS))
-
-    def match(t: pa.Table) -> pa.Table:
-        k1, k2, side, at, ids = (t.column(c).to_numpy() for c in ("k1", "k2", "side", "line", "id"))
-        order = np.lexsort((ids, at, side, k2, k1))
-        k1, k2, side, at, ids = k1[order], k2[order], side[order], at[order], ids[order]
-        edges = np.concatenate([[0], np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1, [len(k1)]]).tolist()
-        b, a = [], []
-        for begin, end in zip(edges[:-1], edges[1:], strict=True):
-            mid = begin + int(np.searchsorted(side[begin:end], 1))
-            for i, j in solve(at[begin:mid].tolist(), at[mid:end].tolist()):
-                b.append(ids[begin + i])
-                a.append(ids[mid + j])
-        return pa.table({"before_id": pa.array(b, pa.int64()), "after_id": pa.array(a, pa.int64())})
-
-    return rows.groupBy(F.pmod("k1", F.lit(buckets)).alias("bucket")).applyInArrow(match, "before_id long, after_id long")
-
-
-def nearest_greedy(before: DataFrame, after: DataFrame, keys: list[str], reach: float = 40) -> DataFrame:
+    return one(before, 0).unionByName(one(after, 1))
+
+
+def runs_of_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a key ends; a table has about a batch, or one key that is larger."""
+    held: list[pa.RecordBatch] = []
+
+    def key(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in keys)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = key(b, b.num_rows - 1)
+        if held and key(held[-1], held[-1].num_rows - 1) == last:  # all of one key
+            held.append(b)
+            continue
+        low, high = 0, b.num_rows - 1  # where the last key of the batch begins
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if key(b, mid) == last else (mid + 1, high)
+        done = [*held, *([b.slice(0, low)] if low else [])]
+        held = [b.slice(low)]
+        if done:
+            yield pa.Table.from_batches(done)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_island(rows: DataFrame, reach: int, solve: Callable[[list[int], list[int]], list[tuple[int, int]]], hot_rows: int) -> DataFrame:
+    """before_id, after_id of the pairs that ``solve`` makes of the sorted lines of each island of a key: rows whose lines are over
+    ``reach`` apart, with none between them, never compete. A task reads its islands one after another and holds one at a time."""
+    keys = ["k1", "k2", "island"]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of_keys(batches, keys):
+            names, side, at, ids = [t.column(c).to_numpy() for c in keys], *(t.column(c).to_numpy() for c in ("side", "line", "id"))
+            new = np.any([np.diff(x) != 0 for x in names], axis=0)
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(at)]]).tolist()
+            b, a = [], []
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                mid = begin + int(np.searchsorted(side[begin:end], 1))
+                if begin < mid < end:
+                    for i, j in solve(at[begin:mid].tolist(), at[mid:end].tolist()):
+                        b.append(ids[begin + i])
+                        a.append(ids[mid + j])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], names=["before_id", "after_id"])
+
+    placed = islands(rows, ["k1", "k2"], "line", reach, "island", hot_rows).select(*keys, "side", "line", "id")
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "side", "line", "id").mapInArrow(match, "before_id long, after_id long")
+
+
+def nearest_greedy(before: DataFrame, after: DataFrame, keys: list[str], reach: int = 40, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs (before_id, after_id) within each key: equal lines first, then rows before, in order of line, take the strictly
-    nearest row after that is still free and at most ``reach`` lines away; a null line is 0, null keys are equal."""
-    return _by_key(before, after, [F.col(k) for k in keys], lambda b, a: nearest_pairs(b, a, reach))
+    nearest row after that is still free and at most ``reach`` lines away; a null line is 0, null keys are equal.
+
+    Equal lines meet in a join on key, line and number; the rest is matched island by island.
+    """
+    nth = numbered(_sides(before, after, [F.col(k) for k in keys]), ["k1", "k2", "line", "side"], "id", "nth", hot_rows)
+    on = ["k1", "k2", "line", "nth"]
+    b, a = (nth.where(F.col("side") == k).select(*on, F.col("id").alias(name)) for k, name in ((0, "before_id"), (1, "after_id")))
+    both = b.join(a, on, "full_outer")
+    rest = both.where("before_id IS NULL OR after_id IS NULL").select("k1", "k2", "line", F.when(F.col("before_id").isNull(), 1).otherwise(0).alias("side"), F.coalesce("before_id", "after_id").alias("id"))
+    return both.where("before_id IS NOT NULL AND after_id IS NOT NULL").select("before_id", "after_id").unionByName(_by_island(rest, reach, lambda x, y: nearest_pairs(x, y, reach), hot_rows))
 
 
-def tolerant_greedy(before: DataFrame, after: DataFrame, tolerance: int = 5) -> DataFrame:
-    """Pairs (before_id, after_id) of deep scans: of one file, rule and beginning of the message (100 characters), within ``tolerance`` lines."""
+def tolerant_greedy(before: DataFrame, after: DataFrame, tolerance: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs (before_id, after_id) of deep scans: of one file, rule and beginning of the message (100 characters), rows before, in order of line,
+    take the first free row after within ``tolerance`` lines; line 0 is any line. Lines are 0 or more.
+
+    If z is the larger number of a key's rows at line 0 of the two sides, the first z rows of both sides pair by their rank: rows
+    at 0 come first, and take or are taken by whatever comes next. The rest has no line 0 and is matched island by island.
+    """
     keys = [F.coalesce("file", F.lit("")), F.coalesce("rule", F.lit("")), F.substring(F.coalesce("message", F.lit("")), 1, 100)]
-    return _by_key(before, after, keys, lambda b, a: tolerant_pairs(b, a, tolerance))
+    key, of_line = ["k1", "k2"], ["k1", "k2", "side", "line"]
+    rows = numbered(_sides(before, after, keys), of_line, "id", "nth", hot_rows)
+    per_line = rows.groupBy(*of_line).agg(F.count("*").alias("n"))
+    zeros = per_line.where("line = 0").groupBy(*key).agg(F.max("n").alias("z"))
+    upto = running_sum(per_line.join(zeros, key), ["k1", "k2", "side"], "line", "n", "upto", hot_rows)
+    ranked = rows.join(upto.select(*of_line, (F.col("upto") - F.col("n")).alias("above"), "z"), of_line, "left").withColumn("rank", F.col("above") + F.col("nth"))
+    first = ranked.where("rank <= z")
+    b, a = (first.where(F.col("side") == k).select(*key, "rank", F.col("id").alias(name)) for k, name in ((0, "before_id"), (1, "after_id")))
+    rest = ranked.where("z IS NULL OR rank > z").select(*key, "line", "side", "id")
+    return b.join(a, [*key, "rank"]).select("before_id", "after_id").unionByName(_by_island(rest, tolerance, lambda x, y: tolerant_pairs(x, y, tolerance), hot_rows))
 
 
 def match_issues(before: DataFrame, after: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,24 +1,115 @@
-"""Ranks, floor quantiles, as-of and interval joins."""
+"""Ranks, running sums, islands, floor quantiles, as-of and interval joins.
+
+What goes over a key in order would sort all of it in one task. So keys with very many rows
+are cut into parts by quantiles of the order, and what a part needs from those before it is carried over.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+#: Rows from which on one key is too much for a task that sorts it, and into how many parts such keys are cut.
+HOT_ROWS, PARTS = 1_000_000, 64
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column | None:
+    """Whether a row is of one of the largest keys with over ``hot_rows`` rows; None where there is no such key.
+
+    PARTS keys are looked at, at most: any other has less than 1 / PARTS of all rows.
+    """
+    found = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(PARTS).collect()
+    hit = [reduce(and_, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in found]
+    return reduce(or_, hit) if hit else None
+
+
+def in_parts(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``df`` with _part: 0, but for hot keys, which are cut by quantiles of ``order`` (a number or a time) into PARTS parts that
+    follow one another. Equal values share a part. None where no key is hot."""
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return None
+    bounds = df.where(hot).agg(F.percentile_approx(order, [k / PARTS for k in range(1, PARTS)], 10_000)).first()[0] or []
+    part = reduce(add, [(F.col(order) >= F.lit(b)).cast("int") for b in sorted(set(bounds))], F.lit(0))
+    return df.withColumn("_part", F.when(hot, F.coalesce(part, F.lit(0))).otherwise(0))
+
+
+def _same(keys: list[str], other: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys]
+
+
+def _with_parts(df: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with what ``sums`` has for its key and part."""
+    own = [*keys, "_part"]
+    return df.join(sums.withColumnsRenamed({k: f"_s_{k}" for k in own}), _same(own, "_s_")).drop("_part", *[f"_s_{k}" for k in own])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of a key up to this one. ``order`` tells its rows apart.
+
+    A hot key is summed part by part, in any task; sums of whole parts, PARTS a key, are carried over.
+    """
+    upto = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = in_parts(df, keys, order, hot_rows)
+    if parts is None:
+        return df.withColumn(out, F.sum(value).over(upto(*keys)))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum")).withColumn("_carry", F.sum("_sum").over(earlier)).drop("_sum")
+    inside = parts.withColumn("_in", F.sum(value).over(upto(*keys, "_part")))
+    done = _with_parts(inside, sums, keys)
+    return done.withColumn(out, F.when(F.col("_in").isNull(), F.col("_carry")).otherwise(F.coalesce("_carry", F.lit(0)) + F.col("_in"))).drop("_in", "_carry")
+
+
+def islands(df: DataFrame, keys: list[str], at: str, reach: int, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``out``: the first place of the island that a row stands on. Places of a key over ``reach`` apart, with none between them, are on different islands.
+
+    Of a hot key, each part finds the gaps within it; where parts begin and end tells the gaps between them.
+    """
+    parts = in_parts(df, keys, at, hot_rows)
+    by = [*keys, "_part"] if parts is not None else keys
+    rows = df if parts is None else parts
+    w = Window.partitionBy(*by).orderBy(at)
+    gap = F.col(at) - F.lag(at).over(w) > reach
+    rows = rows.withColumn("_gap", F.when(F.coalesce(gap, F.lit(parts is None)), F.col(at)))
+    inside = F.max("_gap").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    if parts is None:
+        return rows.withColumn(out, inside).drop("_gap")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.max("_gap").alias("_last"))
+    ends = ends.withColumn("_to", F.max("_hi").over(earlier)).withColumn("_first", F.when(F.col("_to").isNull() | (F.col("_lo") - F.col("_to") > reach), F.col("_lo")))
+    ends = ends.withColumn("_begin", F.coalesce("_first", F.max(F.coalesce("_last", "_first")).over(earlier)))
+    done = _with_parts(rows.withColumn("_in", inside), ends.select(*by, "_begin"), keys)
+    return done.withColumn(out, F.coalesce("_in", "_begin")).drop("_in", "_begin", "_gap")
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``out``: a row's number in its key, from 1, by ``order``, which tells rows apart. A hot key is numbered part by part."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out, hot_rows).drop("_one")
+
+
+def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, tuple[int, int]], hot_rows: int = HOT_ROWS) -> DataFrame:
     """keys, n, and for each name the element floor(n * num / den) (0-based) of the sorted values that are not null.
 
-    Equal values are counted first; running sums over the different values of a key then tell
-    which one holds the place, so no list of a key's values is ever made.
+    Rows are dealt by key once, and counting equal values, running sums over them and the last step all run where they
+    are. With a hot key, values are counted before any row moves, and the running sums go part by part.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("n", F.sum("_c").over(every)).withColumn("_end", F.sum("_c").over(upto))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    hot = hot_keys(rows, keys, hot_rows) is not None
+    counts = (rows if hot or not keys else rows.repartition(*keys)).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     at = lambda num, den: F.floor(F.col("n") * num / den)
     picks = [F.max(F.when((F.col("_end") > at(*f)) & (F.col("_end") - F.col("_c") <= at(*f)), F.col("_v"))).alias(name) for name, f in shares.items()]
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    if not hot:
+        every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        ends = counts.withColumn("n", F.sum("_c").over(every)).withColumn("_end", F.sum("_c").over(upto))
+    else:
+        totals = counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_c").alias("n"))
+        ends = running_sum(counts, keys, "_v", "_c", "_end", hot_rows).join(totals, _same(keys, "_t_") or F.lit(True))
+    return ends.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -26,15 +117,26 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """For each left row the first right row with right_ts >= left_ts: both sides in one ordered
-    window per key, so there is no range join."""
-    both = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v")).unionByName(
-        right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), F.col(value).alias("_v"))
-    )
-    # Descending: a right row comes after the left rows of its own time, and so before those of earlier times.
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_side").asc(), F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("next_" + value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", "next_" + value)
+def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """For each left row the first right row with right_ts >= left_ts, and of those of one time the least value.
+
+    The times of both sides run in one ordered window, so there is no range join: what is sorted are the different times of a key, not whole
+    rows. Of a hot key, each part looks among its own times, and takes what is left open from the parts that follow.
+    """
+    times = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v")).unionByName(right.select(*keys, F.col(right_ts).alias("_t"), F.col(value).alias("_v")))
+    times = times.where(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(F.min("_v").alias("_v"))
+    late = lambda *by: Window.partitionBy(*by).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    parts = in_parts(times, keys, "_t", hot_rows)
+    if parts is None:
+        found = times.withColumn("_next", F.last("_v", ignorenulls=True).over(late(*keys)))
+    else:
+        later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        heads = parts.groupBy(*keys, "_part").agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_head"))
+        heads = heads.withColumn("_carry", F.last("_head", ignorenulls=True).over(later)).drop("_head")
+        found = _with_parts(parts.withColumn("_in", F.last("_v", ignorenulls=True).over(late(*keys, "_part"))), heads, keys)
+        found = found.withColumn("_next", F.coalesce("_in", "_carry"))
+    found = found.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_t", F.col("_next").alias("next_" + value))
+    return left.join(found, [*_same(keys, "_f_"), F.col(left_ts) == F.col("_t")], "left").drop("_t", *[f"_f_{k}" for k in keys])
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi", bin_size: int = 64) -> DataFrame:

@@ -102,9 +102,13 @@ def h07_attribution(t):
     return matching.attributed(e.where("event_type = 'error'").drop("event_type"), e.where("event_type = 'click'"), ["user_id"]).select("id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS k, CAST(floor(value) AS BIGINT) AS line, event_id AS id, event_id % 2 AS side FROM events),
+  b AS (SELECT *, row_number() OVER (PARTITION BY u, k ORDER BY line, id) AS i FROM e WHERE side = 0),
+  s AS (SELECT u, k, 0::BIGINT AS i, list({'line': line, 'id': id} ORDER BY line, id) AS free, NULL::BIGINT AS before_id, NULL::BIGINT AS after_id FROM e WHERE side = 1 GROUP BY u, k
+    UNION ALL SELECT u, k, i, list_filter(free, lambda f: f.id IS DISTINCT FROM p), id, p FROM (SELECT s.u, s.k, b.i, b.id, s.free,
+      list_filter(s.free, lambda f: f.line = 0 OR b.line = 0 OR abs(f.line - b.line) <= 5)[1].id AS p FROM s JOIN b ON b.u = s.u AND b.k = s.k AND b.i = s.i + 1))
+  SELECT before_id, after_id FROM s WHERE after_id IS NOT NULL""")
 def h08_tolerant_match(t):
-    """Pairs of a deep scan; held against nested loops in the tests."""
     e = t("events").select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("rule"), F.lit("m").alias("message"), F.floor("value").cast("int").alias("line"), F.col("event_id").alias("id"))
     return matching.tolerant_greedy(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
 

@@ -242,7 +242,14 @@ def q23_exact_multiplicity_match(t):
     return exact_multiplicity(*_sides(t), ["user_id", "event_type", "line"]).select("user_id", "before_id", "after_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, event_type AS k, CAST(floor(value) AS BIGINT) AS line, event_id AS id, event_id % 2 AS side, row_number() OVER (PARTITION BY event_id % 2, user_id, event_type, CAST(floor(value) AS BIGINT) ORDER BY event_id) AS nth FROM events),
+  x AS (SELECT b.id AS before_id, a.id AS after_id FROM (SELECT * FROM e WHERE side = 0) b JOIN (SELECT * FROM e WHERE side = 1) a ON a.u = b.u AND a.k = b.k AND a.line = b.line AND a.nth = b.nth),
+  r AS (SELECT * FROM e WHERE id NOT IN (SELECT before_id FROM x UNION ALL SELECT after_id FROM x)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY u, k ORDER BY line, id) AS i FROM r WHERE side = 0),
+  s AS (SELECT u, k, 0::BIGINT AS i, list({'line': line, 'id': id} ORDER BY line, id) AS free, NULL::BIGINT AS before_id, NULL::BIGINT AS after_id FROM r WHERE side = 1 GROUP BY u, k
+    UNION ALL SELECT u, k, i, list_filter(free, lambda f: f.id IS DISTINCT FROM p), id, p FROM (SELECT s.u, s.k, b.i, b.id, s.free,
+      list_sort(list_transform(list_filter(s.free, lambda f: abs(f.line - b.line) <= 40), lambda f: {'d': abs(f.line - b.line), 'line': f.line, 'id': f.id}))[1].id AS p FROM s JOIN b ON b.u = s.u AND b.k = s.k AND b.i = s.i + 1))
+  SELECT before_id, after_id FROM x UNION ALL SELECT before_id, after_id FROM s WHERE after_id IS NOT NULL""")
 def q24_nearest_greedy_match(t):
     return nearest_greedy(*_sides(t), ["user_id", "event_type"])
 
