@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -231,37 +232,66 @@ def seq_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([similarity(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
 
 
+#: How alike lines count as one line, and how alike they are enough with an equal message; and lines of a window.
+ALIKE, ALIKE_ENOUGH, NEAR = 0.82, 0.55, 10
+#: Classes that characters are counted in for a bound of how alike two lines can be.
+CLASSES = 16
+
+
 def survival_score(a: dict, b: dict) -> tuple[float, str]:
     """How surely finding ``b`` is finding ``a`` of the same rule: by their lines' text, by message and text,
     by message and place, or by the lines around."""
     if a["text"] and a["text"] == b["text"]:
         return 1.0, "line-text-near-exact"
-    alike = similarity(a["text"], b["text"])
-    if alike >= 0.82:
+    alike, same = similarity(a["text"], b["text"]), bool(a["message"]) and a["message"] == b["message"]
+    if alike >= ALIKE:
         return 0.92, "line-text-similar"
-    if a["message"] and a["message"] == b["message"]:
-        if alike >= 0.55:
-            return 0.84, "message-and-line-similar"
-        if a["line"] and b["line"] and abs(a["line"] - b["line"]) <= 10:
-            return 0.62, "message-and-line-window"
+    if same and alike >= ALIKE_ENOUGH:
+        return 0.84, "message-and-line-similar"
+    if same and a["line"] and b["line"] and abs(a["line"] - b["line"]) <= NEAR:
+        return 0.62, "message-and-line-window"
     return (0.75, "context-fingerprint") if a["print"] == b["print"] else (0.0, "no-match")
 
 
-def survival_pairs(before: list[dict], after: list[dict], least: float = 0.6) -> list[tuple[int, int, float, str]]:
-    """(i, j, score, reason): each one before, in order, takes the first of the best that are free."""
-    free, out = list(range(len(after))), []
-    for i, a in enumerate(before):
-        best = (0.0, -1, "no-match")
-        for j in free:
-            score, reason = survival_score(a, after[j])
-            if score > best[0]:
-                best = (score, j, reason)
-                if score == 1.0:
-                    break
-        if best[0] >= least:
-            free.remove(best[1])
-            out.append((i, best[1], best[0], best[2]))
-    return out
+class Choices:
+    """The free findings of a key, from which findings before choose in turn: of those of the highest score, the first."""
+
+    def __init__(self):
+        self.free: dict[int, tuple] = {}  # the row of each id
+        self.of: dict[tuple, deque] = {}  # ids in order, by what they have
+        self.alike: dict[str, list[tuple[str, bool]]] = {}  # texts like a text, and whether they are very much so
+
+    def offer(self, row: tuple) -> None:
+        """row: id, text, message, line, print (names of texts, messages and prints; None where empty)."""
+        i, text, message, line, mark = row
+        self.free[i] = row
+        for what in (("text", text), ("both", text, message), ("print", mark), ("place", message, line // NEAR if line else None)):
+            if None not in what:
+                self.of.setdefault(what, deque()).append(i)
+
+    def first(self, *what, good: Callable[[tuple], bool] = lambda row: True) -> int | None:
+        ids = self.of.get(what, ())
+        while ids and ids[0] not in self.free:
+            ids.popleft()
+        return next((i for i in ids if i in self.free and good(self.free[i])), None)
+
+    def choose(self, row: tuple) -> tuple[int | None, float, str]:
+        _, text, message, line, mark = row
+        near = lambda other: message is not None and other[2] == message and bool(line) and bool(other[3]) and abs(other[3] - line) <= NEAR
+        like = self.alike.get(text, ())
+        least = lambda found: min((i for i in found if i is not None), default=None)
+        ladder = (
+            (1.0, "line-text-near-exact", lambda: self.first("text", text)),
+            (0.92, "line-text-similar", lambda: least(self.first("text", t) for t, very in like if very)),
+            (0.84, "message-and-line-similar", lambda: least(self.first("both", t, message) for t, _ in like)),
+            (0.75, "context-fingerprint", lambda: self.first("print", mark, good=lambda other: not near(other))),
+            (0.62, "message-and-line-window", lambda: least(self.first("place", message, k, good=near) for k in range((line or 0) // NEAR - 1, (line or 0) // NEAR + 2))),
+        )
+        for score, reason, look in ladder:
+            if (i := look()) is not None:
+                del self.free[i]
+                return i, score, reason
+        return None, 0.0, "no-match"
 
 
 def prepared(rows: DataFrame, content: str) -> DataFrame:
@@ -271,30 +301,75 @@ def prepared(rows: DataFrame, content: str) -> DataFrame:
     return out.drop(content)
 
 
+def _like_bound(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts with their ``counts`` (of characters by class) and lengths can be ``least`` alike: twice what they can have in common over both lengths."""
+    common = F.aggregate(F.zip_with(a["counts"], b["counts"], lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    return 2.0 * common >= least * (a["length"] + b["length"]) - 1e-9
+
+
+def alike_texts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, text, other, strong (ALIKE and more; else ALIKE_ENOUGH and more), of different texts of the same keys.
+
+    ``left`` and ``right`` have keys, text and plain (some finding's message stands on the other side; where it doesn't, only
+    ALIKE counts). Texts meet by the logarithm of their length, each step a factor of (2 - t) / t, the most that lengths can differ
+    at a ratio of t; then lengths, and characters by class, bound the ratio from above, and difflib runs on what is left.
+    """
+    step = math.log((2 - ALIKE_ENOUGH) / ALIKE_ENOUGH)
+    code_of = lambda c: F.pmod(F.ascii(c), F.lit(CLASSES))
+
+    def sized(df: DataFrame) -> DataFrame:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter("_chars", lambda c: code_of(c) == k)))
+        rows = df.where("text <> ''").groupBy(*keys, "text").agg(F.max("plain").alias("plain")).withColumn("length", F.length("text")).withColumn("_chars", F.split("text", ""))
+        return rows.withColumn("t", F.struct("text", "length", counts.alias("counts"), "plain")).withColumn("_bin", F.floor(F.log("length") / step)).select(*keys, "t", "_bin")
+
+    a = sized(left).withColumn("_bin", F.explode(F.array(*[F.col("_bin") + k for k in (-1, 0, 1)])))
+    b = sized(right).select(*keys, "_bin", F.col("t").alias("o"))
+    x, y = F.col("t"), F.col("o")
+    least = F.when(x["plain"] & y["plain"], ALIKE_ENOUGH).otherwise(ALIKE)
+    longest = 2.0 * F.least(x["length"], y["length"]) >= least * (x["length"] + y["length"]) - 1e-9
+    pairs = a.join(b, [*keys, "_bin"]).where((x["text"] != y["text"]) & longest & _like_bound(x, y, least))
+    rated = pairs.withColumn("ratio", seq_ratio(x["text"], y["text"])).where(F.col("ratio") >= ALIKE_ENOUGH)
+    return rated.select(*keys, x["text"].alias("text"), y["text"].alias("other"), (F.col("ratio") >= ALIKE).alias("strong"))
+
+
 def match_survival(before: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:
     """before_id, after_id, match_score, match_reason of each finding before, null and 0 where it is gone.
 
     Both sides: prepared(). Only findings of one rule are compared; those before go by ``id``, their order in the input.
+    Which texts are alike is found by a join of the different texts of a key (not of its findings). What chooses in turn
+    then reads a key's free findings, its like texts and its findings before, as hashes, in this order.
     """
     keys = [F.col(k) for k in scope] + [F.col("rule_name")]
     names = [F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit(7), *keys).alias("k2")]
-    fields = [F.col("id").cast("long").alias("id"), "text", "message", F.col("line").cast("int").alias("line"), "print"]
-    rows = before.select(*names, F.lit(0).alias("side"), *fields).unionByName(after.select(*names, F.lit(1).alias("side"), *fields))
-    buckets = max(1, math.ceil((before.count() + after.count()) / BUCKET_ROWS))
-
-    def match(t: pa.Table) -> pa.Table:
-        groups: dict[tuple, tuple[list, list]] = {}
-        for r in t.sort_by([("id", "ascending")]).to_pylist():
-            groups.setdefault((r["k1"], r["k2"]), ([], []))[r["side"]].append(r)
-        out = []
-        for b, a in groups.values():
-            got = {i: (a[j]["id"], score, reason) for i, j, score, reason in survival_pairs(b, a)}
-            out.extend((r["id"], *got.get(i, (None, 0.0, "no-match"))) for i, r in enumerate(b))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["before_id", "after_id", "match_score", "match_reason"])
-
-    return rows.groupBy(F.pmod("k1", F.lit(buckets)).alias("bucket")).applyInArrow(match, "before_id long, after_id long, match_score double, match_reason string")
+    name = lambda c: F.when(F.col(c) != "", F.md5(F.col(c)))
+    fields = lambda df, kind: df.select(*names, F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), name("text").alias("text"), name("message").alias("message"), F.col("line").cast("long").alias("line"), F.coalesce("print", F.lit("-")).alias("print"))
+    told = lambda df, side: df.select(*names, "text", "message").groupBy("k1", "k2", "text", "message").agg(F.lit(side).alias("side"))
+    both = told(before, 0).unionByName(told(after, 1))
+    shared = both.where("message <> ''").groupBy("k1", "k2", "message").agg((F.min("side") < F.max("side")).alias("plain"))
+    texts = both.join(shared, ["k1", "k2", "message"], "left").select("k1", "k2", "side", "text", F.coalesce("plain", F.lit(False)).alias("plain"))
+    like = alike_texts(texts.where("side = 0"), texts.where("side = 1"), ["k1", "k2"])
+    like = like.select("k1", "k2", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), name("text").alias("text"), name("other").alias("message"), F.col("strong").cast("long").alias("line"), F.lit(None).cast("string").alias("print"))
+    rows = fields(after, 0).unionByName(like).unionByName(fields(before, 2))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, choices = None, Choices()
+        for b in batches:
+            out = []
+            for k1, k2, kind, *row in zip(*[b.column(c).to_pylist() for c in ("k1", "k2", "kind", "id", "text", "message", "line", "print")], strict=True):
+                if (k1, k2) != key:
+                    key, choices = (k1, k2), Choices()
+                if kind == 0:
+                    choices.offer(tuple(row))
+                elif kind == 1:
+                    choices.alike.setdefault(row[1], []).append((row[2], bool(row[3])))
+                else:
+                    out.append((row[0], *choices.choose(tuple(row))))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["before_id", "after_id", "match_score", "match_reason"])
+
+    order = ["k1", "k2", "kind", "id"]
+    return rows.repartition("k1", "k2").sortWithinPartitions(*order).mapInArrow(match, "before_id long, after_id long, match_score double, match_reason string")
 
 
 def still_there(one: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:

@@ -115,10 +115,15 @@ def h08_tolerant_match(t):
 
 @query()
 def h09_survival_match(t):
-    """Findings in documents against those of another half of them; held against known cases in the tests."""
-    d = t("documents").select("doc_id", "text", "lang")
-    rows = d.select((F.col("doc_id") % 60).alias("file"), F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("rule_name"), F.lit("m").alias("message"), F.lit(1).alias("line"), F.col("text").alias("content"))
-    side = lambda k: matching.prepared(rows.where(F.col("id") % 2 == k), "content")
+    """A finding on every line of every document, against those of another half of them; held against all pairs in the tests. A file is twenty documents in a row."""
+    d = t("documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("rule_name"), F.floor(F.col("doc_id") / 20).alias("file"))
+    lines = d.select("file", "doc_id", "rule_name", "text", F.posexplode(code.lines_of(F.col("text"))).alias("at", "text_of_line"))
+    prints = d.select("doc_id", code.line_fingerprints(F.col("text")).alias("prints"))
+    rows = lines.join(prints, "doc_id").select(
+        "file", (F.col("doc_id") * 1_000_000 + F.col("at")).alias("id"), "rule_name", F.concat(F.lit("m"), (F.col("at") % 3).cast("string")).alias("message"), (F.col("at") + 1).alias("line"),
+        code.squeezed(F.col("text_of_line")).alias("text"), F.get("prints", F.col("at")).alias("print"), "doc_id",
+    )
+    side = lambda k: rows.where(F.col("doc_id") % 2 == k).drop("doc_id")
     return matching.match_survival(side(0), side(1), ["file"])
 
 
