@@ -7,28 +7,15 @@ from pyspark.sql import functions as F
 from codequarry.functions import code
 from codequarry.functions.detection import author_histogram, email_domain, uncovered_emails
 from codequarry.operators import matching, ordered
+from codequarry.plans.catalog import catalog
 from codequarry.plans.report_queries import PATHS, _case, _pick, part
 from codequarry.reports import display, history
 from codequarry.sources import discovery
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES, SQL, query = catalog()
 DAY = 86_400
 
 
-def query(sql: str | None = None):
-    def add(f):
-        def run(spark, sf_dir):
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _ts(c):
     return F.unix_timestamp(F.col(c).cast("timestamp"))
 

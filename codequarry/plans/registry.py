@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,24 +9,11 @@ from codequarry.functions import code, detection
 from codequarry.functions.paths import extension, file_name, is_noise_path, language, month_text, path_category, skip_reason
 from codequarry.operators.matching import exact_multiplicity, nearest_greedy
 from codequarry.operators.ordered import contains_any, floor_quantiles, forward_asof, overlaps, top_k
-from codequarry.plans import history_queries, report_queries
+from codequarry.plans import history_queries, report_queries, structure_queries
+from codequarry.plans.catalog import catalog
 from codequarry.reports.history import is_fix, is_refactor, line_status
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 def count_if(c, name: str):
@@ -341,5 +327,5 @@ def q35_blame_ratio(t):
     return out.withColumn("ratio", F.col("own").cast("double") / F.col("lines"))
 
 
-QUERIES |= report_queries.QUERIES | history_queries.QUERIES
-SQL |= report_queries.SQL | history_queries.SQL
+QUERIES |= report_queries.QUERIES | history_queries.QUERIES | structure_queries.QUERIES
+SQL |= report_queries.SQL | history_queries.SQL | structure_queries.SQL

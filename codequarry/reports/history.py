@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import code, paths
+from codequarry.operators.graph import ancestors
 from codequarry.operators.ordered import forward_asof
 from codequarry.reports.debt import count_if, ratio
 
@@ -231,9 +232,9 @@ def quality_measures(quality: DataFrame, keys: list[str]) -> DataFrame:
     return quality.select(*keys, *[c for c in QUALITY_KEYS if c in quality.columns])
 
 
-def reachable(commits: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Commits (repo, sha) that the default branch has. ``ancestors``: repo, sha of its head and all before it."""
-    return commits.join(ancestors.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi")
+def reachable(commits: DataFrame, parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """Commits (repo, sha) that the default branch has: those at or before its head. ``parents``: repo, sha, parent, ord (from 0); ``heads``: repo, sha."""
+    return commits.join(ancestors(parents, heads), ["repo", "sha"], "left_semi")
 
 
 def in_changed_files(rows: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:

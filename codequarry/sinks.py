@@ -159,7 +159,9 @@ LATEX = str.maketrans({"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_
 def latex_table(rows: DataFrame | list[list], columns: list[str], caption: str = "", label: str = "", most: int = 1000) -> str:
     """A report's rows as a LaTeX table: numbers to the right, with two places where they are fractions."""
     if isinstance(rows, DataFrame):
-        rows = [list(r) for r in rows.select(*columns).limit(most).collect()]
+        rows = [list(r) for r in rows.select(*columns).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows")
     cell = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v).translate(LATEX)
     number = lambda i: all(isinstance(r[i], int | float) for r in rows if r[i] is not None)
     spec = "".join("r" if rows and number(i) else "l" for i in range(len(columns)))

@@ -31,7 +31,7 @@ def _or(*cols: Column) -> Column:
 def commits_of_documents(texts: DataFrame, column: str = "value") -> DataFrame:
     """Commits of whole JSON documents, one in each row of ``column``; text that is no JSON gives none."""
     text = F.regexp_replace(F.col(column), r"^[\s\x{feff}]+", "")
-    objects = texts.where(text.startswith("{")).select(F.from_json(column, DOCUMENT).alias("d")).select("d.*")
+    objects = texts.where(text.startswith("{")).select(F.from_json(text, DOCUMENT).alias("d")).select("d.*")
     c = F.col("c")
     listed = objects.where("ai_commits is not null").select(F.coalesce("repo", F.lit("")).alias("of"), F.explode("ai_commits").alias("c"))
     repo, tool = _or(c["repo"], F.col("of")), F.coalesce(c["ai_tool"], F.lit("unknown"))
@@ -40,7 +40,7 @@ def commits_of_documents(texts: DataFrame, column: str = "value") -> DataFrame:
     old = objects.where("ai_commits is null").withColumn("sha", F.explode("ai_commit_shas"))
     only = F.when(F.size("ai_tools") == 1, F.get("ai_tools", 0)).otherwise("unknown")
     old = old.select("sha", F.col("repo").alias("full_name"), _or(F.col("repo_url"), F.col("repo_source")).alias("repo_url"), only.alias("tool"), F.coalesce("ai_tools", F.array().cast("array<string>")).alias("possible_tools"))
-    arrays = texts.where(text.startswith("[")).select(F.explode(F.from_json(column, f"array<struct<{COMMIT.replace(' string', ': string')}>>")).alias("c")).select("c.*")
+    arrays = texts.where(text.startswith("[")).select(F.explode(F.from_json(text, f"array<struct<{COMMIT.replace(' string', ': string')}>>")).alias("c")).select("c.*")
     return out.unionByName(old, allowMissingColumns=True).unionByName(arrays, allowMissingColumns=True)
 
 
@@ -52,7 +52,7 @@ def load_commits(spark: SparkSession, path: str) -> DataFrame:
     """
     is_document = F.lower(F.col("_metadata.file_path")).endswith(".json")
     documents = commits_of_documents(spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(path, wholetext=True))
-    value = F.regexp_replace("value", r"^\s+", "")
+    value = F.regexp_replace("value", r"^[\s\x{feff}]+", "")
     lines = spark.read.text(path).where(~is_document).where(value.startswith("{"))
     return documents.unionByName(lines.select(F.from_json(value, COMMIT).alias("c")).where("c is not null").select("c.*"), allowMissingColumns=True)
 

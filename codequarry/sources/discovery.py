@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,3 +237,41 @@ def search_results(answers: DataFrame, text: str = "body") -> DataFrame:
 def bytes_and_cost(scanned: int, per_terabyte: float = 5.0) -> tuple[float, float]:
     """Gigabytes, and what a warehouse that bills by bytes would ask for them."""
     return scanned / 1024**3, scanned / 1024**4 * per_terabyte
+
+
+def partition_filters(df: DataFrame) -> list[str]:
+    """Of each scan of files in the plan, the filters that choose partitions; '[]' for a scan of all."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    scans = [leaves.apply(k) for k in range(leaves.size()) if leaves.apply(k).nodeName().startswith("Scan ")]
+    return [x.metadata().get("PartitionFilters").getOrElse(None) or "[]" for x in scans]
+
+
+def scan_cost(df: DataFrame, per_terabyte: float = 5.0) -> dict:
+    """Run ``df``, keep nothing of it, and tell what its scans read: bytes_processed (by the executors' own count, so
+    only of columns and partitions that were read), gb_processed, cost_estimate_usd, partition_filters."""
+    spark = df.sparkSession
+    context, group = spark.sparkContext, f"scan-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "what a scan reads")
+    # Reads on threads of their own are not in a task's count.
+    vectored, before = "parquet.hadoop.vectored.io.enabled", spark.conf.get("parquet.hadoop.vectored.io.enabled", None)
+    spark.conf.set(vectored, "false")
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset(vectored) if before is None else spark.conf.set(vectored, before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    store = context._jsc.sc()
+    store.listenerBus().waitUntilEmpty()
+    tracker, status, seen, read = context.statusTracker(), store.statusStore(), set(), 0
+    for job in tracker.getJobIdsForGroup(group):
+        info = tracker.getJobInfo(job)
+        for stage in info.stageIds if info else ():
+            if stage not in seen:  # a stage that several jobs share is read once
+                seen.add(stage)
+                try:
+                    read += status.lastStageAttempt(stage).inputBytes()
+                except Py4JJavaError:  # skipped, so it read nothing
+                    continue
+    gb, cost = bytes_and_cost(read, per_terabyte)
+    return {"bytes_processed": read, "gb_processed": round(gb, 2), "cost_estimate_usd": round(cost, 2), "partition_filters": partition_filters(df)}

@@ -200,3 +200,20 @@ def first_document(spark: SparkSession, paths: list[str], kind: str) -> DataFram
             if not found.isEmpty():
                 return found
     return None
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row over the summaries of all repositories of a batch (status, commits_analyzed, total_issues_introduced, total_issues_fixed): how many
+    went well and how many did not, sums, and the difference. What a summary lacks counts as 0; no rows give zeros."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    out = results.agg(F.count_if(ok).alias("repos_analyzed"), F.count_if(~ok).alias("repos_failed"), total("commits_analyzed", "total_commits_analyzed"), total("total_issues_introduced", "total_issues_introduced"), total("total_issues_fixed", "total_issues_fixed"))
+    return out.withColumn("net_debt_change", F.col("total_issues_introduced") - F.col("total_issues_fixed"))
+
+
+def matching_files(spark: SparkSession, folder: str, patterns: list[str]) -> list[str]:
+    """Files of a folder that match any of the patterns, each once, by name; as many as the folder lists."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {str(x.getPath()) for p in patterns for x in (system.globStatus(path(f"{folder}/{p}")) or []) if x.isFile()}
+    return sorted(found)

@@ -81,7 +81,8 @@ def test_patches_and_deltas(spark):
     assert (got[2].issues_introduced, got[2].issues_fixed, got[2].net_change, got[2].duplicates_delta, got[2].quality_improved) == (0, 1, -1, -2, True)
     assert history.quality_measures(spark.createDataFrame([(1, 2, 3)], "k int, todos int, other int"), ["k"]).columns == ["k", "todos"]
     commits = spark.createDataFrame([("r", "a"), ("r", "b")], "repo string, sha string")
-    assert [r.sha for r in history.reachable(commits, commits.where("sha = 'b'")).collect()] == ["b"]
+    parents = spark.createDataFrame([(r.repo, "b", "x", 0) for r in commits.where("sha = 'b'").collect()], "repo string, sha string, parent string, ord int")
+    assert [r.sha for r in history.reachable(commits, parents, commits.where("sha = 'b'")).collect()] == ["b"]
     assert history.in_changed_files(changed, changed.where("path = 'src/a.py'"), ["path"]).count() == 1
 
 
