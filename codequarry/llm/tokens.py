@@ -7,6 +7,7 @@ met, which spares most of the work.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -47,7 +48,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.stems, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        #: Stems met of late, and those before them: what is met again moves over, the rest goes.
+        self.stems, self.older = {}, {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in two bytes, and this vocabulary has more")
         self.ends = np.zeros(1 << 16, bool)
@@ -76,12 +79,19 @@ class WordEncoder:
         numbered = met.dictionary_encode()
         names = _strings(numbered.dictionary)
         found = list(map(self.stems.get, names))
-        new = [w for w, x in zip(names, found, strict=True) if x is None]
-        if new:
-            if len(self.stems) + len(new) > STEMS:
-                self.stems = {w: x for w, x in zip(names, found, strict=True) if x is not None}
+        open_ = [k for k, x in enumerate(found) if x is None]
+        if open_:
+            if len(self.stems) + len(open_) > STEMS:
+                self.stems, self.older = {}, self.stems
+            new = []
+            for k in open_:
+                if (x := self.older.get(names[k])) is None:
+                    new.append(names[k])
+                else:
+                    self.stems[names[k]] = x
             self._learn(new)
-            found = list(map(self.stems.__getitem__, names))
+            for k in open_:
+                found[k] = self.stems[names[k]]
         return found, numbered.indices.to_numpy()
 
     def _kept(self, met: list[str]) -> list[bytes]:
@@ -141,6 +151,7 @@ def encoder(path: str) -> WordEncoder:
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches with ``keep``, first (tokens before it in this task), n_tokens and ids (two bytes each, the end id last)."""
     coder, end, first = encoder(path), np.uint16(END).tobytes(), 0
+    gc.disable()  # nothing here is in a cycle, and looking for cycles among so many words costs time
     for batch in batches:
         texts = batch.column("__q_text")
         begin = 0
@@ -155,6 +166,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
             first += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(firsts), pa.array(sizes), pa.array(ids, pa.binary())], names=[*keep, "first", "n_tokens", "ids"])
             begin = stop
+    gc.enable()
     release()
 
 
