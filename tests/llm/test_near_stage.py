@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.llm import alike
+from codequarry.llm.simhash import majority
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +88,22 @@ def test_groups_in_blocks(spark, monkeypatch, small):
 def test_texts_just_above_and_below_the_share(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (222, 1302, 1451, 6020, 3666, 9814)").select("doc_id", "text")
     assert stays(rows) == [222, 1302, 1451, 3666, 6020]
+
+
+def test_no_pair_at_the_share_falls_out():
+    """200,000 pairs at exactly 0.8, the shortest sets included: all are candidates by sizes and fingerprints, and share a key."""
+    rng, lost, pairs = np.random.default_rng(8), 0, 0
+    for common, more, less, times in ((4, 1, 0, 100_000), (8, 1, 1, 30_000), (12, 3, 0, 40_000), (12, 2, 1, 20_000), (20, 3, 2, 8_000), (400, 50, 50, 2_000)):
+        total = common + more + less
+        h = rng.integers(0, 1 << 63, (times, total), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        sides = h[:, : common + more], np.concatenate([h[:, :common], h[:, common + more :]], 1)
+        rows = []
+        for x in sides:
+            out = np.zeros(times, alike._KEY)
+            out["n"], out["fp"] = x.shape[1], majority(x.ravel(), np.arange(1, times + 1) * x.shape[1], alike.BITS)
+            rows.append(out)
+        lost += int((~alike.may_be_alike(*rows)).sum())
+        pairs += times
+        for a, b in zip(*(np.sort(x[:500], 1) for x in sides), strict=True):
+            assert set(a[: alike._n_keys(len(a))].tolist()) & set(b[: alike._n_keys(len(b))].tolist())
+    assert (lost, pairs) == (0, 200_000)
