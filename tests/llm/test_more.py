@@ -40,18 +40,12 @@ def key(r):
 def test_quality_rules_on_all_columns(spark, docs):
     trusted = {1, 10}
     got = quality_rules.judge(docs, spark.createDataFrame([(1,), (1,), (10,), (None,)], "doc_id long")).collect()
-    jhash = {}
-
-    def gram(tag, s):
-        if (tag, s) not in jhash:
-            jhash[tag, s] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(tag), F.lit(s)), F.lit(quality_rules.BUCKETS))).first()[0]
-        return jhash[tag, s]
-
-    short = [r for r in ROWS if r[1] is not LONG]  # the hashes of the long text's grams come by the same call
-    grams = {t: [gram(1, w[:3]) for w in WORD.findall(t or "")] + [gram(2, w[-3:]) for w in WORD.findall(t or "")] for t in {r[1] for r in short}}
-    pairs = spark.createDataFrame([(f"w{i}",) for i in range(5003)], "w string").select("w", *[F.pmod(F.xxhash64(F.lit(t), F.substring("w", a, 3)), F.lit(quality_rules.BUCKETS)).alias(f"g{t}") for t, a in ((1, 1), (2, -3))]).collect()
-    of = {r.w: (r.g1, r.g2) for r in pairs}
-    grams[LONG] = [x for w in LONG.split() for x in of[w]]
+    words_of = {t: WORD.findall(t or "") for t in {r[1] for r in ROWS}}
+    pairs = sorted({(a, b) for w in words_of.values() for a, b in zip(w, w[1:], strict=False)} | {(w, w) for own in words_of.values() for w in own})
+    bucket = lambda h: F.pmod(h, F.lit(quality_rules.BUCKETS))
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", bucket(F.xxhash64("a")).alias("one"), bucket(F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).alias("two")).collect()
+    one, two = {r.a: r.one for r in found}, {(r.a, r.b): r.two for r in found}
+    grams = {t: [one[x] for x in w] + [two[p] for p in zip(w, w[1:], strict=False)] for t, w in words_of.items()}
     corpus, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
     for d, t in ROWS:
         np.add.at(corpus, grams[t], 1)
