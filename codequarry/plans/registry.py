@@ -9,7 +9,7 @@ from codequarry.functions import code, detection
 from codequarry.functions.paths import extension, file_name, is_noise_path, language, month_text, path_category, skip_reason
 from codequarry.operators.matching import exact_multiplicity, nearest_greedy
 from codequarry.operators.ordered import contains_any, floor_quantiles, forward_asof, overlaps, top_k
-from codequarry.plans import history_queries, report_queries, structure_queries
+from codequarry.plans import capture_queries, history_queries, report_queries, structure_queries
 from codequarry.plans.catalog import catalog
 from codequarry.reports.history import is_fix, is_refactor, line_status
 
@@ -327,5 +327,5 @@ def q35_blame_ratio(t):
     return out.withColumn("ratio", F.col("own").cast("double") / F.col("lines"))
 
 
-QUERIES |= report_queries.QUERIES | history_queries.QUERIES | structure_queries.QUERIES
-SQL |= report_queries.SQL | history_queries.SQL | structure_queries.SQL
+QUERIES |= report_queries.QUERIES | history_queries.QUERIES | structure_queries.QUERIES | capture_queries.QUERIES
+SQL |= report_queries.SQL | history_queries.SQL | structure_queries.SQL | capture_queries.SQL
