@@ -24,16 +24,16 @@ WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 
 
-def _pairs(a: Column, gap: Column, drop: int) -> Column:
-    """Hashes of each item with the one ``gap`` later; ``drop``: by how many the result is shorter than the words."""
+def _pairs(a: Column, gap: Column, drop: int, then=lambda h: h) -> Column:
+    """Hashes of each item with the one ``gap`` later; ``drop``: by how many the result is shorter than the words; ``then``: what is made of each."""
     n = F.greatest(F.size("__q_words") - drop, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, gap + 1, n), lambda x, y: F.xxhash64(x, y))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, gap + 1, n), lambda x, y: then(F.xxhash64(x, y)))
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
     """Add __q_text and __q_words, and hashes of each word (__q_h1) and of each two in a row (__q_h2)."""
     out = docs.withColumn("__q_text", text_or_empty()).withColumn("__q_words", words(F.col("__q_text")))
-    return out.withColumn("__q_h1", F.transform("__q_words", lambda w: F.xxhash64(w))).withColumn("__q_h2", _pairs(F.col("__q_h1"), F.lit(1), 1))
+    return out.withColumn("__q_h1", F.transform("__q_words", lambda w: F.xxhash64(w))).withColumn("__q_h2", _pairs(F.col("__q_words"), F.lit(1), 1))
 
 
 def _bucket(h: Column) -> Column:
@@ -78,8 +78,10 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.nd
     """Counts of hashed n-grams in all of ``docs``, and in those whose doc_id is in ``trusted``."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__q_t")).distinct()
     # The hint: one way at every size, for the trusted documents grow with the corpus. What is shuffled is two bytes for each n-gram.
-    grams = F.transform(F.concat("__q_h1", "__q_h2"), lambda h: _bucket(h).cast("smallint"))
-    rows = _hashes(docs.select("doc_id", "text")).select("doc_id", grams.alias("__q_b")).join(ids.hint("merge"), F.col("doc_id") == F.col("__q_t"), "left")
+    small = lambda h: _bucket(h).cast("smallint")
+    grams = F.concat(F.transform("__q_words", lambda w: small(F.xxhash64(w))), _pairs(F.col("__q_words"), F.lit(1), 1, small))
+    listed = docs.select("doc_id", words(text_or_empty()).alias("__q_words"))
+    rows = listed.select("doc_id", grams.alias("__q_b")).join(ids.hint("merge"), F.col("doc_id") == F.col("__q_t"), "left")
     grams = rows.select(F.col("__q_t").isNotNull().alias("t"), F.explode("__q_b").alias("b"))
     counts = np.zeros((2, BUCKETS))
     for t, b, n in grams.groupBy("t", "b").count().collect():  # 2 * BUCKETS rows at most
