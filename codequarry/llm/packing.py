@@ -4,9 +4,10 @@ Documents longer than the capacity give whole sequences; what is left of each is
 of less than the capacity. Pieces are packed by their lengths alone: of the histogram of
 lengths, which has fewer entries than the capacity, the driver takes the longest length
 left, and a bitset subset-sum over the others finds the multiset that fills the sequence
-closest to its capacity. The same multiset is used as often as the histogram allows, so
-the plan is short at any number of documents. Pieces are numbered within their length,
-and the plan maps a number to a sequence and an offset.
+closest to its capacity. Where that leaves more than MAX_SLACK, every piece left is longer than the gap, and the
+longest is cut to close it; its rest is a piece like any other. The same multiset is used as often as the
+histogram allows, so the plan is short at any number of documents. Pieces are numbered within their
+length, and the plan maps a number to a sequence and an offset.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from codequarry.llm.token_files import TOKENIZER
 from codequarry.llm.tokens import tokenize
 
 CAPACITY = 4096
-#: A multiset that leaves more than this unfilled is not used; its pieces are cut instead.
+#: Tokens of a sequence that may stay unfilled; a larger gap is closed by a cut.
 MAX_SLACK = 4
 
 
@@ -53,35 +54,50 @@ def best_fill(counts: dict[int, int], lengths: list[int], room: int) -> dict[int
     return used
 
 
-def slack_patterns(histogram: dict[int, int], capacity: int = CAPACITY, max_slack: int = MAX_SLACK) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """(multiset, how often it is used) for each pattern, and the pieces left over by length."""
+@dataclass
+class Pattern:
+    """How some sequences are filled alike: pieces by length, a length of which one more piece is cut to ``gap`` tokens (0: none), and how many sequences."""
+
+    pieces: dict[int, int]
+    cut: int
+    gap: int
+    times: int
+
+
+def slack_patterns(histogram: dict[int, int], capacity: int = CAPACITY, max_slack: int = MAX_SLACK) -> tuple[list[Pattern], dict[int, int]]:
+    """Patterns while a whole sequence is left, and the pieces that are left then, by length. All lengths are below ``capacity``."""
     counts = {x: n for x, n in histogram.items() if n > 0}
-    lengths = sorted(counts, reverse=True)
-    patterns, left = [], {}
-    while lengths:
-        seed = lengths[0]
+    total, patterns = sum(x * n for x, n in counts.items()), []
+    while total >= capacity:
+        lengths = sorted((x for x in counts if counts[x]), reverse=True)
+        seed, cut = lengths[0], 0
         counts[seed] -= 1
         used = best_fill(counts, [x for x in lengths if counts[x]], capacity - seed)
         counts[seed] += 1
         used[seed] = used.get(seed, 0) + 1
-        if capacity - sum(x * k for x, k in used.items()) <= max_slack:
-            times = min(counts[x] // k for x, k in used.items())
-            patterns.append((used, times))
-            for x, k in used.items():
-                counts[x] -= k * times
+        gap = capacity - sum(x * k for x, k in used.items())
+        if gap > max_slack:
+            cut = next(x for x in lengths if counts[x] > used.get(x, 0))
         else:
-            left[seed], counts[seed] = counts[seed], 0
-        lengths = [x for x in lengths if counts[x]]
-    return patterns, left
+            gap = 0
+        need = used | ({cut: used.get(cut, 0) + 1} if cut else {})
+        times = min(counts[x] // k for x, k in need.items())
+        for x, k in need.items():
+            counts[x] -= k * times
+        if cut:
+            counts[cut - gap] = counts.get(cut - gap, 0) + times
+        total -= times * (sum(x * k for x, k in used.items()) + gap)
+        patterns.append(Pattern(used, cut, gap, times))
+    return patterns, {x: n for x, n in counts.items() if n}
 
 
 @dataclass
 class Plan:
-    """Where the k-th piece of a length goes. by_length: pieces used before each pattern, how many
-    a sequence of it takes, the pattern's first sequence, the offset of the first of them."""
+    """Where the k-th piece of a length goes. by_length, a column for each pattern that takes some: pieces used before it, how many a sequence
+    takes, its first sequence, the offset there, tokens taken of each, and the number of the first rest (within its own length)."""
 
     capacity: int
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, ...]]
     used: dict[int, int]
     tail_start: dict[int, int]
     tail_sequence: int
@@ -89,44 +105,52 @@ class Plan:
 
     def places(self, length: int, k: int) -> list[tuple[int, int, int]]:
         """(sequence, offset, tokens) of the parts of the k-th piece of ``length``."""
-        if k < self.used.get(length, 0):
-            before, each, first, at = self.by_length[length]
+        out = []
+        while length and k < self.used.get(length, 0):
+            before, each, first, at, take, rest = self.by_length[length]
             j = int(np.searchsorted(before, k, "right")) - 1
             turn, slot = divmod(k - int(before[j]), int(each[j]))
-            return [(int(first[j]) + turn, int(at[j]) + slot * length, length)]
-        begin, out = self.tail_start[length] + (k - self.used.get(length, 0)) * length, []
+            part = int(take[j])
+            out.append((int(first[j]) + turn, int(at[j]) + slot * length, part))
+            length, k = length - part, int(rest[j]) + turn
+        if not length:
+            return out
+        begin = self.tail_start[length] + (k - self.used.get(length, 0)) * length
         end = begin + length
-        while begin < end:  # sequences of the tail: whole ones, then powers of two
-            whole = int(self.tail_cuts[0]) // self.capacity
-            if begin < int(self.tail_cuts[0]):
-                s, offset = divmod(begin, self.capacity)
-                stop = (s + 1) * self.capacity
-            else:
-                j = int(np.searchsorted(self.tail_cuts, begin, "right")) - 1
-                s, offset, stop = whole + j, begin - int(self.tail_cuts[j]), int(self.tail_cuts[j + 1])
-            out.append((self.tail_sequence + s, offset, min(end, stop) - begin))
-            begin = min(end, stop)
+        while begin < end:  # less than a sequence is left over: powers of two
+            j = int(np.searchsorted(self.tail_cuts, begin, "right")) - 1
+            stop = min(end, int(self.tail_cuts[j + 1]))
+            out.append((self.tail_sequence + j, begin - int(self.tail_cuts[j]), stop - begin))
+            begin = stop
         return out
 
 
 def make_plan(histogram: dict[int, int], first_sequence: int, capacity: int = CAPACITY, max_slack: int = MAX_SLACK) -> Plan:
-    """Pieces left over are laid end to end and cut at the capacity. What then remains is
-    cut into powers of two, which take no padding."""
+    """Pieces left over, less than a sequence of them, are laid end to end and cut into powers of two, which take no padding."""
     patterns, left = slack_patterns(histogram, capacity, max_slack)
-    rows, used, sequence = {}, {}, first_sequence
-    for multiset, times in patterns:
+    rows, used, made, sequence = {}, {}, dict(histogram), first_sequence
+
+    def take(x: int, each: int, at: int, tokens: int, times: int) -> None:
+        rest = made.get(x - tokens, 0)  # rests are numbered after the pieces that are there already
+        rows.setdefault(x, []).append((used.get(x, 0), each, sequence, at, tokens, rest))
+        used[x] = used.get(x, 0) + each * times
+        if tokens < x:
+            made[x - tokens] = rest + times
+
+    for p in patterns:
         at = 0
-        for x, k in sorted(multiset.items(), reverse=True):
-            rows.setdefault(x, []).append((used.get(x, 0), k, sequence, at))
-            used[x] = used.get(x, 0) + k * times
+        for x, k in sorted(p.pieces.items(), reverse=True):
+            take(x, k, at, x, p.times)
             at += k * x
-        sequence += times
+        if p.cut:
+            take(p.cut, 1, at, p.gap, p.times)
+        sequence += p.times
     starts, total = {}, 0
     for x, n in sorted(left.items(), reverse=True):
         starts[x], total = total, total + x * n
-    cuts, rest = [total // capacity * capacity], total % capacity
-    for bit in reversed(range(rest.bit_length())):
-        if rest >> bit & 1:
+    cuts = [0]
+    for bit in reversed(range(total.bit_length())):
+        if total >> bit & 1:
             cuts.append(cuts[-1] + (1 << bit))
     return Plan(capacity, {x: tuple(np.array(c) for c in zip(*r, strict=True)) for x, r in rows.items()}, used, starts, sequence, np.array(cuts))
 

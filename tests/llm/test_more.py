@@ -43,7 +43,7 @@ def test_quality_rules_on_all_columns(spark, docs):
     words_of = {t: WORD.findall(t or "") for t in {r[1] for r in ROWS}}
     pairs = sorted({(a, b) for w in words_of.values() for a, b in zip(w, w[1:], strict=False)} | {(w, w) for own in words_of.values() for w in own})
     bucket = lambda h: F.pmod(h, F.lit(quality_rules.BUCKETS))
-    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", bucket(F.xxhash64("a")).alias("one"), bucket(F.xxhash64(F.xxhash64("a"), F.xxhash64("b"))).alias("two")).collect()
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", bucket(F.xxhash64("a")).alias("one"), bucket(F.xxhash64("a", "b")).alias("two")).collect()
     one, two = {r.a: r.one for r in found}, {(r.a, r.b): r.two for r in found}
     grams = {t: [one[x] for x in w] + [two[p] for p in zip(w, w[1:], strict=False)] for t, w in words_of.items()}
     corpus, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
@@ -222,3 +222,30 @@ def test_hashed_words_are_those_of_the_pattern():
     want = [[xxhash.xxh64_intdigest(w) for w in WORD.findall((t or "").translate(LOWER))] for t in texts]
     assert np.diff(ends, prepend=0).tolist() == list(map(len, want))
     assert h.tolist() == [x for w in want for x in w]
+
+
+def test_every_piece_is_packed_by_the_plan():
+    """Also where one length is a third or all of the pieces: whole sequences but for less than one, pieces cut only to close gaps."""
+    rng = np.random.default_rng(4)
+    shapes = [{3000: 900}, {1500: 700}, {3000: 300, 2500: 10}, {4095: 50}, {1: 5}, {}, {2048: 7}, {3000: 400} | {int(x): 2 for x in rng.integers(1, 900, 400)}]
+    shapes += [dict(Counter(rng.integers(1, 4096, n).tolist())) for n in (3, 50, 2000)] + [{3000: 1000} | dict(Counter(rng.integers(1, 4096, 2000).tolist()))]
+    for histogram in shapes:
+        plan = packing.make_plan(histogram, 10)
+        filled, cuts, pieces = {}, 0, sum(histogram.values())
+        for x, n in histogram.items():
+            for k in range(n):
+                parts = plan.places(x, k)
+                assert sum(t for _, _, t in parts) == x
+                cuts += len(parts) - 1
+                for s, at, t in parts:
+                    filled.setdefault(s, []).append((at, t))
+        sizes = []
+        for s in sorted(filled):
+            parts = sorted(filled[s])
+            assert [at for at, _ in parts] == np.cumsum([0, *[t for _, t in parts]])[:-1].tolist()
+            sizes.append(sum(t for _, t in parts))
+        assert sorted(filled) == list(range(10, 10 + len(filled)))
+        whole = [x for x in sizes if packing.CAPACITY - x <= packing.MAX_SLACK]
+        small = sizes[len(whole) :]
+        assert sizes[: len(whole)] == whole and sum(small) < packing.CAPACITY and all(x & (x - 1) == 0 for x in small)
+        assert cuts <= len(sizes) + 12
