@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from codequarry.plans.registry import QUERIES
 
-HEADLINE = ("q01_tool_summary", "q02_rule_severity_pivot", "q03_two_level_rollup", "q05_floor_quantiles", "q06_cumulative_survival", "q10_topk_per_family", "q13_hydrate_composite_key", "q20_asof_checkpoint", "q23_exact_multiplicity_match", "q24_nearest_greedy_match", "q31_rollup_footer", "q35_blame_ratio")
+HEADLINE = ("q01_tool_summary", "q02_rule_severity_pivot", "q03_two_level_rollup", "q05_floor_quantiles", "q06_cumulative_survival", "q10_topk_per_family", "q13_hydrate_composite_key", "q20_asof_checkpoint", "q23_exact_multiplicity_match", "q24_nearest_greedy_match", "q31_rollup_footer", "q35_blame_ratio", "r11_repositories", "r16_tool_stats", "r33_survival_over_time", "h01_checkpoints")
 
 
 def main() -> None:

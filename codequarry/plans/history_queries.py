@@ -60,13 +60,14 @@ def h04_patch_summary(t):
     return out.select("sha", "files_changed_total", "files_changed_code", "files_changed_tests", "additions_total", "deletions_code", "noise_file_ratio")
 
 
-@query(f"""WITH b AS (SELECT l_suppkey % 90 AS f, l_partkey % 5 AS owner, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT 0 AS own, 7 AS days UNION ALL SELECT 3, 30)
-  SELECT CAST(own AS VARCHAR) AS sha, CAST(days AS INTEGER) AS days, CAST(sum(n) AS BIGINT) AS total_lines, CAST(sum(n) FILTER (owner = own) AS BIGINT) AS own_lines, {part("sum(n) FILTER (owner = own)", "sum(n)", "survival")} FROM c, b WHERE f < 40 GROUP BY 1, 2""")
+@query(f"""WITH b AS (SELECT l_suppkey AS f, l_partkey % 5 AS owner, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT own, days FROM (SELECT DISTINCT l_partkey % 5 AS own FROM lineitem), (SELECT unnest([7, 30]) AS days)), p AS (SELECT DISTINCT l_partkey % 5 AS own, l_suppkey AS f FROM lineitem WHERE l_linenumber % 2 = 0)
+  SELECT CAST(own AS VARCHAR) AS sha, CAST(days AS INTEGER) AS days, CAST(sum(n) AS BIGINT) AS total_lines, CAST(coalesce(sum(n) FILTER (owner = own), 0) AS BIGINT) AS own_lines, {part("coalesce(sum(n) FILTER (owner = own), 0)", "sum(n)", "survival")} FROM c JOIN p USING (own) JOIN b USING (f) GROUP BY 1, 2""")
 def h05_blame_survival(t):
-    blame = t("lineitem").groupBy(F.lit("r").alias("repo"), F.lit("k").alias("checkpoint_sha"), (F.col("l_suppkey") % 90).cast("string").alias("path"), (F.col("l_partkey") % 5).cast("string").alias("sha")).agg(F.count("*").alias("n_lines"))
-    spark = blame.sparkSession
-    points = spark.createDataFrame([("r", "0", 7, "k"), ("r", "3", 30, "k")], "repo string, sha string, days int, checkpoint_sha string")
-    files = spark.createDataFrame([("r", s, str(f)) for s in ("0", "3") for f in range(40)], "repo string, sha string, path string")
+    """Suppliers are files, what is left of a part's number by five the commit of a line; a commit's files are those where it has an even line item."""
+    l = t("lineitem").select(F.lit("r").alias("repo"), F.lit("k").alias("checkpoint_sha"), F.col("l_suppkey").cast("string").alias("path"), (F.col("l_partkey") % 5).cast("string").alias("sha"), "l_linenumber")
+    blame = l.groupBy("repo", "checkpoint_sha", "path", "sha").agg(F.count("*").alias("n_lines"))
+    points = l.select("repo", "sha", "checkpoint_sha").distinct().withColumn("days", F.explode(F.array(F.lit(7), F.lit(30))))
+    files = l.where("l_linenumber % 2 = 0").select("repo", "sha", "path").distinct()
     return history.blame_survival(points, blame, files).select("sha", "days", "total_lines", "own_lines", "survival")
 
 

@@ -128,9 +128,10 @@ def q12_first_wins_lookup(t):
   (SELECT l_orderkey, l_linenumber, l_suppkey, min(l_partkey) AS p FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3) b
   ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_suppkey = b.l_suppkey""")
 def q13_hydrate_composite_key(t):
-    keys = ["l_orderkey", "l_linenumber", "l_suppkey"]
-    b = t("lineitem").where("l_returnflag <> 'N'").groupBy(*keys).agg(F.min("l_partkey").alias("p"))
-    return t("lineitem").select(*keys).join(b, keys, "left").select("l_orderkey", "l_linenumber", F.coalesce("p", F.lit(-1)).alias("hydrated"))
+    # One scan and one shuffle: each row looks at those of its own key.
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_suppkey")
+    known = F.min(F.when(F.col("l_returnflag") != "N", F.col("l_partkey"))).over(same)
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.coalesce(known, F.lit(-1)).alias("hydrated"))
 
 
 @query(f"WITH {report_queries.E} SELECT family, lang, count(*) AS actionable FROM e WHERE is_added AND is_actionable GROUP BY 1, 2")

@@ -515,3 +515,116 @@ def r47_repo_page(f):
 @query(f"WITH {M}, g AS (SELECT month, {big('sum(issues)', 'issues')} FROM m GROUP BY 1) SELECT month, issues, {big('sum(issues) OVER (ORDER BY month)', 'cumulative')} FROM g")
 def r48_cumulative_issues(f):
     return display.cumulative_issues(debt.monthly(f.measures).select("month", "issues"))
+
+
+@query(f"""WITH {VISIBLE}, k AS (SELECT c.commit_hash, c.tool, c.role, count(v.p) FILTER (v.is_added) AS introduced FROM c LEFT JOIN v USING (commit_hash) GROUP BY 1, 2, 3)
+  SELECT tool, count(*) AS commits, {big('sum(introduced)', 'introduced')}, {big("coalesce(sum(introduced) FILTER (role = 'sole_author'), 0)", 'sole')}, {big("coalesce(sum(introduced) FILTER (role <> 'sole_author'), 0)", 'other')} FROM k GROUP BY 1""")
+def r49_tool_role_counts(f):
+    return display.tool_role_counts(display.commit_counts(display.visible(f.rows.drop("tool")), f.commits))
+
+
+def destiny_rows(f) -> DataFrame:
+    """Orders as commits whose lines and units were looked up later on."""
+    k = F.col("o_orderkey")
+    return f.t("orders").select(
+        _map("o_orderstatus", {"F": "HIGH", "O": "MEDIUM"}).alias("developer_valuation"), (k % 4).alias("total_lines_added"), ((k % 5) / 4.0).alias("survival_rate"), (k % 3).alias("semantic_units_original"), ((k % 3) / 2.0).alias("semantic_survival_rate"), _map("o_orderpriority", TOOLS).alias("tool"),
+    )
+
+
+@query("SELECT v AS valuation, count(o_orderkey) AS n FROM (SELECT unnest(['HIGH', 'MEDIUM', 'LOW']) AS v) LEFT JOIN orders ON v = CASE o_orderstatus WHEN 'F' THEN 'HIGH' WHEN 'O' THEN 'MEDIUM' ELSE 'LOW' END GROUP BY 1")
+def r50_valuation_histogram(f):
+    return display.valuation_histogram(destiny_rows(f))
+
+
+@query("""SELECT avg((o_orderkey % 5) / 4.0::DOUBLE) FILTER (o_orderkey % 4 > 0) AS line_survival, count(*) FILTER (o_orderkey % 4 > 0) AS commits_with_lines, avg((o_orderkey % 3) / 2.0::DOUBLE) FILTER (o_orderkey % 3 > 0) AS unit_survival, count(*) FILTER (o_orderkey % 3 > 0) AS commits_with_units FROM orders""")
+def r51_mean_survival(f):
+    return display.mean_survival(destiny_rows(f))
+
+
+def _by_rule(f) -> DataFrame:
+    return debt.added(f.events).groupBy("rule_name").agg(F.count("*").alias("count"), *[F.count_if(F.col("sev") == s).alias(s) for s in ("high", "medium", "low")], F.min("family").alias("family"))
+
+
+@query(f"WITH {E} SELECT array_to_string(list_sort(list(DISTINCT rule_name)), ',') AS raw FROM e WHERE is_added AND r IN (0, 8) HAVING count(DISTINCT rule_name) > 1")
+def r52_merged_notes(f):
+    return display.merged_notes(_by_rule(f)).select(F.array_join("raw", ",").alias("raw"))
+
+
+@query(f"WITH {E} SELECT count(DISTINCT r) AS raw_rules, count(DISTINCT CASE r WHEN 8 THEN 0 ELSE r END) AS concepts, count(DISTINCT CASE WHEN is_security THEN r END) AS security_rules FROM e WHERE is_added AND family = CASE WHEN is_security THEN 'security' ELSE family END")
+def r53_rule_counts(f):
+    rows = debt.added(f.events).select("rule_name", F.when(F.col("is_security"), "security").otherwise("other").alias("family"))
+    return display.rule_counts(rows)
+
+
+@query(f"WITH {E}, g AS (SELECT CASE r WHEN 0 THEN 'undefined-reference' WHEN 8 THEN 'undefined-reference' ELSE rule_name END AS key, sev FROM e WHERE is_added) SELECT key, count(*) AS count, {SEV} FROM g GROUP BY 1 ORDER BY medium DESC, key LIMIT 5")
+def r54_rules_by_medium(f):
+    return display.rankings(_by_rule(f), 5)["medium"].select("key", "count", "high", "medium", "low")
+
+
+@query(f"WITH {E}, g AS (SELECT rule_name, count(*) FILTER (sev = 'high') AS count FROM e WHERE is_added GROUP BY 1) SELECT rule_name, count FROM g WHERE count > 0")
+def r55_rules_of_high_severity(f):
+    return display.of_severity(_by_rule(f), "high").select("rule_name", "count")
+
+
+@query(f"WITH {M}, {REPOS} SELECT repo, issues_coauthor FROM repos WHERE issues_coauthor > 0 ORDER BY issues_coauthor DESC, repo LIMIT 12")
+def r56_notable_repos_of_a_role(f):
+    return display.notable(debt.repo_rows(f.commits, f.measures), "issues_coauthor").select("repo", "issues_coauthor")
+
+
+@query("""WITH x AS (SELECT 'org/r' || (o_custkey % 40) AS repo, l_linenumber % 3 = 0 AS high, l_linenumber % 3 = 1 OR (l_linenumber % 3 = 2 AND l_returnflag = 'N') AS medium FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  SELECT repo, count(*) FILTER (high) AS high, count(*) FILTER (medium) AS medium, count(*) FILTER (NOT high AND NOT medium) AS low FROM x GROUP BY 1""")
+def r57_severity_mini(f):
+    return display.severity_mini(f.rows, "repo")
+
+
+# Of the survival entries, what the display shows: no low severity, nothing that is blocked or of low signal there.
+SHOWN = f"""{C}, y AS (SELECT c.*, l_suppkey % 8 AS p, l_partkey % 9 AS r, CASE l_linenumber % 3 WHEN 0 THEN 'ERROR' ELSE 'WARNING' END AS sev, l_linenumber % 2 = 0 AS survived FROM lineitem JOIN c ON l_orderkey = o_orderkey
+  WHERE l_linestatus = 'F' AND o_orderkey % 2 = 0 AND NOT is_tainted AND l_linenumber % 3 <> 2 AND NOT (l_partkey % 9 IN (2, 5)) AND NOT (l_partkey % 9 = 7 AND l_suppkey % 8 = 6) AND NOT (l_partkey % 9 = 8 AND l_suppkey % 8 IN (1, 2, 3))),
+  w AS (SELECT *, {_case('r', RULES)} AS rule_name FROM y)"""
+
+
+def hydrated(f) -> DataFrame:
+    return survival.hydrated(entries(f), f.rows.where("phase = 'added'").withColumn("line", _line()))
+
+
+@query(f"WITH {SHOWN} SELECT rule_name, {SURV} FROM w GROUP BY 1 ORDER BY total DESC, rule_name LIMIT 10")
+def r58_shown_survival_by_rule(f):
+    return display.survival_summary(hydrated(f))["by_rule"]
+
+
+@query(f"WITH {SHOWN} SELECT sev, {SURV} FROM w GROUP BY 1")
+def r59_shown_survival_by_severity(f):
+    return display.survival_summary(hydrated(f))["by_severity"]
+
+
+@query(f"""WITH {M}, l AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 16, '0') AS commit_hash, o_orderkey % 3 AS s FROM orders)
+  SELECT m.commit_hash AS commit_sha, repo, tool AS ai_tool, n_files AS files_analyzed, issues AS issues_introduced, fixed AS issues_fixed, issues - fixed AS net_change, CASE WHEN l.s = 0 THEN 1 ELSE 0 END AS files_survived, CASE WHEN l.s = 1 THEN 1 ELSE 0 END AS files_modified FROM m JOIN l USING (commit_hash)""")
+def r60_export_rows(f):
+    """What the CSV holds; the hash's first twelve characters say too little here, so its last ones come first."""
+    turn = lambda c: F.reverse(F.col(c))
+    counts_ = f.measures.withColumn("commit_hash", turn("commit_hash")).withColumn("introduced", F.col("issues"))
+    life = f.commits.select("repo", F.substring(turn("commit_hash"), 1, 12).alias("sha12"), _pick(F.col("commit_hash").cast("long") % 3, ["SURVIVED", "MODIFIED", "DELETED"]).alias("status"))
+    none = f.commits.select("repo", turn("commit_hash").alias("commit_sha"), F.lit(None).cast("double").alias("survival_rate")).where("1 = 0")
+    out = display.export_rows(counts_, life, none)
+    return out.withColumn("commit_sha", F.lpad(F.reverse("commit_sha"), 16, "0")).drop("survival_rate").withColumns({c: F.col(c).cast("int") for c in ("files_survived", "files_modified")})
+
+
+@query(f"""WITH p AS (SELECT l_suppkey % 8 AS i, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT {_case('i', PATHS)} AS path, n, i IN (0, 1, 2, 4, 5, 7) AS in_lifecycle, i IN (0, 1, 2, 4, 5, 7) AS in_destiny, i = 6 AS is_test, i = 4 AS is_dev FROM p""")
+def r61_path_filters(f):
+    """Which files are followed, which are tests and which tools of developers."""
+    from codequarry.functions import paths, rules
+
+    p = F.col("path")
+    rows = f.t("lineitem").groupBy(_pick(F.col("l_suppkey") % 8, PATHS).alias("path")).agg(F.count("*").alias("n"))
+    return rows.select("path", "n", paths.in_lifecycle(p).alias("in_lifecycle"), paths.in_destiny(p).alias("in_destiny"), rules.is_test_file(p).alias("is_test"), rules.is_dev_tool(F.concat(F.lit("pkg/"), p)).alias("is_dev"))
+
+
+@query("SELECT o_orderkey AS k, o_custkey % 400 > 200 AND o_custkey % 400 > 0 AND o_orderpriority = '1-URGENT' AS is_tainted FROM orders")
+def r62_tainted_commits(f):
+    """A commit of over 200 files, all of them new."""
+    from codequarry.functions import issues
+
+    n = F.col("o_custkey") % 400
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("A"), F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("M")))
+    return f.t("orders").select(F.col("o_orderkey").alias("k"), issues.is_tainted(n, status).alias("is_tainted"))
