@@ -18,6 +18,10 @@ name, and that of its context, which is all bytes that its windows cover.
 So the corpus order of suffixes is only made where it decides something, and in groups that share
 almost 200 bytes, never for the whole corpus. Steps 1 and 2 compare names of 128 bits; the
 bytes that step 2 sorts are compared as they are.
+
+A phrase can stand in very many contexts: a licence's first line, between different texts each time. Its bucket is
+dealt out by context; what concerns the phrase as a whole is counted by Spark, and if its rows are too many
+for one order, its windows are named one by one and counted.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ WINDOW, GRAM, SPAN, CHUNK = 200, 8, 128, 16
 PHRASE = WINDOW - SPAN + 1
 #: Triggers looked at together; rows held before they are dealt; rows of a task, about; bytes of texts taken at once.
 TOGETHER, HELD, TASK_ROWS, AT_ONCE = 1 << 13, 1 << 19, 1 << 18, 1 << 22
+#: Rows of a bucket that go to one task; a bucket of more is dealt out by context, and a phrase with more contexts window by window.
+MOST_ROWS = 1 << 20
 _WORDS = (SPAN - 1 + WINDOW + 7) // 8
 _rng = np.random.default_rng(4)
 #: Random odd multipliers and values of two hashes over words of eight bytes.
@@ -149,9 +155,10 @@ def _parse(buckets: int):
         doc, h, spans = _runs(rows[twice])
         rows["known"] = twice
         bucket, packed = _by_bucket(rows[np.concatenate([[True], np.diff(group) != 0])], buckets)
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        cols = [bucket + [None] * len(doc), packed + [None] * len(doc), [None] * len(bucket) + doc, [None] * len(bucket) + h, [None] * len(bucket) + spans]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "rows", "doc", "h", "spans"])
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        sizes = [len(x) // _ROW.itemsize for x in packed]
+        cols = [bucket + [None] * len(doc), packed + [None] * len(doc), sizes + [None] * len(doc), [None] * len(bucket) + doc, [None] * len(bucket) + h, [None] * len(bucket) + spans]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "rows", "n", "doc", "h", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, n = set(), [], 0
@@ -173,11 +180,28 @@ def _parse(buckets: int):
     return run
 
 
-_MET = "doc long, h long, spans binary, t long, most int, least int, need boolean, key long"
+def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets with k > 1 in k parts, by context."""
+    for b in batches:
+        out = []
+        for bucket, packed, k in zip(*[b.column(c).to_pylist() for c in ("bucket", "rows", "k")], strict=True):
+            if k == 1:
+                out.append((bucket, 0, 1, packed))
+                continue
+            rows = np.frombuffer(packed, _ROW)
+            part = (mix64(rows["ctx"] ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(k)).astype(np.int64)
+            out.extend((bucket, i, k, rows[part == i].tobytes()) for i in np.unique(part).tolist())
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "part", "k", "rows"])
+
+
+_MET = "doc long, h long, spans binary, t long, most int, least int, need boolean, key long, maybe boolean"
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """Of the rows of a bucket: spans of repeated contexts, and open rows, one for each context."""
+    """Of the rows of a bucket: spans of repeated contexts, and open rows, one for each context. Of a part of a bucket, which has only
+    some contexts of a phrase, all rows may be open (maybe)."""
+    in_part = t.column("k")[0].as_py() > 1
     rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), _ROW)
     rows = rows[np.lexsort((rows["ctx"], rows["key"]))]
     context, phrase = _groups(rows, ("key", "ctx")), _groups(rows, ("key",))
@@ -189,13 +213,14 @@ def _meet(t: pa.Table) -> pa.Table:
     anyone_known = np.maximum.reduceat(rows["known"], np.flatnonzero(one_each))[context] > 0
     need = ~again & ~anyone_known
     some_need = np.bincount(phrase, need)[phrase] > 0
-    pick = one_each & (contexts > 1) & some_need
+    pick = one_each if in_part else one_each & (contexts > 1) & some_need
     o = rows[pick]
     still = pa.table({
         "doc": o["doc"].copy(), "h": o["h"].copy(), "t": o["t"].astype(np.int64), "most": o["most"].astype(np.int32), "least": o["least"].astype(np.int32),
         "need": pa.array(need[pick]), "key": o["key"].view(np.int64) if o["key"].flags.c_contiguous else o["key"].copy().view(np.int64),
+        "maybe": pa.array(np.full(len(o), in_part)),
     })
-    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("spans", pa.binary()), ("t", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("need", pa.bool_()), ("key", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("spans", pa.binary()), ("t", pa.int64()), ("most", pa.int32()), ("least", pa.int32()), ("need", pa.bool_()), ("key", pa.int64()), ("maybe", pa.bool_())])
     return pa.concat_tables([ready, still], promote_options="default").select(schema.names).cast(schema)
 
 
@@ -276,6 +301,27 @@ def _settle(t: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of open rows (asked, with their text): a name of 128 bits for each window."""
+    for doc, h, text, asked in _texts(batches, ["doc", "h", "bytes", "asked"]):
+        every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), WINDOW)
+        for begin in range(0, len(asked), 64):
+            part = asked[begin : begin + 64]
+            starts = np.concatenate([np.arange(x["t"] - x["most"], x["t"] - x["least"] + 1) for x in part])
+            need = np.concatenate([np.full(x["most"] - x["least"] + 1, x["need"]) for x in part])
+            windows = every[starts]
+            names = [pa.array(_hash(windows, k).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(starts), doc)), pa.array(np.full(len(starts), h)), pa.array(starts), pa.array(need)], names=["w1", "w2", "doc", "h", "start", "need"])
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single starts as spans."""
+    for b in batches:
+        doc, h, start = (b.column(c).to_numpy() for c in ("doc", "h", "start"))
+        found = _spans(doc, h, start, start)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "h", "spans"])
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("bytes"))
@@ -294,16 +340,33 @@ def copied_texts(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, h, spans, whole: the runs of starts (first, last: 32-bit pairs) whose windows are all repeats; whole: all of the text."""
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
-    dealt = save(_rows(docs).mapInArrow(_parse(max(1, math.ceil(2 * size / SPAN / TASK_ROWS))), "bucket long, rows binary, doc long, h long, spans binary"), "triggers")
-    met = save(dealt.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, _MET), "phrases")
+    dealt = save(_rows(docs).mapInArrow(_parse(max(1, math.ceil(2 * size / SPAN / TASK_ROWS))), "bucket long, rows binary, n long, doc long, h long, spans binary"), "triggers")
+    buckets = dealt.where("bucket is not null")
+    large = save(buckets.groupBy("bucket").agg(F.sum("n").alias("m")).where(F.col("m") > MOST_ROWS).select("bucket", F.ceil(F.col("m") / TASK_ROWS).cast("long").alias("k")), "large-buckets")
+    any_large = not large.isEmpty()
+    if any_large:
+        parts = buckets.join(large, "bucket", "left").select("bucket", "rows", F.coalesce("k", F.lit(1)).alias("k")).mapInArrow(_by_context, "bucket long, part long, k long, rows binary")
+    else:
+        parts = buckets.select("bucket", F.lit(0).alias("part"), F.lit(1).alias("k"), "rows")
+    met = save(parts.groupBy("bucket", "part").applyInArrow(_meet, _MET), "phrases")
     known = save(dealt.where("bucket is null").select("doc", "h", "spans"), "repeats")
     discard(dealt)
-    still = met.where("spans is null")
-    n = still.count()
-    asked = save(still.groupBy("doc", "h").agg(F.collect_list(F.struct("t", "most", "least", "need", "key")).alias("asked")), "open")  # of one text's own triggers
-    texts = _rows(docs).join(asked.hint("merge"), ["doc", "h"]).dropDuplicates(["doc", "h"])
-    parts = texts.mapInArrow(_chunks(max(1, math.ceil(n * (SPAN / CHUNK) / TASK_ROWS))), "bucket long, parts binary")
+    still = met.where("spans is null and not maybe").withColumn("many", F.lit(False))
+    if any_large:
+        maybe = met.where("spans is null and maybe")
+        phrases = maybe.groupBy("key").agg(F.count("*").alias("contexts"), F.bool_or("need").alias("any_need")).where("contexts > 1 and any_need")
+        still = still.unionByName(maybe.join(phrases.select("key", (F.col("contexts") > MOST_ROWS).alias("many")).hint("merge"), "key"))
+        still = save(still, "open-rows")
+    n = still.where("not many").count()
+    by_text = lambda rows: rows.groupBy("doc", "h").agg(F.collect_list(F.struct("t", "most", "least", "need", "key")).alias("asked"))  # noqa: E731  of one text's own triggers
+    with_text = lambda asked: _rows(docs).join(asked.hint("merge"), ["doc", "h"]).dropDuplicates(["doc", "h"])
+    asked = save(by_text(still.where("not many")), "open")
+    parts = with_text(asked).mapInArrow(_chunks(max(1, math.ceil(n * (SPAN / CHUNK) / TASK_ROWS))), "bucket long, parts binary")
     settled = parts.groupBy("bucket").applyInArrow(_settle, _SPANS)
+    if any_large:
+        windows = save(with_text(by_text(still.where("many"))).mapInArrow(_windows, "w1 long, w2 long, doc long, h long, start long, need boolean"), "windows")
+        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+        settled = settled.unionByName(windows.where("need").join(twice.hint("merge"), ["w1", "w2"], "left_semi").mapInArrow(_starts, _SPANS))
     spans = met.where("spans is not null").select("doc", "h", "spans").unionByName(known).unionByName(settled)
     spans = spans.unionByName(copied_texts(docs).distinct(), allowMissingColumns=True)
     out = save(spans.groupBy("doc", "h").agg(F.collect_list("spans").alias("spans"), F.bool_or(F.isnull("spans")).alias("whole")), "spans")  # of one text

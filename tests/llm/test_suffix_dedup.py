@@ -33,8 +33,8 @@ def words(rng, n):
     return " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_equals_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "many"), [(False, 0), (True, 1 << 20), (True, 60), (True, 1)])
+def test_equals_brute_force(spark, monkeypatch, small, many):
     """Passages across and within documents, cut at every length around 200, copies, near copies, runs of one character."""
     rng, rows = np.random.default_rng(5), []
     passage = words(rng, 120)
@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, monkeypatch, small):
         rows.append((400 + k, base[:at] + "ZZ" + base[at + 1 :]))
     rows.append((500, words(rng, 3000) + twice + words(rng, 3000)))
     if small:
-        for name, value in (("TOGETHER", 7), ("HELD", 60), ("TASK_ROWS", 50), ("AT_ONCE", 300)):
+        for name, value in (("TOGETHER", 7), ("HELD", 60), ("TASK_ROWS", 50), ("AT_ONCE", 300), ("MOST_ROWS", many)):
             monkeypatch.setattr(suffix_dedup, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("spans", "h", "t", "doc", "rows", "removed")})
     assert by_operator(df) == brute_force(rows)
@@ -62,3 +62,31 @@ def test_equals_brute_force(spark, monkeypatch, small):
 def test_a_folder_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert by_operator(docs) == brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_a_passage_in_many_surroundings_is_dealt_out(spark, monkeypatch):
+    """A passage that stands between different texts each time: its phrases' rows go to many tasks, and windows within it are found."""
+    rng = np.random.default_rng(6)
+    passage = words(rng, 60)[:260]
+    other = [words(rng, 30) for _ in range(3000)]
+    rows = [(k, other[k] + (passage if k % 2 else passage[40:190]) + other[-k - 1]) for k in range(3000)]
+    for name, value in (("TASK_ROWS", 500), ("MOST_ROWS", 1000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    sizes, tables, save = [], {}, suffix_dedup.save
+
+    def seen(df, label, *more):
+        tables[label] = save(df, label, *more)
+        return tables[label]
+
+    monkeypatch.setattr(suffix_dedup, "save", seen)
+    monkeypatch.setattr(suffix_dedup, "discard", lambda df: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert by_operator(df) == brute_force(rows)
+    large = {r["bucket"]: r["k"] for r in tables["large-buckets"].collect()}
+    assert large
+    for r in tables["triggers"].where("bucket is not null").select("bucket", "rows").collect():
+        if r["bucket"] in large:
+            one = np.frombuffer(r["rows"], suffix_dedup._ROW)
+            sizes += (suffix_dedup.mix64(one["ctx"] ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(large[r["bucket"]])).tolist()
+    assert max(Counter(sizes).values()) < 0.5 * len(sizes)
+    assert tables["windows"].count() > 1500
