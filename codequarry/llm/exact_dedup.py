@@ -10,6 +10,8 @@ from codequarry.llm.common import UPPER, ascii_lower, root_buckets, save, table,
 
 #: Bytes of a block. A text of n bytes takes log2(n / BLOCK) rounds of pairing.
 BLOCK = 4096
+#: Copies of a row that are written out together.
+COPIES = 1 << 12
 #: Stands for a null doc_id within the operator.
 NO_ID = -(2**63)
 
@@ -86,7 +88,8 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The row
     with the largest doc_id of a group stays (a null doc_id is the smallest); of rows alike
-    in doc_id and text one stays. Other columns are not looked at.
+    in doc_id and text one stays. Other columns are not looked at. An empty table gives no rows; a very long text is blocks
+    like those of any other.
     """
     ids = identities(docs, block)
     # The same doc_id and text may come in many rows: they are counted before any join.
@@ -95,7 +98,11 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     stats = rows.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), F.max("__q_id").alias("keep"), F.min("sha").alias("sha"))
     out = rows.join(stats, ["level", "name", "sha"])
     nullable = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+    # In two steps, so that no row makes a list of all its copies.
+    out = out.withColumn("__q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    upto = F.least(F.col("copies") - F.col("__q_part") * COPIES, F.lit(COPIES))
+    out = out.withColumn("__q_nth", F.explode(F.sequence(F.lit(1).cast("long"), upto.cast("long")))).withColumn("copy", F.col("__q_part") * COPIES + F.col("__q_nth"))
+    return out.select(
         nullable("__q_id").alias("doc_id"),
         nullable("keep").alias("keep_id"),
         "group_size",

@@ -168,6 +168,8 @@ def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, ext
     ``docs`` as for mix(). Documents without words, null texts among them, take nothing. Rows alike in doc_id
     and ``extra`` are documents of their own. At most 64 shards.
     """
+    if shards > 64:  # a shard is a bit of a long
+        raise ValueError("taken_words() tells apart 64 shards at most")
     parts, slots = mix(docs, block, shards, seed, extra)
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), shard)")
     # The hint: Spark takes the slots for few, as it can't tell how many rows count_up() makes, and would broadcast them.

@@ -27,8 +27,8 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = SEED) -
     Row number r goes to place p = feistel(r); its shard is p mod shards and its slot is
     p div shards. So shard sizes differ by one row at most, slots run from 0 without gaps,
     and both can be computed for any row number without reading a row. Null and empty
-    values are values like any other; an empty table gives an empty table. Columns added:
-    row_no, shard, slot; the others stay as they are.
+    values are values like any other; an empty table gives an empty table; very long texts move as they are. Rows alike in all of
+    ``order`` are numbered in one task. Columns added: row_no, shard, slot, in place of columns of these names; the others stay as they are.
     """
     n = df.count()
     numbered = number_rows(df, order)

@@ -8,6 +8,7 @@ met, which spares most of the work.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ END = 2
 WORDS, STEMS, PER_CALL, AT_ONCE = 50_000, 250_000, 500, 1 << 21
 #: Any other character sends a text through the tokenizer as a whole.
 _ODD = re.compile("[^\t-\r\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+#: How a text is split into words, runs of letters, digits and runs of anything else.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PUNCTUATION = ".,!?;:#$%&*()|-+=/\"_[]{}@^~"
 
 
@@ -55,6 +58,12 @@ class WordEncoder:
             raise ValueError("ids are held in two bytes, and this vocabulary has more")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        # What the work by words takes for granted; any other tokenizer gets whole texts.
+        shape = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        splits = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and shape["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and shape["model"].get("end_of_word_suffix") == "</w>"
+        self.by_words = self.by_words and splits.get("pattern") == {"Regex": _SPLIT} and splits.get("behavior") == "Removed" and splits.get("invert") is True
         self.up_to_rest = "^.*[^" + re.escape(_PUNCTUATION) + "]"
         # The same model without the work that lower-cased words of letters alone have behind them.
         self.bare = Tokenizer.from_file(path)
@@ -133,6 +142,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, two bytes each, without the end id."""
+        if not self.by_words:
+            return [self.whole(t) for t in texts]
         odd = [bool(_ODD.search(t)) or "<|" in t for t in texts]
         plain = iter(self._plain([t for t, o in zip(texts, odd, strict=True) if not o]))  # none: an empty array
         return [self.whole(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
