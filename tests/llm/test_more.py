@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codequarry.llm import line_dedup, packing, quality_model, quality_rules, sharding, simhash
+from codequarry.llm import line_dedup, packing, quality_model, quality_rules, sharding, simhash, vptree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -249,3 +249,19 @@ def test_every_piece_is_packed_by_the_plan():
         small = sizes[len(whole) :]
         assert sizes[: len(whole)] == whole and sum(small) < packing.CAPACITY and all(x & (x - 1) == 0 for x in small)
         assert cuts <= len(sizes) + 12
+
+
+def test_labels_follow_links(monkeypatch):
+    """Against one link after another: chains, stars and repeats, with few and many links held."""
+    rng = np.random.default_rng(12)
+    for held in (1, 7, 1 << 20):
+        monkeypatch.setattr(vptree, "HELD", held)
+        for n in (1, 5, 300):
+            labels, want = vptree.Labels(n), list(range(n))
+            for _ in range(n):
+                row, others = int(rng.integers(n)), rng.integers(max(0, n - 40), n, rng.integers(1, 4))
+                labels.link(row, others)
+                for o in [row, *others.tolist()]:
+                    x, y = want[row], want[o]
+                    want = [min(x, y) if v in (x, y) else v for v in want]
+            assert labels.settle().tolist() == want
