@@ -149,7 +149,9 @@ def near_components(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: i
     bits or fewer are linked, component_id is the least doc_id reachable.
 
     Equal fingerprints are put together first, so a group of copies is one node however large.
-    Rows with one doc_id count as one document with several texts; a null doc_id is the least.
+    Rows with one doc_id count as one document with several texts; a null doc_id is the least. Null and empty texts have
+    fingerprint zero, which links like any other; other columns are not read; an empty table gives no rows; a very
+    long text is hashed whole, in one task.
     """
     prints = save(fingerprints(shingles(docs, shingle), bits), "fingerprints")
     nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
