@@ -16,13 +16,24 @@ from pyspark.sql.window import Window
 
 #: Rows from which on one key is too much for a task that sorts it, and into how many parts such keys are cut.
 HOT_ROWS, PARTS = 1_000_000, 64
+#: Bytes of a row, about.
+ROW_BYTES = 64
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the planner takes for the size of all tables under ``df``, as they are stored."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Column | None:
     """Whether a row is of one of the largest keys with over ``hot_rows`` rows; None where there is no such key.
 
-    PARTS keys are looked at, at most: any other has less than 1 / PARTS of all rows.
+    PARTS keys are looked at, at most: any other has less than 1 / PARTS of all rows. Tables of less than ROW_BYTES for
+    each of ``hot_rows`` are not counted: one task can order all of them.
     """
+    if input_bytes(df) < ROW_BYTES * hot_rows:
+        return None
     found = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(PARTS).collect()
     hit = [reduce(and_, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in found]
     return reduce(or_, hit) if hit else None

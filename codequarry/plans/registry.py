@@ -256,9 +256,15 @@ def q25_line_membership(t):
     return line_status(lines, head, ["file"]).groupBy("file", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_LINES} AS l FROM documents), h AS (SELECT doc_id, l, list_filter(generate_series(1, len(l)), lambda i: regexp_matches(l[i], '^\\s*(def\\s+\\w+|function\\s+\\w+|\\w+\\s*=\\s*\\(.*\\)\\s*=>)')) AS heads FROM d),
+  b AS (SELECT doc_id, i, trim(array_to_string(l[i:i + 4], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS block FROM d, LATERAL (SELECT unnest(generate_series(1, len(l) - 4)) AS i) u),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS k FROM b WHERE block <> ''),
+  s AS (SELECT doc_id, block, i AS at, 1::BIGINT AS k, 0::BIGINT AS n FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.block, CASE WHEN n.i - s.at >= 5 THEN n.i ELSE s.at END, n.k, s.n + CASE WHEN n.i - s.at >= 5 THEN 1 ELSE 0 END FROM s JOIN n ON n.doc_id = s.doc_id AND n.block = s.block AND n.k = s.k + 1),
+  x AS (SELECT doc_id, sum(n) AS duplicates FROM (SELECT doc_id, max(n) AS n FROM s GROUP BY doc_id, block) GROUP BY 1)
+  SELECT h.doc_id, len(list_filter(l, lambda x: regexp_matches(x, '(?i)\\bTODO\\b'))) AS todo, len(list_filter(l, lambda x: regexp_matches(x, '(?i)\\bFIXME\\b'))) AS fixme, coalesce(x.duplicates, 0)::BIGINT AS duplicates,
+  len(list_filter(generate_series(1, len(heads)), lambda k: coalesce(heads[k + 1], len(l) + 1) - heads[k] > 50)) AS long_functions FROM h LEFT JOIN x USING (doc_id)""")
 def q26_todo_and_dup_chunks(t):
-    """Held against brute force in the tests."""
+    """Measures of every line of every document."""
     text = F.col("text")
     return t("documents").select("doc_id", code.todo_lines(text).alias("todo"), code.fixme_lines(text).alias("fixme"), code.duplicate_chunks(code.lines_of(text)).alias("duplicates"), code.long_functions(text).alias("long_functions"))
 

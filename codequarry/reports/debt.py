@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from codequarry.functions.rules import FOCUSED_TOOLS
 from codequarry.operators.ordered import floor_quantiles, top_k
+from codequarry.tables import written
 
 SEVERITIES = ("high", "medium", "low")
 FAMILIES = ("bug", "code_smell", "security")
@@ -171,7 +172,11 @@ def tool_ranking(measures: DataFrame) -> DataFrame:
 
 
 def tool_stats(commits: DataFrame, measures: DataFrame) -> DataFrame:
-    """A row for each tool: sums, ratios, medians, its repositories, and the same by role."""
+    """A row for each tool: sums, ratios, medians, its repositories, and the same by role.
+
+    ``measures``, a row for each commit, is gone over many times, so it is written once.
+    """
+    measures = written(measures, "measures")
     base = measures_by(measures, "tool")
     mid = lambda rows, name: floor_quantiles(rows, ["tool"], "issues", {name: (1, 2)}).select("tool", name)
     repos = repo_rows(commits, measures).groupBy("tool").agg(F.count("*").alias("repos"))
