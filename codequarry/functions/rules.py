@@ -176,6 +176,7 @@ SCRIPT_RULES = ["logging-fstring-interpolation", "import-outside-toplevel", "uns
 # Messages and rules of ESLint that tell of its surroundings, not of the code.
 ESLINT_MESSAGES = ["Cannot find module", "Unable to resolve path", "Definition for rule", "Failed to load plugin", "Cannot read config file"]
 ESLINT_PREFIXES = ["import/", "node/", "react/"]
+# The tools that reports look at by themselves.
 FOCUSED_TOOLS = ["claude", "copilot", "cursor", "devin", "gemini"]
 
 

@@ -232,7 +232,8 @@ def h22_detection(t):
     pick = lambda i: F.get(F.array(*[F.lit(p[i]).cast("string") for p in _PEOPLE]), (F.col("o_orderkey") % len(_PEOPLE)).cast("int"))
     rows = t("orders").select(*[pick(i).alias(c) for i, c in enumerate(("author_name", "author_email", "commit_message", "committer", "actor_login"))])
     c = F.col
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("commits"))  # many commits are by the same people: each is looked at once
     d = F.coalesce(detection.detect(c("author_name"), c("author_email"), c("commit_message"), c("actor_login")), detection.detect_with_committer(c("author_name"), c("author_email"), c("commit_message"), c("committer"), F.lit("x@y.z")))
     sql = [F.expr(f()).alias(name) for f, name in ((detection.author_case_sql, "by_author"), (detection.coauthor_case_sql, "by_coauthor"), (detection.actor_case_sql, "by_actor"))]
-    found = rows.select(d.alias("d"), *sql).select(F.col("d.tool_key").alias("tool"), F.col("d.detection_method").alias("method"), F.col("d.author_role").alias("role"), "by_author", "by_coauthor", "by_actor")
-    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
+    found = rows.select("commits", d.alias("d"), *sql).select("commits", F.col("d.tool_key").alias("tool"), F.col("d.detection_method").alias("method"), F.col("d.author_role").alias("role"), "by_author", "by_coauthor", "by_actor")
+    return found.groupBy("tool", "method", "role", "by_author", "by_coauthor", "by_actor").agg(F.sum("commits").alias("n"))
