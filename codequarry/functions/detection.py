@@ -117,6 +117,11 @@ def _pick(tests: list[Column], outcomes: list[tuple[str, str, str, str]]) -> Col
     return F.get(rows, index)
 
 
+def _let(value: Column, f) -> Column:
+    """What ``f`` makes of a value that it names more than once: the expression, here one of a few hundred rules, stands in the plan once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def match_actor(login: Column) -> Column:
     rules = actor_rules()
     return _pick([login == x for _, x in rules], [(tool, "actor", x, "actor") for tool, x in rules])
@@ -154,18 +159,18 @@ def trailers(message: Column) -> Column:
 def match_coauthor(message: Column) -> Column:
     """The first trailer that fits a rule."""
     found = F.filter(F.transform(trailers(message), lambda t: match_author(t["name"], t["email"], partial=True)), lambda m: m.isNotNull())
-    first = F.get(found, 0)
-    kind = F.when(first["ai_identifier_type"].isin("author_email", "author_email_like"), "coauthor_email").otherwise("coauthor_name")
-    made = F.struct(first["tool_key"].alias("tool_key"), F.lit("coauthor").alias("detection_method"), first["ai_identifier"].alias("ai_identifier"), kind.alias("ai_identifier_type"))
-    return F.when(F.size(found) > 0, made).cast(MATCH)
+
+    def told(first: Column) -> Column:
+        kind = F.when(first["ai_identifier_type"].isin("author_email", "author_email_like"), "coauthor_email").otherwise("coauthor_name")
+        made = F.struct(first["tool_key"].alias("tool_key"), F.lit("coauthor").alias("detection_method"), first["ai_identifier"].alias("ai_identifier"), kind.alias("ai_identifier_type"))
+        return F.when(first.isNotNull(), made).cast(MATCH)
+
+    return _let(F.get(found, F.lit(0)), told)
 
 
 def _with_role(match: Column, role: str) -> Column:
-    names = ("tool_key", "detection_method")
-    return F.when(
-        match.isNotNull(),
-        F.struct(*[match[n].alias(n) for n in names], F.lit(role).alias("author_role"), match["ai_identifier"].alias("ai_identifier"), match["ai_identifier_type"].alias("ai_identifier_type")),
-    )
+    fields = lambda m: F.struct(m["tool_key"].alias("tool_key"), m["detection_method"].alias("detection_method"), F.lit(role).alias("author_role"), m["ai_identifier"].alias("ai_identifier"), m["ai_identifier_type"].alias("ai_identifier_type"))
+    return _let(match, lambda m: F.when(m.isNotNull(), fields(m)))
 
 
 def detect(name: Column, email: Column, message: Column | None = None, login: Column | None = None) -> Column:
@@ -181,13 +186,15 @@ def detect(name: Column, email: Column, message: Column | None = None, login: Co
 
 def detect_with_committer(name: Column, email: Column, message: Column, committer: Column, committer_email: Column) -> Column:
     """As detect(); where that finds nothing and the committer is another, by the committer."""
-    other = detect(committer, committer_email)
-    marked = F.struct(
-        other["tool_key"].alias("tool_key"), F.lit("committer").alias("detection_method"), other["author_role"].alias("author_role"),
-        other["ai_identifier"].alias("ai_identifier"), F.concat(F.lit("committer_"), other["ai_identifier_type"]).alias("ai_identifier_type"),
-    )
-    asked = (F.coalesce(committer, F.lit("")) != "") & ~committer.eqNullSafe(name) & other.isNotNull()
-    return F.coalesce(detect(name, email, message), F.when(asked, marked))
+    def marked(other: Column) -> Column:
+        said = F.struct(
+            other["tool_key"].alias("tool_key"), F.lit("committer").alias("detection_method"), other["author_role"].alias("author_role"),
+            other["ai_identifier"].alias("ai_identifier"), F.concat(F.lit("committer_"), other["ai_identifier_type"]).alias("ai_identifier_type"),
+        )
+        return F.when(other.isNotNull(), said)
+
+    asked = (F.coalesce(committer, F.lit("")) != "") & ~committer.eqNullSafe(name)
+    return F.coalesce(detect(name, email, message), F.when(asked, _let(detect(committer, committer_email), marked)))
 
 
 def tool_name(key: Column) -> Column:
