@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.llm.common import save, table
+from codequarry.llm.common import discard, save, table
 from codequarry.llm.word_hashes import release
 
 #: Documents that a kept term has at least in its language, parts of the whole that shares are counted in, leading terms.
@@ -168,6 +168,8 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, block_terms
     sides = sides.join(some, keys, "left_semi").select(*keys, "g", "n_terms", "v", "lang_terms")
     out = terms.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(lambda key, left, right: _tile(key, left, right, run_size), "lang string, g long, h long, term string, value long")
     out = save(out, "tiles")
+    for done in (counts, kept):
+        discard(done)
 
     sums = out.where("h IS NOT NULL").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
     bare = facts.where("v = 0").select("lang", "g")

@@ -249,11 +249,13 @@ def top_k_by_product(rows: DataFrame, queries: DataFrame, k: int = K, scale: int
     different = every.withColumn("r", nth).where(F.col("r") <= k + 1).groupBy("v", "dim", "norm").agg(F.collect_list(F.struct("vec_id")).alias("ids"))
     marked = different.select("v", "dim", "norm", F.transform("ids", lambda x: x["vec_id"]).alias("ids")).join(asked.select("v", "dim").distinct().withColumn("asks", F.lit(True)), ["v", "dim"], "left")
     vectors = save(marked.select(F.monotonically_increasing_id().alias("name"), "v", "dim", "norm", "ids", F.coalesce("asks", F.lit(False)).alias("asks")), "different-vectors")
+    discard(every)
     out = None
     for dim in sorted(r["dim"] for r in vectors.where("asks").select("dim").distinct().collect()):  # lengths of vectors; one, as a rule
         lists = _search(vectors.where(F.col("dim") == dim), dim, k, group_queries, block_rows, max_pivots)
         part = asked.where(F.col("dim") == dim).join(lists, "v")
         out = part if out is None else out.unionByName(part)
+    discard(vectors)  # each search has its own copy, by cell
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     own = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("vec_id")) & (x["score"] == F.col("norm"))), True)

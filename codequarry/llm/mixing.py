@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from codequarry.llm.common import SPACE_CHARS, SPACE_CLASS, count_up, count_words, discard, root_buckets, running_start, save, table, text_or_empty, with_feistel
 
 BLOCK_WORDS = 64
+#: Sources of a mix, at most.
+SOURCES = 100_000
 SHARDS = 64
 SEED = 10
 WEIGHTS = (3, 1, 2)
@@ -78,7 +80,9 @@ def shard_counts(targets: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     is held by the driver. Shards are of one length, but for the last. Each source gets ``draws`` in all.
     """
     spark = targets.sparkSession
-    rows = sorted(targets.select("source_no", "blocks", "draws", "first_draw", "all_draws").collect())
+    rows = sorted(targets.select("source_no", "blocks", "draws", "first_draw", "all_draws").limit(SOURCES + 1).collect())
+    if len(rows) > SOURCES:
+        raise ValueError(f"a mix of more than {SOURCES} sources; the driver holds a row for each")
     if not rows:
         return spark.createDataFrame([], "source_no int, shard int, n long, blocks long, first long")
     total = rows[0]["all_draws"]
