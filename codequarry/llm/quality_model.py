@@ -102,24 +102,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.expand(x) @ self.weights, -30, 30)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def gradient(ep: np.ndarray, eu: np.ndarray, w: np.ndarray, prior: float | None) -> np.ndarray:
+    """Where the risk rises, without decay, for expanded positives and unlabelled. prior None: positives against unlabelled, as if those were
+    negatives. Else the non-negative risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); once the second part is below zero, it is made to rise."""
+    sp, su = _sigmoid(ep @ w), _sigmoid(eu @ w)
+    plus = ep.T @ (sp - 1) / len(ep)  # gradient of R_p(+)
+    if prior is None:
+        return plus + eu.T @ su / len(eu)
+    minus, unlabelled = ep.T @ sp / len(ep), eu.T @ su / len(eu)
+    loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()
+    rest = loss(su) - prior * loss(sp)
+    # Below zero, the risk of negatives is overfitted: step back from it.
+    return prior * plus + unlabelled - prior * minus if rest >= 0 else prior * minus - unlabelled
+
+
 def _descend(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> Model:
-    """Adam over the whole samples. prior None: positives against unlabelled, as if those were negatives."""
+    """Adam over the whole samples."""
     ep, eu = model.expand(p), model.expand(u)
     w = np.zeros(ep.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        sp, su = sig(ep @ w), sig(eu @ w)
-        plus = ep.T @ (sp - 1) / len(p)  # gradient of R_p(+)
-        if prior is None:
-            g = plus + eu.T @ su / len(u)
-        else:
-            minus, unlabelled = ep.T @ sp / len(p), eu.T @ su / len(u)
-            loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()
-            rest = loss(su) - prior * loss(sp)
-            # Below zero, the risk of negatives is overfitted: step back from it.
-            g = prior * plus + unlabelled - prior * minus if rest >= 0 else prior * minus - unlabelled
-        g = g + DECAY * w
+        g = gradient(ep, eu, w, prior) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(model.mean, model.scale, w)

@@ -265,3 +265,30 @@ def test_labels_follow_links(monkeypatch):
                     x, y = want[row], want[o]
                     want = [min(x, y) if v in (x, y) else v for v in want]
             assert labels.settle().tolist() == want
+
+
+def test_gradient_of_the_risk_by_differences():
+    """The risk in plain Python, on both sides of zero, and for positives against unlabelled."""
+    rng = np.random.default_rng(2)
+    ep, eu = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (60, 6))
+    soft = lambda z: math.log1p(math.exp(z))
+    mean = lambda rows, w, sign: sum(soft(sign * sum(a * b for a, b in zip(r, w, strict=True))) for r in rows.tolist()) / len(rows)
+    rest = lambda w, prior: mean(eu, w, 1) - prior * mean(ep, w, 1)
+    seen = set()
+    for prior in (None, 0.3, 0.9):
+        for scale in (0.1, 2.0):
+            w = rng.normal(0, scale, 6)
+            if prior is None:
+                risk = lambda w: mean(ep, w, -1) + mean(eu, w, 1)
+            elif rest(w, prior) >= 0:
+                risk = lambda w, q=prior: q * mean(ep, w, -1) + rest(w, q)
+            else:
+                risk = lambda w, q=prior: -rest(w, q)
+            seen.add(prior is not None and rest(w, prior) >= 0)
+            steps = np.eye(6) * 1e-5
+            want = [(risk(w + s) - risk(w - s)) / 2e-5 for s in steps]
+            assert quality_model.gradient(ep, eu, w, prior) == pytest.approx(want, abs=1e-6)
+    w = np.full(6, 3.0)
+    assert rest(w, 0.95) < 0
+    assert quality_model.gradient(ep, eu, w, 0.95) == pytest.approx([-(rest(w + s, 0.95) - rest(w - s, 0.95)) / 2e-5 for s in np.eye(6) * 1e-5], abs=1e-6)
+    assert seen == {True, False}
