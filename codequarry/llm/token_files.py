@@ -24,6 +24,8 @@ from codequarry.llm.tokens import tokenize
 
 #: Tokens of a block; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 17
+#: Words that a worker keeps, twice; nothing else is held beside them here.
+STEMS = 400_000
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of each of the four values of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -107,7 +109,7 @@ def write_token_file(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, np.nda
     order = [F.col("doc_id").asc_nulls_first(), F.col("__q_h")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__q_h"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    tokens = save(tokenize(ordered, tokenizer).withColumn("part", F.spark_partition_id()), "tokens")
+    tokens = save(tokenize(ordered, tokenizer, STEMS).withColumn("part", F.spark_partition_id()), "tokens")
     by_rank = ids_by_rank(tokens)
     file = save(tokens.select("part", "first", "doc_id", "n_tokens", "ids").mapInArrow(_blocks(by_rank), "part int, first long, doc_ids array<long>, n_tokens array<long>, control binary, data binary"), "token-file")
     discard(tokens)

@@ -53,7 +53,7 @@ class WordEncoder:
 
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
         #: Stems met of late, and those before them: what is met again moves over, the rest goes.
-        self.stems, self.older = {}, {}
+        self.stems, self.older, self.most_stems = {}, {}, STEMS
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are held in two bytes, and this vocabulary has more")
         self.ends = np.zeros(1 << 16, bool)
@@ -90,7 +90,7 @@ class WordEncoder:
         found = list(map(self.stems.get, names))
         open_ = [k for k, x in enumerate(found) if x is None]
         if open_:
-            if len(self.stems) + len(open_) > STEMS:
+            if len(self.stems) + len(open_) > self.most_stems:
                 self.stems, self.older = {}, self.stems
             new = []
             for k in open_:
@@ -159,9 +159,10 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], stems: int = STEMS) -> Iterator[pa.RecordBatch]:
     """Batches with ``keep``, first (tokens before it in this task), n_tokens and ids (two bytes each, the end id last)."""
     coder, end, first = encoder(path), np.uint16(END).tobytes(), 0
+    coder.most_stems = stems
     gc.disable()  # nothing here is in a cycle, and looking for cycles among so many words costs time
     for batch in batches:
         texts = batch.column("__q_text")
@@ -181,11 +182,12 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
     release()
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, stems: int = STEMS) -> DataFrame:
     """doc_id, text_hash (tells rows with one doc_id apart), first (tokens before it in its partition), n_tokens, ids (little-endian 16-bit) of each row.
 
     Null texts are empty; each document ends with the end id. Rows keep their order. The vocabulary has at most 65,536 entries.
+    A worker keeps twice ``stems`` words at most, some 230 bytes each.
     """
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("__q_text"))
     keep = ["doc_id", "text_hash"]
-    return rows.mapInArrow(lambda it: encode_batches(it, path, keep), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, first long, n_tokens long, ids binary")
+    return rows.mapInArrow(lambda it: encode_batches(it, path, keep, stems), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, first long, n_tokens long, ids binary")
