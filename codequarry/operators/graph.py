@@ -14,7 +14,7 @@ def first_parent_jumps(parents: DataFrame) -> list[DataFrame]:
     out = []
     while not step.isEmpty():
         out.append(step)
-        on = step.select("repo", F.col("sha").alias("to"), F.col("to").alias("further"))
+        on = step.select("repo", F.col("sha").alias("to"), F.col("to").alias("further")).hint("merge")
         step = written(step.join(on, ["repo", "to"]).select("repo", "sha", F.col("further").alias("to")), "jumps")
     dropped(step)
     return out
@@ -27,22 +27,34 @@ def ancestors(parents: DataFrame, heads: DataFrame) -> DataFrame:
     it is not walked commit by commit: chains of first parents are followed by path doubling, in as many joins as the logarithm
     of the longest one, and only the step to a merge's other parents is a round. There are as many rounds as merges lie within merged branches.
     Joins are on repo and sha, so one large repository is dealt to all tasks. Rows may repeat; nulls reach nothing.
+
+    What is reached is closed under first parents, so a step leaves out what earlier rounds reached, and a round ends with the step that
+    finds nothing more. Each step is written: a plan holds one join of rows that were written, and no table goes through the driver.
     """
     jumps = first_parent_jumps(parents)
-    others = parents.where("ord > 0").select("repo", F.col("sha"), "parent").distinct()
-    found, new = None, heads.select("repo", "sha").where("repo IS NOT NULL AND sha IS NOT NULL").distinct()
-    tables = []
+    others = written(parents.where("ord > 0 AND parent IS NOT NULL").select("repo", "sha", "parent").distinct(), "merges")
+    keys = ["repo", "sha"]
+    found, new, stale = None, heads.select(*keys).where("repo IS NOT NULL AND sha IS NOT NULL").distinct(), []
     while True:
-        for step in jumps:
-            both = F.array_compact(F.array("sha", "to"))  # named once in the plan, which would double with each step otherwise
-            new = new.join(step, ["repo", "sha"], "left").select("repo", F.explode(both).alias("sha")).distinct()
-        new = written(new if found is None else new.join(found, ["repo", "sha"], "left_anti"), "reached")
-        if new.isEmpty():
-            dropped(new)
+        reached = written(new, "reached")
+        for table in stale:
+            dropped(table)
+        size = reached.count()
+        if not size:
+            dropped(reached)
             break
-        tables.append(new)
-        found = new if found is None else found.unionByName(new)
-        new = new.join(others, ["repo", "sha"]).select("repo", F.col("parent").alias("sha")).where("sha IS NOT NULL").distinct().join(found, ["repo", "sha"], "left_anti")
-    for step in jumps:
-        dropped(step)
-    return found if found is not None else heads.select("repo", "sha").where("1 = 0")
+        for step in jumps:
+            further = reached.join(step.hint("merge"), keys).select("repo", F.col("to").alias("sha"))
+            if found is not None:
+                further = further.join(found.hint("merge"), keys, "left_anti")
+            earlier, reached, before = reached, written(reached.unionByName(further).distinct(), "reached"), size
+            dropped(earlier)
+            size = reached.count()
+            if size == before:
+                break
+        stale = [] if found is None else [found, reached]
+        found = reached if found is None else written(found.unionByName(reached), "found")
+        new = reached.join(others.hint("merge"), keys).select("repo", F.col("parent").alias("sha")).distinct().join(found.hint("merge"), keys, "left_anti")
+    for table in (*jumps, others):
+        dropped(table)
+    return found if found is not None else heads.select(*keys).where("1 = 0")

@@ -133,6 +133,17 @@ def test_ancestors(spark):
     assert graph.ancestors(empty, empty.select("repo", "sha")).collect() == []
 
 
+def test_ancestors_join_by_join(spark, monkeypatch):
+    """However deep a history is, a plan holds two joins at most, and none sends a table through the driver."""
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df, label, f=graph.written: plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]) or f(df, label))
+    edges = [("a", str(i), str(i - 1), 0) for i in range(1, 300)] + [("a", str(i), f"m{i}", 1) for i in range(7, 300, 7)] + [("a", f"m{i}", str(i - 6), 0) for i in range(7, 300, 7)]
+    got = graph.ancestors(spark.createDataFrame(edges, "repo string, sha string, parent string, ord int"), spark.createDataFrame([("a", "290")], "repo string, sha string"))
+    assert {r.sha for r in got.collect()} == {str(i) for i in range(291)} | {f"m{i}" for i in range(7, 291, 7)}
+    assert max(p.count("Join") for p in plans) <= 2
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_what_a_scan_reads(spark, tmp_path):
     rows = spark.range(60_000).select(F.concat(F.lit("2025010"), (F.col("id") % 5).cast("string")).alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), F.lit("PushEvent").alias("type"), "id")
     rows.repartition(2).write.mode("overwrite").partitionBy("day").parquet(str(tmp_path))
