@@ -17,7 +17,8 @@ DAY = 86_400
 
 
 def _ts(c):
-    return F.unix_timestamp(F.col(c).cast("timestamp"))
+    """The nearest whole second, of two as near the even one."""
+    return F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("long")
 
 
 def _pull(t):

@@ -1,5 +1,6 @@
 """Histories, captured output, discovery and sinks."""
 
+import datetime
 import json
 import threading
 import urllib.error
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry import sinks
+from codequarry.plans.history_queries import QUERIES, SQL
 from codequarry.reports import history
 from codequarry.sources import analyzers, discovery
 
@@ -259,3 +261,18 @@ def test_refresh_server(spark):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_checkpoints_of_times_between_seconds(spark, tmp_path):
+    """Times are the nearest second, as the SQL has them: 0.4 is before, 0.6 behind, of halves the even one."""
+    from compare import same
+
+    at = lambda text: datetime.datetime.fromisoformat(text)
+    rows = [(1, 1, "signup", at("2024-01-01 00:00:00.600000")), (2, 1, "purchase", at("2024-01-08 00:00:00.400000")), (3, 1, "purchase", at("2024-01-08 00:00:00.700000"))]
+    rows += [(4, 2, "signup", at("2024-01-01 00:00:00.100000")), (5, 2, "purchase", at("2024-01-07 23:59:59.500000")), (6, 3, "signup", at("2024-01-01 00:00:01.500000")), (7, 3, "purchase", at("2024-01-08 00:00:02.500000"))]
+    rows = [(e, u, k, ts, 1.0, "") for e, u, k, ts in rows]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double, props string").coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("part-*")).rename(tmp_path / "events.parquet")
+    same(spark, QUERIES["h01_checkpoints"], SQL["h01_checkpoints"], str(tmp_path))
+    got = {r.repo: r.checkpoint_sha for r in QUERIES["h01_checkpoints"](spark, str(tmp_path)).where("days = 7").collect()}
+    assert got == {"1": "3", "2": "5", "3": "7"}
