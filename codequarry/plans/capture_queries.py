@@ -21,7 +21,7 @@ QUERIES, SQL, query = catalog()
 
 def _text(rows: DataFrame, keys: list[str], order: str, line: Column, end: str = "\n", name: str = "output") -> DataFrame:
     """keys and one text of all its lines, in order."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line"))))
+    parts = F.sort_array(F.collect_list(F.struct(F.col(order), line.alias("line"))))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["line"]), end).alias(name))
 
 
@@ -36,7 +36,7 @@ def _c(name: str) -> Column:
 
 def _json(rows: DataFrame, keys: list[str], order: str, item: Column, name: str) -> DataFrame:
     """keys and the JSON list of all items, in order, as column ``name``."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order), item.alias("item"))))
+    items = F.sort_array(F.collect_list(F.struct(F.col(order), item.alias("item"))))
     return rows.groupBy(*keys).agg(F.to_json(F.transform(items, lambda x: x["item"])).alias(name))
 
 

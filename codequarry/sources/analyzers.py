@@ -125,12 +125,13 @@ _SARIF = (
 
 def sarif(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
     """keys, rule, severity, message, file, line, col, cwe (tags that begin so), type (security or quality), detected_by: a rule's tags are looked up in its run."""
-    d = _parsed(df, keys, text, _SARIF).select(*keys, F.explode("d.runs").alias("run"))
+    d = _parsed(df, keys, text, _SARIF).select(*keys, F.explode_outer("d.runs").alias("run")).where("run IS NOT NULL")  # not explode(), whose filter on empty lists parses all texts once more
     ids = F.transform("run.tool.driver.rules", lambda r: F.struct(r["id"].alias("id"), F.coalesce(r["properties"]["tags"], F.array().cast("array<string>")).alias("tags")))
     pair = "array<struct<id:string,tags:array<string>>>"
     # Of rules of one name the last counts, as in a dictionary that is filled in their order.
     last = F.filter(ids, lambda r, i: ~F.exists(F.slice(ids, i + 2, F.size(ids)), lambda o: o["id"] == r["id"]))
-    rows = d.select(*keys, F.map_from_entries(F.coalesce(last.cast(pair), F.array().cast(pair))).alias("tags"), F.explode("run.results").alias("r"))
+    tagged = d.select(*keys, F.map_from_entries(F.coalesce(last.cast(pair), F.array().cast(pair))).alias("tags"), F.col("run.results").alias("results"))
+    rows = tagged.select(*keys, "tags", F.explode("results").alias("r"))  # apart, so that no row of a result holds its whole run
     r, place = F.col("r"), F.get("r.locations", 0)["physicalLocation"]
     tags = F.coalesce(F.try_element_at("tags", r["ruleId"]), F.array().cast("array<string>"))
     return rows.select(
