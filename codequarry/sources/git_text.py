@@ -2,15 +2,14 @@
 
 Each function takes rows that hold the output as text and keeps the caller's ``keys``, which tell texts apart.
 Output of one command is one text, so a text is parsed where it lies and only its lines
-are spread out. Where a line belongs to a header above it, the lines of a text are put in order; nothing
-is ordered or gathered over texts.
+are spread out. Where a line belongs to a header above it, the text is cut at its headers; nothing
+is ordered or gathered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 HUNK = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
 
@@ -55,17 +54,25 @@ def numstat(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
     return rows.select(*keys, "line_no", renamed_path(F.get("f", 2)).alias("path"), whole(0).alias("added"), whole(1).alias("deleted"))
 
 
+def _hunks(text: Column) -> Column:
+    """(first_line, last_line) of each hunk in a text that has lines on the new side."""
+    first = lambda x: F.regexp_extract(x, HUNK, 1).cast("int")
+    n = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, HUNK, 2), F.lit("")).cast("int"), F.lit(1))
+    heads = F.filter(F.split(text, "\n"), lambda x: x.startswith("@@ -") & x.rlike(HUNK))
+    ends = F.transform(heads, lambda x: F.struct(first(x).alias("first_line"), n(x).alias("n")))
+    ends = F.transform(ends, lambda h: F.struct(h["first_line"].alias("first_line"), (h["first_line"] + h["n"] - 1).alias("last_line")))
+    return F.filter(ends, lambda h: h["last_line"] >= h["first_line"])
+
+
 def changed_ranges(df: DataFrame, keys: list[str], text: str = "patch") -> DataFrame:
     """A row for each hunk of a one-file diff that has lines on the new side: first_line, last_line. A count left out is 1."""
-    rows = output_lines(df, keys, text).where(F.col("line").rlike(HUNK))
-    first = F.regexp_extract("line", HUNK, 1).cast("int")
-    n = F.coalesce(F.nullif(F.regexp_extract("line", HUNK, 2), F.lit("")).cast("int"), F.lit(1))
-    return rows.select(*keys, first.alias("first_line"), (first + n - 1).alias("last_line")).where("last_line >= first_line")
+    return df.select(*keys, F.explode_outer(_hunks(F.col(text))).alias("h")).where("h IS NOT NULL").select(*keys, "h.first_line", "h.last_line")
 
 
 def changed_lines(df: DataFrame, keys: list[str], text: str = "patch") -> DataFrame:
-    """A row for each new-side line number that a hunk covers, once."""
-    return changed_ranges(df, keys, text).select(*keys, F.explode(F.sequence("first_line", "last_line")).alias("line")).distinct()
+    """A row for each new-side line number that a hunk of a text covers, once."""
+    lines = F.flatten(F.transform(_hunks(F.col(text)), lambda h: F.sequence(h["first_line"], h["last_line"])))
+    return df.select(*keys, F.explode_outer(F.array_distinct(lines)).alias("line")).where("line IS NOT NULL")
 
 
 def file_patches(df: DataFrame, keys: list[str], text: str = "diff", fallback: str | None = None) -> DataFrame:
@@ -87,28 +94,36 @@ def file_patches(df: DataFrame, keys: list[str], text: str = "diff", fallback: s
     return rows.withColumn("added", F.transform(plus, lambda x: F.substring(x, 2, 1 << 30)))
 
 
-def _carried(rows: DataFrame, keys: list[str], header: Column) -> DataFrame:
-    """Lines with ``header``: that of the last line, up to it, that is one."""
-    above = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("header", F.last(header, ignorenulls=True).over(above))
+def _sections(df: DataFrame, keys: list[str], text: str, header: str) -> DataFrame:
+    """A row for each line that begins with ``header``: keys, section (it and the lines up to the next). Lines above the first belong to none.
+
+    explode() would cut the texts twice, once to leave out those without sections.
+    """
+    parts = F.filter(F.split(F.col(text), f"\\n(?={header})"), lambda p: p.rlike(f"^(?:{header})"))
+    return df.select(*keys, F.explode_outer(parts).alias("section")).where("section IS NOT NULL")
 
 
 def added_ranges(df: DataFrame, keys: list[str], text: str = "diff") -> DataFrame:
     """A row for each hunk of a diff of many files that has lines on the new side: path (of the ``+++ b/`` line above it), start, stop."""
-    rows = _carried(output_lines(df, keys, text), keys, F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 30)))
-    rows = rows.where(F.col("line").rlike(HUNK) & F.col("header").isNotNull())
-    start = F.regexp_extract("line", HUNK, 1).cast("int")
-    n = F.coalesce(F.nullif(F.regexp_extract("line", HUNK, 2), F.lit("")).cast("int"), F.lit(1))
-    return rows.select(*keys, F.col("header").alias("path"), start.alias("start"), (start + n - 1).alias("stop")).where("stop >= start")
+    rows = _sections(df, keys, text, r"\+\+\+ b/")
+    first = F.substring_index("section", "\n", 1)
+    path = F.substring(F.when(first.endswith("\r"), F.substring(first, 1, F.length(first) - 1)).otherwise(first), 7, 1 << 30)
+    rows = rows.select(*keys, path.alias("path"), _hunks(F.col("section")).alias("hunks"))
+    return rows.select(*keys, "path", F.explode_outer("hunks").alias("h")).where("h IS NOT NULL").select(*keys, "path", F.col("h.first_line").alias("start"), F.col("h.last_line").alias("stop"))
+
+
+def _content_lines(text: Column) -> Column:
+    """How many lines of blame output hold content: a tab comes first."""
+    below = F.concat(F.lit("\n"), text)
+    return (F.length(below) - F.length(F.replace(below, F.lit("\n\t"), F.lit("\t")))).cast("long")
 
 
 def blame_counts(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
     """A row for each commit in porcelain blame output: sha, n_lines: the content lines (tab first) that stand below its headers."""
-    header = F.nullif(F.regexp_extract("line", r"^([0-9a-f]{40})(?:\s|$)", 1), F.lit(""))
-    rows = _carried(output_lines(df, keys, text), keys, header).where(F.col("line").startswith("\t") & F.col("header").isNotNull())
-    return rows.groupBy(*keys, F.col("header").alias("sha")).agg(F.count("*").alias("n_lines"))
+    rows = _sections(df, keys, text, r"[0-9a-f]{40}(?:\s|$)").select(*keys, F.substring("section", 1, 40).alias("sha"), _content_lines(F.col("section")).alias("n"))
+    return rows.where("n > 0").groupBy(*keys, "sha").agg(F.sum("n").alias("n_lines"))
 
 
 def blame_totals(df: DataFrame, keys: list[str], text: str = "output") -> DataFrame:
     """keys, total_lines: all content lines of the output."""
-    return output_lines(df, keys, text).groupBy(*keys).agg(F.count_if(F.col("line").startswith("\t")).alias("total_lines"))
+    return df.where(F.col(text) != "").groupBy(*keys).agg(F.sum(_content_lines(F.col(text))).alias("total_lines"))
