@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from pyspark.sql.window import Window
 
 from codequarry.functions import code
@@ -234,8 +234,86 @@ def seq_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 #: How alike lines count as one line, and how alike they are enough with an equal message; and lines of a window.
 ALIKE, ALIKE_ENOUGH, NEAR = 0.82, 0.55, 10
-#: Classes that characters are counted in for a bound of how alike two lines can be.
-CLASSES = 16
+#: Classes of characters (code points modulo this) for bounds of how alike two lines can be.
+CLASSES = 32
+#: Words of 64 characters of a text up to which bounds are found for many pairs at once, and bytes of their bit masks.
+WIDE, MASK_BYTES = 16, 1 << 22
+
+
+def _classes(texts: list[str]) -> list[np.ndarray]:
+    """The class of each character of each text."""
+    return [(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES).astype(np.uint8) for t in texts]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def class_counts(texts: pd.Series) -> pd.Series:
+    """How often each class of characters occurs in a text."""
+    return pd.Series([np.bincount(c, minlength=CLASSES).astype(np.int32) for c in _classes(texts.tolist())], dtype=object)
+
+
+def _common_long(left: np.ndarray, right: np.ndarray) -> int:
+    """common_subsequence() of one pair, with one long number for the state."""
+    masks, every = {}, (1 << len(left)) - 1
+    for c in np.unique(left):
+        masks[int(c)] = int.from_bytes(np.packbits(left == c, bitorder="little").tobytes(), "little")
+    state = every
+    for c in right.tolist():
+        u = state & masks.get(c, 0)
+        state = ((state + u) | (state - u)) & every
+    return len(left) - state.bit_count()
+
+
+def common_subsequence(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The length of the longest common subsequence of each pair: a bit for each place of the left text, for many pairs at once."""
+    out, words = np.zeros(len(left), np.int64), np.array([-(-len(x) // 64) for x in left], np.int64)
+    words[words > 4] += words[words > 4] % 2  # fewer sizes
+    order = np.lexsort(([len(y) for y in right], words))
+    begin = 0
+    while begin < len(order):
+        w = int(words[order[begin]])
+        if w > WIDE:
+            out[order[begin]] = _common_long(left[order[begin]], right[order[begin]])
+            begin += 1
+            continue
+        stop = min(int(np.searchsorted(words[order], w, "right")), begin + max(1, MASK_BYTES // (8 * max(w, 1) * (CLASSES + 1))))
+        at, begin = order[begin:stop], stop
+        if not w:
+            continue
+        n, steps = len(at), max(len(right[i]) for i in at)
+        a, b = np.full((n, 64 * w), CLASSES, np.uint8), np.full((steps, n), CLASSES, np.int64)
+        for k, i in enumerate(at.tolist()):
+            a[k, : len(left[i])], b[: len(right[i]), k] = left[i], right[i]
+        masks = np.zeros((CLASSES + 1, n, w), np.uint64)  # the last: no character
+        for c in range(CLASSES):
+            masks[c] = np.packbits(a == c, axis=1, bitorder="little").view(np.uint64)
+        every = np.packbits(a < CLASSES, axis=1, bitorder="little").view(np.uint64)
+        masks, row, state = masks.reshape(-1, w), np.arange(n), np.full((n, w), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for step in b:
+            u = state & masks.take(step * n + row, 0)
+            total = state + u
+            carry = total < u
+            while w > 1 and carry[:, :-1].any():  # into the next word; that it goes on from there is rare
+                more = np.zeros((n, w), np.uint64)
+                more[:, 1:] = carry[:, :-1]
+                total += more
+                carry = total < more
+            state = total | (state ^ u)
+        out[at] = np.bitwise_count(~state & every).sum(1, dtype=np.int64)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def ratio_from(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How alike two texts are (difflib) where that is ``least`` or more, else 0. Blocks that difflib finds are a common
+    subsequence, so twice the longest one, over both lengths, bounds the ratio; difflib runs on what that leaves."""
+    for x, y, least in pairs:
+        left, right, out = x.tolist(), y.tolist(), np.zeros(len(x))
+        sizes = np.array([len(p) + len(q) for p, q in zip(left, right, strict=True)], np.int64)
+        may = 2.0 * common_subsequence(_classes(left), _classes(right)) >= least.to_numpy() * sizes - 1e-9
+        for i in np.flatnonzero(may).tolist():
+            ratio = similarity(left[i], right[i])
+            out[i] = ratio if ratio >= least.iloc[i] else 0.0
+        yield pd.Series(out)
 
 
 def survival_score(a: dict, b: dict) -> tuple[float, str]:
@@ -310,26 +388,25 @@ def _like_bound(a: Column, b: Column, least: float) -> Column:
 def alike_texts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, text, other, strong (ALIKE and more; else ALIKE_ENOUGH and more), of different texts of the same keys.
 
-    ``left`` and ``right`` have keys, text and plain (some finding's message stands on the other side; where it doesn't, only
-    ALIKE counts). Texts meet by the logarithm of their length, each step a factor of (2 - t) / t, the most that lengths can differ
-    at a ratio of t; then lengths, and characters by class, bound the ratio from above, and difflib runs on what is left.
+    ``left`` and ``right`` have keys, text and message; of two texts whose findings have no message in common, only
+    ALIKE counts. Texts meet by the logarithm of their length, each step a factor of (2 - t) / t, the most that lengths can differ
+    at a ratio of t; then lengths, characters by class, and the longest common subsequence bound the ratio from above, and difflib runs on what is left.
     """
     step = math.log((2 - ALIKE_ENOUGH) / ALIKE_ENOUGH)
-    code_of = lambda c: F.pmod(F.ascii(c), F.lit(CLASSES))
 
     def sized(df: DataFrame) -> DataFrame:
-        counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter("_chars", lambda c: code_of(c) == k)))
-        rows = df.where("text <> ''").groupBy(*keys, "text").agg(F.max("plain").alias("plain")).withColumn("length", F.length("text")).withColumn("_chars", F.split("text", ""))
-        return rows.withColumn("t", F.struct("text", "length", counts.alias("counts"), "plain")).withColumn("_bin", F.floor(F.log("length") / step)).select(*keys, "t", "_bin")
+        said = F.collect_set(F.when(F.col("message") != "", F.xxhash64("message"))).alias("said")
+        rows = df.where("text <> ''").groupBy(*keys, "text").agg(said).withColumn("length", F.length("text")).withColumn("counts", class_counts("text"))
+        return rows.withColumn("t", F.struct("text", "length", "counts", "said")).withColumn("_bin", F.floor(F.log("length") / step)).select(*keys, "t", "_bin")
 
     a = sized(left).withColumn("_bin", F.explode(F.array(*[F.col("_bin") + k for k in (-1, 0, 1)])))
     b = sized(right).select(*keys, "_bin", F.col("t").alias("o"))
     x, y = F.col("t"), F.col("o")
-    least = F.when(x["plain"] & y["plain"], ALIKE_ENOUGH).otherwise(ALIKE)
-    longest = 2.0 * F.least(x["length"], y["length"]) >= least * (x["length"] + y["length"]) - 1e-9
-    pairs = a.join(b, [*keys, "_bin"]).where((x["text"] != y["text"]) & longest & _like_bound(x, y, least))
-    rated = pairs.withColumn("ratio", seq_ratio(x["text"], y["text"])).where(F.col("ratio") >= ALIKE_ENOUGH)
-    return rated.select(*keys, x["text"].alias("text"), y["text"].alias("other"), (F.col("ratio") >= ALIKE).alias("strong"))
+    pairs = a.join(b, [*keys, "_bin"]).where(x["text"] != y["text"])
+    for_least = lambda t: (2.0 * F.least(x["length"], y["length"]) >= t * (x["length"] + y["length"]) - 1e-9) & _like_bound(x, y, t)
+    least = F.when(F.arrays_overlap(x["said"], y["said"]), ALIKE_ENOUGH).otherwise(ALIKE)
+    pairs = pairs.where(for_least(least)).withColumn("ratio", ratio_from(x["text"], y["text"], least)).where(F.col("ratio") > 0)
+    return pairs.select(*keys, x["text"].alias("text"), y["text"].alias("other"), (F.col("ratio") >= ALIKE).alias("strong"))
 
 
 def match_survival(before: DataFrame, after: DataFrame, scope: list[str]) -> DataFrame:
@@ -343,11 +420,8 @@ def match_survival(before: DataFrame, after: DataFrame, scope: list[str]) -> Dat
     names = [F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit(7), *keys).alias("k2")]
     name = lambda c: F.when(F.col(c) != "", F.md5(F.col(c)))
     fields = lambda df, kind: df.select(*names, F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), name("text").alias("text"), name("message").alias("message"), F.col("line").cast("long").alias("line"), F.coalesce("print", F.lit("-")).alias("print"))
-    told = lambda df, side: df.select(*names, "text", "message").groupBy("k1", "k2", "text", "message").agg(F.lit(side).alias("side"))
-    both = told(before, 0).unionByName(told(after, 1))
-    shared = both.where("message <> ''").groupBy("k1", "k2", "message").agg((F.min("side") < F.max("side")).alias("plain"))
-    texts = both.join(shared, ["k1", "k2", "message"], "left").select("k1", "k2", "side", "text", F.coalesce("plain", F.lit(False)).alias("plain"))
-    like = alike_texts(texts.where("side = 0"), texts.where("side = 1"), ["k1", "k2"])
+    told = lambda df: df.select(*names, "text", "message")
+    like = alike_texts(told(before), told(after), ["k1", "k2"])
     like = like.select("k1", "k2", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), name("text").alias("text"), name("other").alias("message"), F.col("strong").cast("long").alias("line"), F.lit(None).cast("string").alias("print"))
     rows = fields(after, 0).unionByName(like).unionByName(fields(before, 2))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from codequarry.operators import matching
@@ -60,3 +61,43 @@ def test_query_over_all_lines(spark):
     some = [[r for r in side if r["file"] in (0, 4)] for side in rows]
     ids = {r["id"] for r in some[0]}
     assert [r for r in got if r[0] in ids] == by_all_pairs(*some)
+
+
+def test_bound_is_the_longest_common_subsequence():
+    """Of many pairs at once, of texts of no, one, many and very many words of bits, against the plain table."""
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            above = row[:]
+            for j, d in enumerate(y):
+                row[j + 1] = above[j] + 1 if c == d else max(above[j + 1], row[j])
+        return row[-1]
+
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    sizes = [(0, 5), (5, 0), (64, 64), (65, 3), (1, 200), (64 * matching.WIDE + 9, 50), (64 * matching.WIDE, 300), *((rng.randrange(1, 400), rng.randrange(1, 400)) for _ in range(60))]
+    pairs = [(some(m), some(n)) for m, n in sizes] + [("x" * 130, "x" * 129), ("日本é" * 30, "é日x" * 40)]
+    left, right = zip(*pairs, strict=True)
+    got = matching.common_subsequence(matching._classes(left), matching._classes(right))
+    assert got.tolist() == [plain(x, y) for x, y in pairs]
+
+
+def test_difflib_runs_on_few_pairs_alone(spark):
+    """Of texts that have as many of each letter, only those go to difflib that have enough of them in order, and the low limit holds for common messages alone."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.sample(words, 60)) for _ in range(60)]
+    texts[59] = texts[0][:-4] + "zzzz"
+    df = spark.createDataFrame([(1, t, "m" if i % 4 < 2 else "n") for i, t in enumerate(texts)], "k int, text string, message string").withColumn("i", F.monotonically_increasing_id())
+    sides = [df.where(F.col("text").isin(texts[k::2])) for k in (0, 1)]
+    calls = []
+    call = matching.similarity
+    matching.similarity = lambda x, y: calls.append(1) or call(x, y)
+    try:
+        rated = list(matching.ratio_from.func(iter([tuple(pd.Series(c) for c in ([x for x in texts[::2] for _ in texts[1::2]], [y for _ in texts[::2] for y in texts[1::2]], [matching.ALIKE_ENOUGH] * 900))])))[0]
+    finally:
+        matching.similarity = call
+    assert len(calls) <= 5 and rated[rated > 0].tolist() == [call(texts[0], texts[59])]
+    found = [tuple(r) for r in matching.alike_texts(*sides, ["k"]).select("text", "other", "strong").collect()]
+    assert found == [(texts[0], texts[59], True)]
