@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def falsy(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row: as the variable of a lambda. An expression that other lambdas name is made again for each of their elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def any_of(*tests: Column) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -100,7 +107,8 @@ def ends_with_any(text: Column, ends: list[str]) -> Column:
 
 def bare_path(path: Column) -> Column:
     """Without white space around it, and without slashes before it."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(path, F.lit("")), r"^\s+|\s+$", ""), "^/+", "")
+    given = F.coalesce(path, F.lit(""))
+    return F.when(given.rlike(r"^/|\s"), F.regexp_replace(F.regexp_replace(given, r"^\s+|\s+$", ""), "^/+", "")).otherwise(given)
 
 
 def file_name(path: Column) -> Column:
@@ -118,21 +126,16 @@ def stem(name: Column) -> Column:
 
 
 def is_noise_path(path: Column) -> Column:
-    """Whether a path lies among build output, dependencies, caches, or bundled and generated files."""
-    p = bare_path(path)
-    parts, name = F.split(p, "/"), file_name(p)
-    low = F.lower(name)
-    base = F.get(F.split(F.lower(stem(name)), r"[-.](?:\d|min|prod|production|development|slim|esm|umd|cjs)"), 0)
-    return any_of(
-        F.arrays_overlap(parts, listed(NOISE_DIRS)),
-        F.exists(parts, lambda x: x.endswith(".egg-info")),
-        ends_with_any(low, NOISE_SUFFIXES),
-        name.rlike(r"(?U)^\d+\.\w+.*\.js$"),
-        name.isin(LOCK_FILES),
-        base.isin(VENDOR_STEMS),
-        ends_with_any(name, GENERATED_SUFFIXES),
-        starts_with_any(low, GENERATED_PREFIXES),
+    """Whether a path lies among build output, dependencies, caches, or bundled and generated files. The path, its parts and its name are made once a row."""
+    versions = r"[-.](?:\d|min|prod|production|development|slim|esm|umd|cjs)"
+    # Only a name that begins like a vendor's is cut into its stem.
+    vendor = lambda name, low: starts_with_any(low, VENDOR_STEMS) & F.get(F.split(F.lower(stem(name)), versions), 0).isin(VENDOR_STEMS)
+    by_name = lambda name, low: any_of(
+        low.rlike(f"{quoted(NOISE_SUFFIXES)}\\z|^{quoted(GENERATED_PREFIXES)}"), name.rlike(r"(?U)^\d+\.\w+.*\.js$"), name.isin(LOCK_FILES), vendor(name, low), ends_with_any(name, GENERATED_SUFFIXES)
     )
+    by_parts = lambda parts: F.exists(parts, lambda x: x.isin(NOISE_DIRS) | x.endswith(".egg-info"))
+    names = lambda p: once(F.struct(file_name(p).alias("name"), F.lower(file_name(p)).alias("low")), lambda n: by_name(n["name"], n["low"]))
+    return once(bare_path(path), lambda p: once(F.split(p, "/"), by_parts) | names(p))
 
 
 def path_category(path: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from codequarry.functions import code
+from codequarry.functions import code, paths, rules
+from codequarry.plans import report_queries, structure_queries
 from codequarry.sources import analyzers, git_text
 
 
+D = "/root/testdata/sf0.001"
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -50,3 +54,32 @@ def test_sarif_no_result_holds_its_run(spark):
     found = analyzers.sarif(spark.createDataFrame([(1, text), (2, "{}")], "k int, output string"), ["k"])
     assert sorted((r.k, r.rule, list(r.cwe)) for r in found.collect()) == [(1, "r", ["cwe-1"]), (1, "s", [])]
     assert "explode(results" in plan(found) and "explode(run" not in plan(found)
+
+
+def test_findings_are_read_once(spark):
+    """Reports that tell several things of findings classify each of them in one pass."""
+    for name in ("r29_commit_summary", "r19_families"):
+        assert plan(report_queries.QUERIES[name](spark, D)).count("Relation [l_orderkey") == 1, name
+    # Entries, and what they said when introduced.
+    assert plan(report_queries.QUERIES["r33_survival_over_time"](spark, D)).count("Relation [l_orderkey") == 2
+
+
+def test_a_path_is_made_bare_once(spark):
+    df = spark.createDataFrame([("src/a.py",)], "p string")
+    assert plan(df.where(paths.is_noise_path(F.col("p")))).count("^/+") == 1
+    rule = F.col("p")
+    blocked = plan(df.where(rules.is_blocked(rule, rules.filter_context(F.col("p")))))
+    assert blocked.index("jwt_exposed") < blocked.index("__tests__")  # the rule goes before the patterns of its context
+
+
+def test_noise_paths_as_before(spark):
+    """Blanks, slashes, breaks and versions in names."""
+    noise = [" /node_modules/a.js ", "a/x.egg-info/b", "lib/jquery-3.1.js", "JQUERY.MIN.JS", "a/1.chunk.js", "12.abc.js\u0085", "x/generated_a.py", "A.pb.go", "dist/", "//build/x.py", "Angular.prod.js", "a/yarn.lock\n"]
+    fine = ["", None, "a/jqueryx.js", "node_modulesx/a.js", "a.pb.gox", "reactor.py", "lib/a.js", " src/a b.py", "pkg/vue/x.go"]
+    df = spark.createDataFrame([(p, True) for p in noise] + [(p, False) for p in fine], "p string, want boolean")
+    assert [r.p for r in df.where(paths.is_noise_path(F.col("p")) != F.col("want")).collect()] == []
+
+
+def test_sources_are_parsed_once(spark):
+    """Units of a version are extracted once and kept, however many joins they go into."""
+    assert "MapInArrow" not in plan(structure_queries.QUERIES["s01_unit_survival"](spark, D))
