@@ -98,10 +98,10 @@ def by_month(cohorts: DataFrame, family: bool = False) -> DataFrame:
 def over_time(cohorts: DataFrame, family: bool = False) -> DataFrame:
     """As by_month(), with running sums and their rate. By family, each month has a row for every family."""
     rows = by_month(cohorts, family).drop("monthly_rate")
-    if family:
-        months = rows.select("month").distinct()
-        grid = months.select("month", F.explode(F.array(*[F.lit(x) for x in FAMILIES])).alias("family"))
-        rows = grid.join(rows, ["month", "family"], "left").na.fill(0, ["total", "surviving"])
+    if family:  # a month's few rows are put beside each other, so that the entries are read once
+        of = lambda c, name: F.coalesce(F.sum(F.when(F.col("family") == name, F.col(c))), F.lit(0).cast("long")).alias(c)
+        cells = [F.struct(F.lit(x).alias("family"), of("total", x), of("surviving", x)) for x in FAMILIES]
+        rows = rows.groupBy("month").agg(F.array(*cells).alias("cells")).select("month", F.inline("cells"))
     out = running(rows, ["family"] if family else [], "month", ["total", "surviving"])
     return out.withColumns({"monthly_rate": ratio("surviving", "total"), "cum_rate": ratio("cum_surviving", "cum_total")})
 
