@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import code
 from codequarry.operators import graph, units
 from codequarry.plans.catalog import catalog
+from codequarry.tables import written
 
 QUERIES, SQL, query = catalog()
 _LINES = "l AS (SELECT doc_id AS d, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents)"
@@ -59,9 +60,11 @@ def s01_unit_survival(t):
     """How the functions of two versions of a source fare, by joins of units."""
     files = _versions(t)
     found = lambda c: units.extract_units(files.withColumn("language", F.lit("python")), ["doc_id"], c)
-    before, after = found("original"), found("current")
-    heirs = units.unit_changes(before, after, ["doc_id"]).where("fate = 'renamed'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "new_name"))), lambda x: x["new_name"]), ",").alias("heirs"))
-    return units.unit_survival(before, after, ["doc_id"]).join(heirs, "doc_id", "left").select("doc_id", "original_units", "surviving_units", "modified_units", "deleted_units", "new_units", "heirs")
+    # Sources are parsed once, and compared once.
+    before, after = written(found("original"), "units-before"), written(found("current"), "units-after")
+    fates = written(units.unit_changes(before, after, ["doc_id"]), "unit-fates")
+    heirs = fates.where("fate = 'renamed'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "new_name"))), lambda x: x["new_name"]), ",").alias("heirs"))
+    return units.unit_survival(before, after, ["doc_id"], fates).join(heirs, "doc_id", "left").select("doc_id", "original_units", "surviving_units", "modified_units", "deleted_units", "new_units", "heirs")
 
 
 @query(f"WITH {_VERSIONS} SELECT d AS doc_id, count(*) AS n, max(ord)::INTEGER AS last_ord, max(2 * ord + 2)::INTEGER AS last_line, count(DISTINCT name) AS names, count(*) FILTER (sig = 'a,b') AS pairs FROM a GROUP BY 1")
