@@ -1,8 +1,10 @@
-"""Operator 10 as a pipeline stage: near-duplicates by five-word shingles, a similarity of 0.8 or more.
+"""Operator 10 as a pipeline stage, and what its radius can't reach: five-word shingles, a similarity of 0.8 or more.
 
-At that similarity fingerprints lie so far apart that no tree over them can prune (its triangle
-bounds need a radius small against the distance of unrelated texts). So documents first meet by a key,
-and SimHash fingerprints are compared within the texts that share one:
+near_stage() links texts whose SimHash fingerprints the vantage-point tree finds within RADIUS_TREE bits
+of each other, as op10 does, and all that share 0.8 of their shingles. At that similarity fingerprints lie so far
+apart that no tree over them can prune (its triangle bounds need a radius small against the distance of
+unrelated texts). So for the second kind of link, documents first meet by a key, and wider fingerprints are compared within
+the texts that share one:
 
 1. Any two sets with at least 4 of 5 shingles in common share one of the first n - ceil(0.8 n) + 1
    of each, in any order that holds for all sets. The order puts shingles whose hash
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import discard, save, text_or_empty
 from codequarry.llm.exact_dedup import NO_ID
-from codequarry.llm.simhash import components, labelled, majority, same_document
+from codequarry.llm.simhash import components, labelled, majority, near_components, same_document
 from codequarry.llm.word_hashes import hashed_words, mix64, release
 
 #: Words of a shingle; texts are alike that share ALIKE[0] of ALIKE[1] of their shingles or more.
@@ -35,6 +37,8 @@ SHINGLE, ALIKE = 5, (4, 5)
 #: (12 of 15), of shorter ones 0.1875 (4 of 5); more than RADIUS, or RADIUS_SHORT, of BITS then do less than once in
 #: 10^12 pairs. Of unrelated sets, RADIUS lets 2 in 10,000 pass, RADIUS_SHORT 6 in 1,000.
 BITS, RADIUS, SHORT, RADIUS_SHORT = 192, 71, 8, 78
+#: op10's own shingles, bits and radius, for the tree.
+SHINGLE_TREE, BITS_TREE, RADIUS_TREE = 3, 64, 2
 #: Buckets whose counts order the shingles (a power of two): what is gathered of the corpus.
 SLOTS = 1 << 16
 #: Characters of texts taken at once; keys held before they are dealt; keys of a task, about, and at most
@@ -337,9 +341,30 @@ def alike_edges(docs: DataFrame, linked: DataFrame) -> DataFrame:
     return sets.groupBy("task", "i", "j").applyInArrow(_compare, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def group_edges(prints: DataFrame, nodes: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (a, b), a > b, between the nodes of documents that ``groups`` (doc_id, component_id) puts together."""
+    ids = groups.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("x"), F.coalesce("component_id", F.lit(NO_ID)).alias("y")).where("x != y").distinct()
+    # A document with several texts has several nodes, which same_document() links: any of them will do.
+    asked = save(ids.select(F.col("x").alias("doc_id")).unionByName(ids.select(F.col("y").alias("doc_id"))).distinct(), "in-groups")
+    own = prints.join(asked.hint("merge"), "doc_id").join(nodes.hint("merge"), keys).groupBy("doc_id").agg(F.min("node").alias("own"))
+    own = save(own, "own-nodes")
+    a, b = own.select(F.col("doc_id").alias("x"), F.col("own").alias("p")), own.select(F.col("doc_id").alias("y"), F.col("own").alias("q"))
+    return ids.join(a, "x").join(b, "y").where("p != q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+
+
+def near_stage(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each group: that with the least doc_id.
+
+    Links are op10's (near_components(): fingerprints within RADIUS_TREE bits, by the tree) and those of near_dedup(), and are
+    transitive across both. Rows, nulls, extra columns and empty tables are treated as there.
+    """
+    return near_dedup(docs, near_components(docs, SHINGLE_TREE, BITS_TREE, RADIUS_TREE))
+
+
+def near_dedup(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group: that with the least doc_id.
 
+    ``groups`` (doc_id, component_id) are documents that are linked already, as near_components() gives them; without it, shingles alone decide.
     A text is the set of its five-word shingles; two that share 0.8 of them or more are linked, and
     links are transitive. Equal sets are one node, also those of fewer than four shingles, which are
     alike only if equal. Null texts are empty, and all texts without words are equal. Rows with one
@@ -353,9 +378,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keys = ["name1", "name2", "n"]
     nodes = save(prints.groupBy(*keys).agg(F.min("doc_id").alias("node")), "near-nodes")
     same = save(same_document(prints, nodes, keys), "same-document")
-    groups = candidate_groups(texts, survey.where("slot is not null").select("slot", "n"))
-    linked = save(nodes.join(groups.select(F.col("node").alias("name1"), "root"), "name1").select("node", "n", "root"), "linked")
-    found = components(alike_edges(docs, linked).unionByName(same))
+    candidates = candidate_groups(texts, survey.where("slot is not null").select("slot", "n"))
+    linked = save(nodes.join(candidates.select(F.col("node").alias("name1"), "root"), "name1").select("node", "n", "root"), "linked")
+    edges = alike_edges(docs, linked).unionByName(same)
+    found = components(edges if groups is None else edges.unionByName(group_edges(prints, nodes, groups, keys)))
     found = labelled(prints, nodes, found, keys).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__q_id")).distinct()
     return docs.withColumn("__q_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.hint("merge"), "__q_id", "left_anti").drop("__q_id")

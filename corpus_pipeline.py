@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm.alike import near_dedup
+from codequarry.llm.alike import near_stage
 from codequarry.llm.common import shared_dir
 from codequarry.llm.exact_dedup import exact_dedup
 from codequarry.llm.mixing import mixed_documents
@@ -29,8 +29,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts (shingles of five words, a similarity of 0.8 or more), the least doc_id stays."""
-    return near_dedup(docs)
+    """Of linked texts (fingerprints that op10's vantage-point tree finds close, or shingles of five words with a similarity of 0.8 or more), the least doc_id stays."""
+    return near_stage(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

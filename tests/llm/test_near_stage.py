@@ -2,6 +2,7 @@
 
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,16 @@ def test_no_pair_at_the_share_falls_out():
         for a, b in zip(*(np.sort(x[:500], 1) for x in sides), strict=True):
             assert set(a[: alike._n_keys(len(a))].tolist()) & set(b[: alike._n_keys(len(b))].tolist())
     assert (lost, pairs) == (0, 200_000)
+
+
+def test_the_stage_of_the_pipeline_links_by_the_tree_too(spark):
+    """A phrase that comes 200 times makes the fingerprints of 1, 2 and one text of 5 equal, though they share few shingles. 3 shares 0.8 with 2 alone."""
+    phrase = "one two three four five six seven eight nine " * 200
+    tail = lambda x: " ".join(f"{x}{i}" for i in range(100))
+    rows = [(1, phrase + tail("a")), (2, phrase + tail("b")), (3, tail("b")), (4, tail("c")), (5, tail("d")), (5, phrase + tail("e")), (None, tail("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {None, 1, 4}
+    assert {r.doc_id for r in alike.near_dedup(docs).collect()} == {None, 1, 2, 4, 5}
+    assert corpus_pipeline.near_duplicates(spark, docs.where("1 = 0"), "").count() == 0
