@@ -15,6 +15,8 @@ from codequarry.operators.ordered import forward_asof
 from codequarry.reports.debt import count_if, ratio
 
 DAY = 86_400
+#: Tasks for each core, at least, where memory goes with the rows of a task.
+TASKS_A_CORE = 16
 # Words of a later commit's subject that tell of a fix, of work on the form, of a revert.
 FIX_WORDS = [r"\bfix(?:es|ed|ing)?\b", r"\bbug(?:fix)?\b", r"\bpatch(?:ed|ing)?\b", r"\bhotfix\b", r"\bissue\b", r"\bcleanup\b"]
 REFACTOR_WORDS = [r"\brefactor(?:ed|ing)?\b", r"\bclean(?:up)?\b", r"\brewrite\b", r"\brework\b", r"\bimprove(?:ment|d|s)?\b"]
@@ -129,7 +131,10 @@ def destiny(statuses: DataFrame, modifications: DataFrame | None = None, units:
     ``statuses``: repo, sha, path, status of each added line. ``units``: repo, sha, and the counts of semantic_survival() of each file.
     """
     keys = ["repo", "sha"]
-    out = statuses.groupBy(*keys).agg(
+    # Lines of a path meet before they are counted, in many small tasks: a task tells the paths of all its lines apart at once.
+    spark = statuses.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    out = statuses.repartition(parts, "sha", "path").groupBy(*keys).agg(
         F.count_distinct("path").alias("files_analyzed"), F.count("*").alias("total_lines_added"), *[count_if(F.col("status") == s, c) for s, c in (("EXISTS", "lines_still_exist"), ("MODIFIED", "lines_modified"), ("DELETED", "lines_deleted"))]
     )
     if modifications is not None:

@@ -276,3 +276,15 @@ def test_checkpoints_of_times_between_seconds(spark, tmp_path):
     same(spark, QUERIES["h01_checkpoints"], SQL["h01_checkpoints"], str(tmp_path))
     got = {r.repo: r.checkpoint_sha for r in QUERIES["h01_checkpoints"](spark, str(tmp_path)).where("days = 7").collect()}
     assert got == {"1": "3", "2": "5", "3": "7"}
+
+
+def test_lines_of_a_path_meet_before_they_are_counted(spark):
+    """A task holds the paths of its lines, so lines are dealt out to many tasks first, not counted where they are read."""
+    rows = [("a", "s", "p", "EXISTS"), ("b", "s", "p", "DELETED"), ("a", "s", "p", "EXISTS"), ("a", "s", "q", "MODIFIED"), ("a", "s", None, "EXISTS"), ("a", "t", None, None)]
+    out = history.destiny(spark.createDataFrame(rows, "repo string, sha string, path string, status string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by_path = [line for line in plan.splitlines() if "hashpartitioning(" in line and "path" in line]
+    assert len(by_path) == 1 and "REPARTITION_BY_NUM" in by_path[0]
+    assert "Aggregate" not in plan[plan.index(by_path[0]) :]
+    got = {(r.repo, r.sha): (r.files_analyzed, r.total_lines_added, r.lines_still_exist, r.lines_modified, r.lines_deleted) for r in out.collect()}
+    assert got == {("a", "s"): (2, 4, 3, 1, 0), ("b", "s"): (1, 1, 0, 0, 1), ("a", "t"): (0, 1, 0, 0, 0)}
